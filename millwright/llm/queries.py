@@ -3,9 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millwright.llm import near_dedup, toxicity
-from millwright.llm.common import table
+from millwright.llm import chat_format, compaction, decontaminate, language_id, line_dedup, matroska, near_dedup, sentencepiece_fst, toxicity, warc
+from millwright.llm.common import table, tokenizer_path
+
+
+def op1_byte_cnn_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.classify(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_fst.read_model(spark, tokenizer_path("piece_bpe_32k.model"))
+    return sentencepiece_fst.encode(table(spark, sf_dir, "documents"), model)
+
+
+def op4_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shards, version = compaction.shard_and_compact(docs)
+    text = F.col("text")
+    return shards.read(version, docs.schema).select(
+        "doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("text_bytes"), F.md5(text).alias("text_md5")
+    )
+
+
+OP4 = "SELECT doc_id, lang, source, n_chars, octet_length(encode(text))::BIGINT AS text_bytes, md5(text) AS text_md5 FROM documents"
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,12 +39,35 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"), cfg)
 
 
+def op6_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.describe(matroska.store(table(spark, sf_dir, "documents")))
+
+
+def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op9_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
-    "op10_toxicity": op10_toxicity,
+    f.__name__: f
+    for f in (
+        op1_byte_cnn_language_id, op2_simhash_decontamination, op3_sentencepiece_fst, op4_size_tiered_sharding, op5_minhash_near_dedup,
+        op6_matroska_media, op7_chat_collapse, op8_warc_normaliser, op9_line_chunk_dedup, op10_toxicity,
+    )
+}
+ORACLES = {
+    "op4_size_tiered_sharding": OP4,
+    "op7_chat_collapse": chat_format.ORACLE,
+    "op9_line_chunk_dedup": line_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from millwright.catalogs import events, fleet, genealogy, holdout, model, monitor, ranges, rules, split
+
+FLAGSHIP = "f5_operating_ranges"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "f5_operating_ranges"
+for _part in (genealogy, split, ranges, rules, holdout, events, monitor, fleet, model):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES

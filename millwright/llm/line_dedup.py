@@ -51,23 +51,28 @@ def chunked(docs: DataFrame) -> DataFrame:
     return steps.withColumn("__chunks", chunks).drop("__h", "__r", "__low", "__low2", "__cut", "__starts", "__ends")
 
 
-def _occurrences(parts: DataFrame, *more: F.Column) -> DataFrame:
-    exploded = parts.select("__id", *more, F.explode("__chunks").alias("__c")).where("__c.n >= 2")
-    return exploded.select("__id", F.col("__c.start").alias("__start"), F.col("__c.n").alias("__n"), F.col("__c.mark").alias("__mark"), *([] if not more else ["__lines"]))
+def _occurrences(parts: DataFrame, with_bytes: bool = False) -> DataFrame:
+    """(__id, __start, __mark, __n) of each chunk of two or more lines, and its __bytes if wanted (the chunk's own, not its text's)."""
+    several = F.filter("__chunks", lambda c: c["n"] >= 2)
+    if with_bytes:
+        several = F.transform(several, lambda c: F.struct(
+            c["start"].alias("start"), c["mark"].alias("mark"), c["n"].alias("n"), F.array_join(F.slice("__lines", c["start"] + 1, c["n"]), "\n").alias("bytes")
+        ))
+    rows = parts.select("__id", F.explode(several).alias("__c"))
+    return rows.select("__id", *[F.col(f"__c.{c}").alias(f"__{c}") for c in ("start", "mark", "n", *["bytes"] * with_bytes)])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(__id, __start, __mark, __n) of every chunk occurrence to take out."""
     base = docs.select(F.col("doc_id").alias("__id"), "text").where("doc_id is not null and text is not null")
     parts = chunked(base)
-    marks = _occurrences(parts).groupBy("__mark").agg(F.count("*").alias("__count")).where("__count > 1").select("__mark")
-    here = _occurrences(parts, F.col("__lines")).join(marks, "__mark", "left_semi")
-    here = here.select("__id", "__start", "__mark", "__n", F.array_join(F.slice("__lines", F.col("__start") + 1, F.col("__n")), "\n").alias("__bytes"))
+    marks, marks_path = written(_occurrences(parts).groupBy("__mark").agg(F.count("*").alias("__count")).where("__count > 1").select("__mark"), "marks")
+    here = _occurrences(parts, True).join(broadcast_if_small(marks, marks.count()), "__mark", "left_semi").select("__id", "__start", "__mark", "__n", "__bytes")
     found, path = written(here, "chunks")
     firsts = found.groupBy("__mark", "__bytes").agg(F.min(F.struct("__id", "__start")).alias("__first"), F.count("*").alias("__count")).where("__count > 1")
     surplus = found.join(firsts.drop("__count"), ["__mark", "__bytes"]).where(F.struct("__id", "__start") != F.col("__first"))
     result, _ = written(surplus.select("__id", "__start", "__mark", "__n").distinct(), "surplus")
-    remove(docs.sparkSession, path)
+    remove(docs.sparkSession, path, marks_path)
     return result
 
 

@@ -10,7 +10,9 @@ Equal shingle sets are one class and only class representatives are compared. In
 are formed: members are first compared with one representative, confirmed links are joined to components, and only
 members of different components are then compared, until every pair that shares a key is either in one component or
 compared. No pair is given up, so components equal those of comparing all pairs.
-Links are confirmed on the full shingle sets: 100 * intersection >= 80 * union.
+A comparison first bounds the intersection from above by two bit maps of the sets (a bit of one that the other lacks is an
+element the other lacks), inside the join; pairs that may reach the wanted similarity are confirmed on the full shingle
+sets: 100 * intersection >= 80 * union.
 """
 
 from __future__ import annotations
@@ -48,11 +50,6 @@ class NearDupConfig:
         """The distance within which every pair is found."""
         return self.chunks * (self.errors + 1) - 1
 
-    def least_equal(self) -> int:
-        """Equal values that a pair at the wanted similarity has but for a chance below 1e-7 (6 standard deviations)."""
-        p, n = self.percent / 100, self.values
-        return max(0, min(n - self.distance, int(n * p - 6 * (n * p * (1 - p)) ** 0.5)))
-
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -120,14 +117,112 @@ def signatures(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     )
 
 
+#: Longs of a set's bit map. Sets of some thousand elements fill it, and then the bound refuses less, never more.
+MAP_LONGS = 64
+#: Members of a crowded file that are compared with each other at a time.
+SIDE = 2048
+
+
+def bit_map(shingles: np.ndarray) -> np.ndarray:
+    """A set's elements hashed to one bit each, as longs."""
+    flags = np.zeros(64 * MAP_LONGS, np.uint8)
+    flags[_mix(shingles + _BASE) & np.uint64(64 * MAP_LONGS - 1)] = 1
+    return np.packbits(flags).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """doc_id, shingles (array of long)."""
+    """doc_id, n (elements), bits (see :func:`bit_map`) and shingles (array of long)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, cfg.shingle_words).astype(np.int64) for t in text_batches(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = [shingle_set(t, cfg.shingle_words) for t in text_batches(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bit_map(x) for x in sets], pa.list_(pa.int64())),
+                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n", "bits", "shingles"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, n long, bits array<long>, shingles array<long>"
+    )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+def may_link(percent: int) -> F.Column:
+    """Whether sets with sizes na, nb and bit maps ba, bb can reach the similarity: no pair that does is refused."""
+    def lacking(x: str, y: str) -> F.Column:
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, k: t + k)
+
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    both = F.least(F.col("na") - lacking("ba", "bb"), F.col("nb") - lacking("bb", "ba"))
+    return fits & (100 * both >= percent * (F.col("na") + F.col("nb") - both))
+
+
+def _linkable(part: np.ndarray, n: np.ndarray, side: np.ndarray, own: bool, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different parts that :func:`may_link`; with ``own`` within all rows, else between the two sides."""
+    set_bits = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    lefts, rights = [], []
+    rows = np.arange(len(n)) if own else np.flatnonzero(side == 0)
+    for i in rows.tolist():
+        others = np.arange(i + 1, len(n)) if own else np.flatnonzero(side == 1)
+        others = others[part[others] != part[i]]
+        others = others[100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])]
+        if not len(others):
+            continue
+        shared = np.bitwise_count(bits[others] & bits[i]).sum(axis=1)
+        both = np.minimum(n[i] - set_bits[i] + shared, n[others] - set_bits[others] + shared)
+        others = others[100 * both >= percent * (n[i] + n[others] - both)]
+        lefts.append(np.full(len(others), i))
+        rights.append(others)
+    empty = np.empty(0, np.int64)
+    return np.concatenate([empty, *lefts]).astype(np.int64), np.concatenate([empty, *rights]).astype(np.int64)
+
+
+def _pairs_across_parts(side: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a file (key, doc, part, size), are in different parts and may link.
+
+    A file of many members is dealt into sides of about SIDE members, and each two sides are one group: no group is unbounded.
+    """
+    sides = F.ceil(F.col("size") / SIDE).cast("int")
+    mine = F.pmod(F.xxhash64("doc"), F.col("sides")).cast("int")
+    dealt = side.withColumn("sides", sides).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    dealt = dealt.select(
+        "key", F.least("mine", "other").alias("s0"), F.greatest("mine", "other").alias("s1"), (F.col("mine") > F.col("other")).cast("int").alias("second"), "doc", "part"
+    ).join(sets.select(F.col("doc_id").alias("doc"), "n", "bits"), "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def found(table: pa.Table) -> pa.RecordBatch:
+            key, s0, s1, second, doc, part, n = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "s0", "s1", "second", "doc", "part", "n"))
+            bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MAP_LONGS)
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(s0) != 0) | (np.diff(s1) != 0)) + 1
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                i, j = _linkable(part[lo:hi], n[lo:hi], second[lo:hi], s0[lo] == s1[lo], bits[lo:hi], percent)
+                x, y = doc[lo:hi][i], doc[lo:hi][j]
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+        for batch in batches:  # sorted by group: the last group of what is held may go on in the next batch
+            if not batch.num_rows:
+                continue
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) < 4 * SIDE:
+                continue
+            table = pa.Table.from_batches(kept)
+            key, s0, s1 = (table.column(c).to_numpy() for c in ("key", "s0", "s1"))
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(s0) != 0) | (np.diff(s1) != 0)) + 1
+            if len(cuts):
+                yield found(table.slice(0, int(cuts[-1])))
+                table = table.slice(int(cuts[-1]))
+            kept = table.to_batches()
+        if kept:
+            yield found(pa.Table.from_batches(kept))
+
+    return dealt.repartition("key", "s0", "s1").sortWithinPartitions("key", "s0", "s1").mapInArrow(run, "a long, b long").distinct()
 
 
 def file_keys(cfg: NearDupConfig) -> F.Column:
@@ -171,7 +266,7 @@ def near_duplicate_classes(docs: DataFrame, cfg: NearDupConfig | None = None) ->
         real.where("n_shingles > 0").groupBy("set_lo", "set_hi", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     )
-    filed, filed_path = written(classes.select("rep", "n_shingles", "sig"), "representatives")
+    filed, filed_path = written(classes.select("rep", "sig"), "representatives")
     # 1. all files with more than one member: the least and the rest
     keyed = filed.select(F.col("rep").alias("doc"), F.explode(file_keys(cfg)).alias("key"))
     heads = keyed.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head < tail").select("key", "head")
@@ -179,56 +274,39 @@ def near_duplicate_classes(docs: DataFrame, cfg: NearDupConfig | None = None) ->
     n_docs = members.agg(F.approx_count_distinct("doc")).first()[0]
     wanted = broadcast_if_small(members.select(F.col("doc").alias("doc_id")).distinct(), int(n_docs * 1.2) + 100)
     sets, sets_path = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), cfg), "sets")
-    sizes = filed.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "sig")
-    size_a = sizes.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
-    size_b = sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
-
-    alike = F.aggregate(F.zip_with("ga", "gb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= cfg.least_equal()
-    fits = 100 * F.least("na", "nb") >= cfg.percent * F.greatest("na", "nb")
+    a_side = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    b_side = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    may = may_link(cfg.percent)
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and signatures allow the wanted similarity."""
-        return pairs.join(size_a, "a").join(size_b, "b").where(fits & alike).select("a", "b")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are links."""
+        return _confirmed(pairs.join(a_side, "a").join(b_side, "b").where(may).select("a", "b"), sets, cfg)
 
     stars = members.where("doc > head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
-    tried, tried_path = written(near(stars), "tried")
-    links, links_path = written(_confirmed(tried, sets, cfg), "links")
-    old = [tried_path, members_path, sets_path, filed_path]
-    # repeated ids: several sets under one id need no link, the node is the id itself
+    links, links_path = written(compared(stars), "links")
     parts, parts_path = connected_components(links)
-    # 2. files whose members are in different components: one hashed member against the others, several rounds
-    for round_ in range(4):
-        of = parts.select(F.col("node").alias("doc"), F.col("component").alias("part"))
-        placed = members.select("key", "doc").join(of, "doc", "left").select("key", "doc", F.coalesce("part", "doc").alias("part"))
-        # a file is settled when its members are in one component
-        split = placed.groupBy("key").agg(
-            F.min("part").alias("p0"), F.max("part").alias("p1"), F.count("*").alias("size"),
-            F.min_by(F.struct("doc", "part"), F.xxhash64("doc", F.col("key"), F.lit(round_))).alias("pick"),
-        ).where("p0 < p1")
-        open_, open_path = written(placed.join(split.select("key", "size", "pick"), "key"), "open")
-        old.append(open_path)
-        crowded = open_.where("size > 32").limit(1).count() > 0
-        if round_ == 3 or not crowded:
-            break
-        pairs = open_.where("size > 32").where(F.col("part") != F.col("pick.part")).select(
-            F.least("doc", "pick.doc").alias("a"), F.greatest("doc", "pick.doc").alias("b")
-        ).distinct().join(tried, ["a", "b"], "left_anti")
-        more, more_path = written(near(pairs), "tried")
-        found, found_path = written(_confirmed(more, sets, cfg), "links")
-        old += [more_path, parts_path, found_path]
-        tried = tried.unionByName(more)
-        links = links.unionByName(found)
-        parts, parts_path = connected_components(links)
-    # 3. every pair that shares a file and is still in two components, each compared once
-    side = open_.select("key", "doc", "part").join(sizes, "doc")
-    a = side.select("key", F.col("doc").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("sig").alias("ga"))
-    b = side.select("key", F.col("doc").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
-    rest = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & fits & alike).select("a", "b").distinct()
-    rest, rest_path = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    links, final_path = written(links.unionByName(_confirmed(rest, sets, cfg)), "links")
-    remove(spark, parts_path, rest_path)
-    parts, _ = connected_components(links)
-    remove(spark, links_path, final_path, *old)
+    # 2. files whose members are in different components: one hashed member against those of other components
+    of = parts.select(F.col("node").alias("doc"), F.col("component").alias("part"))
+    placed = members.select("key", "doc").join(of, "doc", "left").select("key", "doc", F.coalesce("part", "doc").alias("part"))
+    picks = placed.groupBy("key").agg(
+        F.min("part").alias("p0"), F.max("part").alias("p1"), F.count("*").alias("size"),
+        F.min_by(F.struct("doc", "part"), F.xxhash64("doc", "key")).alias("pick"),
+    ).where("p0 < p1 and size > 16").select("key", "pick")
+    again = placed.join(picks, "key").where(F.col("part") != F.col("pick.part")).select(
+        F.least("doc", "pick.doc").alias("a"), F.greatest("doc", "pick.doc").alias("b")
+    ).distinct()
+    links2, links2_path = written(links.unionByName(compared(again)), "links")
+    remove(spark, parts_path, links_path)
+    parts, parts_path = connected_components(links2)
+    # 3. every pair that shares a file and is still in two components
+    of = parts.select(F.col("node").alias("doc"), F.col("component").alias("part"))
+    placed = members.select("key", "doc").join(of, "doc", "left").select("key", "doc", F.coalesce("part", "doc").alias("part"))
+    split = placed.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count("*").alias("size")).where("p0 < p1").select("key", "size")
+    rest, rest_path = written(_pairs_across_parts(placed.join(split, "key"), sets, cfg.percent), "rest")
+    links3, links3_path = written(links2.unionByName(_confirmed(rest, sets, cfg)), "links")
+    remove(spark, parts_path, links2_path)
+    parts, _ = connected_components(links3)
+    remove(spark, links3_path, members_path, sets_path, filed_path, rest_path)
     # 4. members take their class's component; ids that several sets share are joined through the id
     label = classes.drop("sig").join(parts, F.col("rep") == F.col("node"), "left").select(
         "set_lo", "set_hi", "n_shingles", F.coalesce("component", "rep").alias("part")

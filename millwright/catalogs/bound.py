@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from millwright.catalogs import CONFIG
@@ -9,12 +10,17 @@ from millwright.operators import genealogy, split
 from millwright.sources import bindings
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Kept by Spark (memory, then disk): every later stage reads the genealogy and the splits, some of them many times."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return bindings.sm_cc(spark, sf_dir), bindings.fur_hr(spark, sf_dir), bindings.ap(spark, sf_dir)
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return genealogy.replay_rows(*sources(spark, sf_dir))
+    return settled(genealogy.replay_rows(*sources(spark, sf_dir)))
 
 
 def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +28,7 @@ def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.labelled(split.outer_split(replay(spark, sf_dir), boundary(spark, sf_dir), CONFIG), CONFIG)
+    return settled(split.labelled(split.outer_split(replay(spark, sf_dir), boundary(spark, sf_dir), CONFIG), CONFIG))
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,4 +36,4 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.inner_split(outer(spark, sf_dir), CONFIG)
+    return settled(split.inner_split(outer(spark, sf_dir), CONFIG))

@@ -1,2 +1,91 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the replay-event operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millwright.catalogs import Registry, bound
+from millwright.config import STAGES
+from millwright.operators import events as E
+from millwright.sources.bindings import BASE
+
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
+
+
+def _sha(namespace: str, body: str) -> str:
+    return f"'sha256:' || sha256('{namespace}' || chr(10) || {body} || chr(10))"
+
+
+def _stage(stage: str, rank: int) -> str:
+    furnace = 10 <= rank < 15
+    kind = ("CAST_DAY", 0) if rank == 0 else ("AP_DAY", 2) if rank == 20 else ("FURNACE_HOUR", 1)
+    date = "cast_date" if rank == 0 else "ap_date" if rank == 20 else "f_ext_date"
+    equipment = "'SM1'" if rank == 0 else "'AP1'" if rank == 20 else "furnace_no" if furnace else "'RM4_PROCESS'"
+    hour = "f_ext_time" if kind[0] == "FURNACE_HOUR" else "NULL::INTEGER"
+    return f"SELECT charge_id, slab_no, '{stage}' AS batch_step, {rank} AS stage_rank, '{kind[0]}' AS batch_kind, {kind[1]} AS kind_rank, {date} AS replay_date, {hour} AS replay_hour, '{'SM_CC' if rank == 0 else 'AP' if rank == 20 else 'FURNACE' if furnace else 'RM4'}' AS equipment_type, {equipment} AS equipment_id FROM replay" + (" WHERE ap_record IS NOT NULL" if rank == 20 else "")
+
+
+EVENTS = BASE + f""", staged AS ({" UNION ALL ".join(_stage(*s) for s in STAGES)}),
+keyed AS (SELECT *, {_sha("material-key/v1", "'{\"chargeId\":\"' || charge_id || '\",\"slabNo\":\"' || slab_no || '\"}'")} AS material_key,
+ {_sha("batch-id/v1", "'{\"batchKind\":\"' || batch_kind || '\",\"replayDate\":\"' || strftime(replay_date, '%Y-%m-%d') || '\"' || CASE WHEN batch_kind = 'FURNACE_HOUR' THEN ',\"replayHour\":' || replay_hour ELSE '' END || '}'")} AS batch_id FROM staged),
+subbed AS (SELECT *, CASE WHEN equipment_type = 'FURNACE' THEN {_sha("equipment-batch-id/v1", "'{\"batchId\":\"' || batch_id || '\",\"equipmentId\":\"' || equipment_id || '\",\"equipmentType\":\"FURNACE\"}'")} END AS equipment_batch_id FROM keyed),
+evented AS MATERIALIZED (SELECT *, coalesce(replay_hour, -1) AS hour_rank, CASE WHEN equipment_type = 'FURNACE' THEN equipment_id::INTEGER ELSE 0 END AS furnace_rank,
+ {_sha("event-id/v1", "'{\"batchId\":\"' || batch_id || '\",\"batchStep\":\"' || batch_step || '\",\"equipmentBatchId\":' || coalesce('\"' || equipment_batch_id || '\"', 'null') || ',\"equipmentId\":\"' || equipment_id || '\",\"equipmentType\":\"' || equipment_type || '\",\"materialKey\":\"' || material_key || '\"}'")} AS event_id FROM subbed)
+"""
+
+
+def built(spark, d):
+    return E.build_events(bound.replay(spark, d))
+
+
+@query("i1_i3_replay_events", EVENTS + "SELECT event_id, batch_id, equipment_batch_id, material_key, batch_step, batch_kind, replay_date, replay_hour, equipment_type, equipment_id FROM evented")
+def i1(spark, d):
+    return built(spark, d).select("event_id", "batch_id", "equipment_batch_id", "material_key", "batch_step", "batch_kind", "replay_date", "replay_hour", "equipment_type", "equipment_id")
+
+
+@query("i2_stage_payload", EVENTS + "SELECT batch_step, count(*) AS n, count(DISTINCT equipment_id) AS equipment FROM evented GROUP BY batch_step")
+def i2(spark, d):
+    return built(spark, d).where("values_json is not null").groupBy("batch_step").agg(F.count("*").alias("n"), F.count_distinct("equipment_id").alias("equipment"))
+
+
+@query("i4_i6_total_order_units", EVENTS + "SELECT event_id, dense_rank() OVER (ORDER BY replay_date, kind_rank, hour_rank, batch_id, stage_rank) AS unit FROM evented")
+def i4(spark, d):
+    return E.units(built(spark, d)).select("event_id", "unit")
+
+
+@query("i5_stream_violations", EVENTS + "SELECT event_id, 'DUPLICATE_EVENT_ID' AS problem FROM evented GROUP BY event_id HAVING count(*) > 1 UNION ALL SELECT event_id, 'STAGE_OUT_OF_ORDER' FROM (SELECT event_id, replay_date, lag(replay_date) OVER (PARTITION BY material_key ORDER BY stage_rank) AS previous FROM evented) WHERE previous > replay_date")
+def i5(spark, d):
+    return E.violations(built(spark, d))
+
+
+@query("i12_batch_parity", EVENTS + "SELECT event_id FROM evented WHERE false")
+def i12(spark, d):
+    one = built(spark, d).select("event_id", "material_key", "batch_step")
+    return one.exceptAll(one.repartition("material_key")).select("event_id")
+
+
+@query("a8_ordered_sink", EVENTS + "SELECT event_id, replay_date FROM evented")
+def a8(spark, d):
+    return E.in_order(built(spark, d)).select("event_id", "replay_date")
+
+
+@query("k3_accumulated_values", EVENTS + "SELECT event_id, CASE WHEN stage_rank >= 12 THEN r.f_heat_temp END AS heat_so_far, r.tundish_temp AS cast_so_far FROM evented e JOIN (SELECT charge_id, slab_no, f_heat_temp, tundish_temp FROM replay) r ON r.charge_id = e.charge_id AND r.slab_no = e.slab_no")
+def k3(spark, d):
+    from millwright.operators.monitor import accumulated
+
+    rows = built(spark, d)
+    value = lambda name: F.get_json_object("values_json", f"$.{name}").cast("double")
+    rows = rows.withColumns({"heat": value("f_heat_temp"), "cast": value("tundish_temp")})
+    return accumulated(rows, ("heat", "cast"), ("stage_rank",)).select("event_id", "heat_so_far", "cast_so_far")
+
+
+@query("k9_monitor_totals", EVENTS + "SELECT count(*) AS events, count(DISTINCT material_key) AS materials, count(DISTINCT batch_id || batch_step) AS units FROM evented")
+def k9(spark, d):
+    return built(spark, d).agg(F.count("*").alias("events"), F.count_distinct("material_key").alias("materials"), F.count_distinct("batch_id", "batch_step").alias("units"))
+
+
+@query("k8_equipment_snapshot", EVENTS + "SELECT equipment_type, equipment_id, unit, count(*) AS materials FROM (SELECT *, dense_rank() OVER (ORDER BY replay_date, kind_rank, hour_rank, batch_id, stage_rank) AS unit FROM evented) GROUP BY ALL QUALIFY unit = max(unit) OVER (PARTITION BY equipment_type, equipment_id)")
+def k8(spark, d):
+    by = E.units(built(spark, d)).groupBy("equipment_type", "equipment_id", "unit").agg(F.count("*").alias("materials"))
+    return by.groupBy("equipment_type", "equipment_id").agg(F.max(F.struct("unit", "materials")).alias("x")).select("equipment_type", "equipment_id", "x.unit", "x.materials")

@@ -1,2 +1,86 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the sensor-fleet operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millwright.catalogs import Registry
+from millwright.operators import fleet as L
+from millwright.sources import bindings
+from millwright.sources.bindings import BASE
+
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
+LATEST = "latest AS MATERIALIZED (SELECT equipment_id, event_id, status, severity, temperature, occurred_at FROM sensed QUALIFY row_number() OVER (PARTITION BY equipment_id ORDER BY occurred_at DESC, event_id::BIGINT) = 1)"
+ALERTS = "alerted AS MATERIALIZED (SELECT event_id, equipment_id, severity, (epoch_us(TIMESTAMP '2024-03-01') // 1000 - epoch_us(occurred_at) // 1000)::BIGINT AS raw, status FROM sensed WHERE severity <> 'NORMAL'), alerts AS MATERIALIZED (SELECT event_id, equipment_id, severity, greatest(0, raw) AS latency_ms, severity || ' ' || equipment_id || ': ' || status AS message FROM alerted)"
+
+
+def sensed(spark, d):
+    return L.analysed(bindings.sensor_events(spark, d))
+
+
+def raised(spark, d):
+    return L.alerts(sensed(spark, d), F.lit("2024-03-01 00:00:00").cast("timestamp"))
+
+
+@query("b14_b15_severity", BASE + "SELECT event_id, severity, severity <> 'NORMAL' AS anomaly, occurred_at FROM sensed")
+def b14(spark, d):
+    return sensed(spark, d).select("event_id", "severity", "anomaly", "occurred_at")
+
+
+@query("k1_latest_state", BASE + ", " + LATEST + " SELECT * FROM latest")
+def k1(spark, d):
+    return L.latest_state(sensed(spark, d))
+
+
+@query("k2_recent_events", BASE + "SELECT event_id, occurred_at FROM sensed ORDER BY occurred_at DESC, event_id::BIGINT LIMIT 20")
+def k2(spark, d):
+    return L.recent(sensed(spark, d)).select("event_id", "occurred_at")
+
+
+@query("a13_idempotent_insert", BASE + "SELECT event_id FROM sensed WHERE event_id::BIGINT % 2 = 1")
+def a13(spark, d):
+    rows = sensed(spark, d)
+    return L.new_events(rows.unionByName(rows), rows.where("cast(event_id as long) % 2 = 0")).select("event_id")
+
+
+@query("a14_latest_upsert", BASE + ", " + LATEST + " SELECT equipment_id, event_id, severity FROM latest")
+def a14(spark, d):
+    rows = sensed(spark, d).select("equipment_id", "event_id", "status", "severity", "temperature", "occurred_at")
+    old = L.latest_state(rows.where("cast(event_id as long) % 3 = 0"))
+    return L.upserted(old, rows.where("cast(event_id as long) % 3 <> 0")).select("equipment_id", "event_id", "severity")
+
+
+@query("k12_dashboard", BASE + ", " + LATEST + """ SELECT count(*) FILTER (WHERE severity = 'NORMAL') AS normal, count(*) FILTER (WHERE severity = 'WARNING') AS warning, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical,
+ count(*) FILTER (WHERE occurred_at > TIMESTAMP '2024-01-15' - INTERVAL 60 SECONDS) AS last_minute, (SELECT count(*) FROM latest WHERE status = 'RUNNING') AS equipment_running, (SELECT count(*) FROM latest WHERE status = 'IDLE') AS equipment_idle,
+ (SELECT count(*) FROM latest WHERE status = 'WARNING') AS equipment_warning, (SELECT count(*) FROM latest WHERE status = 'FAILURE') AS equipment_failure FROM sensed""")
+def k12(spark, d):
+    return L.dashboard(sensed(spark, d), F.lit("2024-01-15 00:00:00").cast("timestamp"))
+
+
+@query("l3_alert_records", BASE + ", " + ALERTS + " SELECT * FROM alerts")
+def l3(spark, d):
+    return raised(spark, d)
+
+
+@query("f9_l4_alert_metrics", BASE + ", " + ALERTS + ", newest AS (SELECT * FROM alerts ORDER BY event_id::BIGINT DESC LIMIT 20000) SELECT count(*) AS n, round(avg(latency_ms), 3) AS mean_ms, (SELECT quantile_disc(latency_ms, 0.95) FROM newest)::DOUBLE AS p95, (SELECT quantile_disc(latency_ms, 0.99) FROM newest)::DOUBLE AS p99 FROM alerts")
+def f9(spark, d):
+    return L.alert_metrics(raised(spark, d)).withColumns({c: F.col(c).cast("double") for c in ("p95", "p99")})
+
+
+@query("l5_l6_run_tracking", BASE + "SELECT run_id, 2 * count(*) AS published, count(*) FILTER (WHERE severity <> 'NORMAL') AS saved, count(*) AS duplicates, count(*) FILTER (WHERE severity = 'NORMAL') AS lag FROM sensed GROUP BY run_id")
+def l5(spark, d):
+    rows = sensed(spark, d)
+    return L.run_tracking(rows.unionByName(rows), rows.where("severity <> 'NORMAL'"))
+
+
+@query("l7_sliding_counts", BASE + "SELECT s.start AS start, severity, count(*) AS n FROM (SELECT severity, unnest([time_bucket(INTERVAL 10 SECONDS, occurred_at) - INTERVAL (10 * k) SECONDS for k in range(6)]) AS start FROM sensed) s GROUP BY ALL")
+def l7(spark, d):
+    return L.sliding_counts(sensed(spark, d))
+
+
+@query("c11_event_with_state", BASE + ", " + LATEST + " SELECT s.event_id, l.severity AS state FROM sensed s JOIN latest l USING (equipment_id)")
+def c11(spark, d):
+    rows = sensed(spark, d)
+    state = L.latest_state(rows).select("equipment_id", F.col("severity").alias("state"))
+    return rows.join(state, "equipment_id").select("event_id", "state")

@@ -1,2 +1,63 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the defect-model operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millwright.catalogs import Registry, bound, rounded
+from millwright.config import DEFECT
+from millwright.operators import model as M
+from millwright.sources.bindings import BASE
+
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
+#: A fixed score that both engines can form, to hold the metric operators against SQL.
+SCORE = "round(f_heat_temp / 50.0 * 0.6 + f_bfg_ratio * 0.4, 3)"
+SCORED = BASE + f", scored AS MATERIALIZED (SELECT {SCORE} AS probability, (judge = '{DEFECT}')::INTEGER AS label FROM labelled WHERE split = 'holdout' AND known = 'AVAILABLE' AND f_bfg_ratio IS NOT NULL), groups AS MATERIALIZED (SELECT probability AS score, pos, sum(pos) OVER w AS tp, sum(n - pos) OVER w AS fp FROM (SELECT probability, sum(label) AS pos, count(*) AS n FROM scored GROUP BY 1) WINDOW w AS (ORDER BY probability DESC ROWS UNBOUNDED PRECEDING))"
+
+
+def scored(spark, d):
+    rows = bound.outer(spark, d).where("split = 'holdout' and known = 'AVAILABLE' and f_bfg_ratio is not null")
+    return rows.select(F.expr(SCORE).cast("double").alias("probability"), (F.col("judge") == DEFECT).cast("int").alias("label"))
+
+
+@query("j1_projection", BASE + f"SELECT charge_id, slab_no, hr_date, {', '.join(M.CATEGORICAL)}, {', '.join(f'round({c}, 6) AS {c}' for c in M.NUMERIC)}, (judge = '{DEFECT}')::INTEGER AS label FROM replay")
+def j1(spark, d):
+    return rounded(M.project(bound.replay(spark, d)), *M.NUMERIC)
+
+
+@query("j2_feature_contract", BASE + f"SELECT {', '.join(f'round(median({c}), 6) AS median_{c}' for c in M.NUMERIC)}, {', '.join(f'array_to_string(list_sort(list(DISTINCT {c})), chr(44)) AS levels_{c}' for c in M.CATEGORICAL)}, 0 AS most_missing FROM mature")
+def j2(spark, d):
+    rows = M.fit_contract(M.project(bound.outer(spark, d).where("split = 'reference' and known = 'AVAILABLE'")))
+    rows = rows.withColumns({f"levels_{c}": F.array_join(f"levels_{c}", ",") for c in M.CATEGORICAL})
+    return rounded(rows, *[f"median_{c}" for c in M.NUMERIC])
+
+
+@query("j3_encoding", BASE + ", v AS (SELECT count(DISTINCT steel_grade) + count(DISTINCT steel_usage) + count(DISTINCT furnace_no) + count(DISTINCT f_jangip_gubun) AS levels FROM mature) SELECT charge_id, slab_no, (levels + 4 + 5 + 9)::INTEGER AS width, true AS complete FROM mature, v")
+def j3(spark, d):
+    rows = M.project(bound.outer(spark, d).where("split = 'reference' and known = 'AVAILABLE'"))
+    return M.encode(rows, M.fit_contract(rows)).select("charge_id", "slab_no", F.size("features").alias("width"), "complete")
+
+
+@query("j6_metrics_at_threshold", SCORED + " SELECT count(*) FILTER (WHERE probability >= 0.8 AND label = 1) AS tp, count(*) FILTER (WHERE probability >= 0.8 AND label = 0) AS fp, count(*) FILTER (WHERE probability < 0.8 AND label = 0) AS tn, count(*) FILTER (WHERE probability < 0.8 AND label = 1) AS fn, round(count(*) FILTER (WHERE probability >= 0.8 AND label = 1)::DOUBLE / sum(label), 6) AS recall, round(count(*) FILTER (WHERE probability >= 0.8 AND label = 1)::DOUBLE / count(*) FILTER (WHERE probability >= 0.8), 6) AS precision, round(avg((probability - label) ** 2), 6) AS brier, round(1 - avg((probability - label) ** 2) / avg((0.05 - label) ** 2), 6) AS brier_skill FROM scored")
+def j6(spark, d):
+    return rounded(M.metrics_at(scored(spark, d), 0.8, 0.05), "recall", "precision", "brier", "brier_skill")
+
+
+@query("j6_average_precision", SCORED + " SELECT round(sum(tp / (tp + fp)::DOUBLE * pos) / (SELECT sum(label) FROM scored), 6) AS ap FROM groups")
+def j6a(spark, d):
+    return rounded(M.average_precision(scored(spark, d)), "ap")
+
+
+@query("j7_f2_threshold", SCORED + " SELECT score AS threshold, round(f2, 6) AS f2 FROM (SELECT score, round(5 * tp / (4 * (SELECT sum(label) FROM scored) + tp + fp)::DOUBLE, 12) AS f2 FROM groups) ORDER BY f2 DESC, score DESC LIMIT 1")
+def j7(spark, d):
+    return rounded(M.f2_threshold(scored(spark, d)), "f2")
+
+
+@query("j4_j10_trained_scores")
+def j4(spark, d):
+    known = bound.outer(spark, d)
+    train = M.project(known.where("split = 'reference' and known = 'AVAILABLE'"))
+    contract = M.fit_contract(train)
+    model = M.train(M.encode(train, contract))
+    return M.score(M.encode(M.project(known.where("split = 'holdout'")), contract), model).select("charge_id", "slab_no", "probability", "status")

@@ -1,2 +1,186 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the quality-risk rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millwright.catalogs import CONFIG, Registry, bound, r6, rounded
+from millwright.config import ADJUSTMENTS, CATEGORIES, DEFECT, INTERACTIONS
+from millwright.functions.statistics import erfc, erfc_sql, hashed_draw, wilson
+from millwright.operators import rules as R
+from millwright.sources import bindings
+from millwright.sources.bindings import BASE
+
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
+C = CONFIG
+
+
+def _bins(source: str, fields, bins: int, name: str) -> str:
+    one = lambda f: f"SELECT '{f}' AS field, unnest(list_distinct(quantile_disc({f}, [{', '.join(str(k / bins) for k in range(1, bins + 1))}]))) AS upper, min({f}) AS least FROM {source}"
+    return f"""{name}_cuts AS ({" UNION ALL ".join(one(f) for f in fields)}),
+{name} AS MATERIALIZED (SELECT field, (row_number() OVER w - 1)::INTEGER AS bin, coalesce(lag(upper) OVER w, least) AS lower, upper, lag(upper) OVER w IS NULL AS lower_inclusive FROM {name}_cuts WINDOW w AS (PARTITION BY field ORDER BY upper))"""
+
+
+COARSE = tuple(sorted({f for pair in INTERACTIONS for f in pair}))
+INSIDE = "(v > lower OR (lower_inclusive AND v = lower)) AND v <= upper"
+
+
+def _members(source: str) -> str:
+    keep = "charge_id, slab_no, judge, steel_grade, furnace_no"
+    values = lambda fields: " UNION ALL ".join(f"SELECT {keep}, '{f}' AS field, {f} AS v FROM {source} WHERE {f} IS NOT NULL" for f in fields)
+    pairs = " UNION ALL ".join(
+        f"SELECT a.charge_id, a.slab_no, a.judge, a.steel_grade, a.furnace_no, 'INTERACTION' AS family, '{x}|{y}' AS field, a.bin || '|' || b.bin AS bin FROM {source}_wide a JOIN {source}_wide b ON a.charge_id = b.charge_id AND a.slab_no = b.slab_no AND a.field = '{x}' AND b.field = '{y}'"
+        for x, y in INTERACTIONS
+    )
+    return f"""{source}_wide AS MATERIALIZED (SELECT {keep}, field, bin FROM ({values(COARSE)}) JOIN coarse USING (field) WHERE {INSIDE}),
+{source}_members AS MATERIALIZED (SELECT {keep}, 'NUMERIC' AS family, field, bin::VARCHAR AS bin FROM ({values(R.NUMERIC)}) JOIN fine USING (field) WHERE {INSIDE}
+ UNION ALL {" UNION ALL ".join(f"SELECT {keep}, 'CATEGORICAL', '{c}', {c} FROM {source} WHERE {c} IS NOT NULL" for c in CATEGORIES)} UNION ALL {pairs})"""
+
+
+def _tables(source: str) -> str:
+    level = []
+    for i, lv in enumerate(ADJUSTMENTS):
+        parts = " || ';' || ".join(f"CASE WHEN field = '{c}' THEN '' ELSE '{c}=' || {c} END" for c in lv) or "'all'"
+        level.append(f"SELECT family, field, bin, judge, {i} AS level, {parts} AS stratum FROM {source}_members")
+    return f"""{source}_cells AS (SELECT family, field, level, stratum, bin, count(*) FILTER (WHERE judge = '{DEFECT}') AS a, count(*) AS n FROM ({" UNION ALL ".join(level)}) WHERE stratum IS NOT NULL GROUP BY ALL),
+{source}_tables AS MATERIALIZED (SELECT family, field, level, stratum, bin, a, n - a AS b, sum(a) OVER w - a AS c, sum(n) OVER w - n - sum(a) OVER w + a AS d FROM {source}_cells WINDOW w AS (PARTITION BY family, field, level, stratum))"""
+
+
+TOLD = "a + b > 0 AND c + d > 0"
+PREP = BASE + f""", disc AS MATERIALIZED (SELECT * FROM inner_split WHERE split = 'discovery'), conf AS MATERIALIZED (SELECT * FROM inner_split WHERE split = 'confirmation'),
+{_bins("disc", R.NUMERIC, C.numeric_bins, "fine")}, {_bins("disc", COARSE, C.interaction_bins, "coarse")},
+{_members("disc")}, {_members("conf")}, {_tables("disc")}, {_tables("conf")},
+by_level AS (SELECT family, field, bin, level, count(*) FILTER (WHERE {TOLD}) AS strata, sum(CASE WHEN {TOLD} THEN a + b ELSE 0 END) AS mine, sum(CASE WHEN {TOLD} THEN c + d ELSE 0 END) AS others FROM disc_tables GROUP BY ALL),
+chosen AS MATERIALIZED (SELECT family, field, bin, coalesce(min(level) FILTER (WHERE good), max(level)) AS level, CASE WHEN bool_or(good) THEN 'STRATIFIED' ELSE 'UNADJUSTED_FALLBACK' END AS kind
+  FROM (SELECT *, strata >= {C.informative_strata} AND mine >= {C.discovery_support} AND others >= {C.discovery_support} AS good FROM by_level) GROUP BY family, field, bin),
+weighted AS MATERIALIZED (SELECT family, field, bin, stratum, (a + b + c + d)::DOUBLE AS w FROM disc_tables SEMI JOIN chosen USING (family, field, bin, level) WHERE {TOLD})
+"""
+
+
+def _metrics(source: str, support: int, defects: int) -> str:
+    z, z2 = C.wilson_z, C.wilson_z**2
+    told = lambda x: f"sum(CASE WHEN {TOLD} THEN {x} END)"
+    p = erfc_sql("abs(diff) / sqrt(var) / sqrt(2.0)")
+    return f"""(SELECT *, defects / support::DOUBLE AS crude, adjusted - comparator AS rd, CASE WHEN den > 0 THEN num / den END AS rr,
+  greatest(0.0, least(1.0, (defects / support::DOUBLE + {z2} / (2 * support)) / (1 + {z2} / support) - {z} / (1 + {z2} / support) * sqrt(defects / support::DOUBLE * (1 - defects / support::DOUBLE) / support + {z2} / (4.0 * support * support)))) AS crude_low,
+  greatest(0.0, least(1.0, (defects / support::DOUBLE + {z2} / (2 * support)) / (1 + {z2} / support) + {z} / (1 + {z2} / support) * sqrt(defects / support::DOUBLE * (1 - defects / support::DOUBLE) / support + {z2} / (4.0 * support * support)))) AS crude_high,
+  CASE WHEN strata > 0 AND var > 0 THEN least(1.0, {p}) ELSE 1.0 END AS p,
+  CASE WHEN strata = 0 THEN 'NO_INFORMATIVE_STRATA' WHEN support < {support} THEN 'LOW_SUPPORT' WHEN defects < {defects} THEN 'LOW_DEFECT_COUNT' WHEN var = 0 THEN 'NO_VARIATION' WHEN comparator = 0 THEN 'ZERO_COMPARATOR_RISK' ELSE 'NONE' END AS reason
+ FROM (SELECT family, field, bin, sum(a)::BIGINT AS defects, sum(a + b)::BIGINT AS support, count(*) FILTER (WHERE {TOLD}) AS strata, {told('w * a / (a + b)')} / {told('w')} AS adjusted, {told('w * c / (c + d)')} / {told('w')} AS comparator,
+  {told('(a + f) * (c + d + 2 * f) / (a + b + c + d + 4 * f)')} AS num, {told('(c + f) * (a + b + 2 * f) / (a + b + c + d + 4 * f)')} AS den, {told('a - (a + b) * (a + c) / (a + b + c + d)')} AS diff,
+  {told('CASE WHEN a + b + c + d > 1 THEN (a + b) * (c + d) * (a + c) * (b + d) / ((a + b + c + d) * (a + b + c + d) * (a + b + c + d - 1)) ELSE 0.0 END')} AS var
+  FROM (SELECT t.family, t.field, t.bin, t.a::DOUBLE AS a, t.b::DOUBLE AS b, t.c::DOUBLE AS c, t.d::DOUBLE AS d, w, CASE WHEN t.a = 0 OR t.b = 0 OR t.c = 0 OR t.d = 0 THEN 0.5 ELSE 0.0 END AS f FROM {source}_tables t SEMI JOIN chosen USING (family, field, bin, level) JOIN weighted USING (family, field, bin, stratum)) GROUP BY family, field, bin))"""
+
+
+RULES = PREP + f""", one AS MATERIALIZED {_metrics("disc", C.discovery_support, C.caution_defects)}, two AS MATERIALIZED {_metrics("conf", C.confirmation_support, C.confirmation_defects)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, field, bin) AS k, count(*) OVER (PARTITION BY family) AS m FROM one),
+tested AS MATERIALIZED (SELECT * EXCLUDE (k, m), least(1.0, min(p * m / k) OVER (PARTITION BY family ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ranked),
+ruled AS MATERIALIZED (SELECT t.*, c.level, c.kind, two.support AS c_support, two.defects AS c_defects, two.adjusted AS c_adjusted, two.comparator AS c_comparator, two.rd AS c_rd, two.rr AS c_rr, two.reason AS c_reason
+  FROM tested t JOIN chosen c USING (family, field, bin) LEFT JOIN two USING (family, field, bin)),
+flags AS (SELECT *, coalesce(reason = 'NONE' AND rr >= {C.rr_caution} AND rd >= {C.rd_caution} AND q <= {C.q_caution}, false) AS caution, coalesce(c_reason = 'NONE' AND c_rr > 1 AND c_rd > 0, false) AS again FROM ruled),
+graded AS MATERIALIZED (SELECT *, family || '|' || field || '|' || bin AS rule_id, CASE WHEN reason <> 'NONE' OR coalesce(c_reason <> 'NONE', true) THEN 'INSUFFICIENT_EVIDENCE'
+  WHEN caution AND defects >= {C.danger_defects} AND rr >= {C.rr_danger} AND rd >= {C.rd_danger} AND q <= {C.q_danger} AND again AND c_rr >= {C.confirm_rr_danger} AND kind = 'STRATIFIED' THEN 'DANGER'
+  WHEN caution AND again THEN 'CAUTION' WHEN caution THEN 'UNCONFIRMED' ELSE 'NORMAL' END AS grade FROM flags)
+"""
+
+
+def prepared(spark, d):
+    rows = bound.inner(spark, d)
+    discovery = rows.where("split = 'discovery'")
+    fine, coarse = map(bound.settled, R.bins(discovery, C))
+    return rows, discovery, fine, coarse
+
+
+@query("g1_candidates", PREP + "SELECT family, field, bin, count(*) AS members FROM disc_members GROUP BY ALL")
+def g1(spark, d):
+    _, discovery, fine, coarse = prepared(spark, d)
+    return R.memberships(discovery, fine, coarse).groupBy("family", "field", "bin").agg(F.count("*").alias("members"))
+
+
+@query("g4_g5_stratum_tables", PREP + "SELECT family, field, bin, level::INTEGER AS level, stratum, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d FROM disc_tables")
+def g5(spark, d):
+    _, discovery, fine, coarse = prepared(spark, d)
+    return R.stratum_tables(R.memberships(discovery, fine, coarse))
+
+
+@query("g3_adjustment_level", PREP + "SELECT family, field, bin, level::INTEGER AS level, kind FROM chosen")
+def g3(spark, d):
+    _, discovery, fine, coarse = prepared(spark, d)
+    return R.choose_level(R.stratum_tables(R.memberships(discovery, fine, coarse)), C)
+
+
+@query("g6_wilson_interval", BASE + f"SELECT steel_grade, round(greatest(0.0, least(1.0, (x / n + {C.wilson_z**2} / (2 * n)) / (1 + {C.wilson_z**2} / n) - {C.wilson_z} / (1 + {C.wilson_z**2} / n) * sqrt(x / n * (1 - x / n) / n + {C.wilson_z**2} / (4 * n * n)))), 6) AS low, round(greatest(0.0, least(1.0, (x / n + {C.wilson_z**2} / (2 * n)) / (1 + {C.wilson_z**2} / n) + {C.wilson_z} / (1 + {C.wilson_z**2} / n) * sqrt(x / n * (1 - x / n) / n + {C.wilson_z**2} / (4 * n * n)))), 6) AS high FROM (SELECT steel_grade, (count(*) FILTER (WHERE judge = '{DEFECT}'))::DOUBLE AS x, count(*)::DOUBLE AS n FROM replay GROUP BY 1)")
+def g6(spark, d):
+    rows = bound.replay(spark, d).groupBy("steel_grade").agg(F.count_if(F.col("judge") == DEFECT).alias("x"), F.count("*").alias("n"))
+    low, high = wilson(F.col("x"), F.col("n"), C.wilson_z)
+    return rows.select("steel_grade", r6(low).alias("low"), r6(high).alias("high"))
+
+
+METRICS = ("crude", "crude_low", "crude_high", "adjusted", "comparator", "rd", "rr", "p", "q", "c_adjusted", "c_comparator", "c_rd", "c_rr")
+ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
+
+
+@query("g7_g8_g9_g14_rule_metrics", RULES + f"SELECT family, field, bin, support, defects, reason, level::INTEGER AS level, kind, c_support, c_defects, c_reason, {ROUNDED} FROM ruled")
+def g7(spark, d):
+    return rounded(R.rule_metrics(bound.inner(spark, d), C), *METRICS)
+
+
+@query("g9_erfc", f"SELECT l_linenumber, round(sum({erfc_sql('l_discount * 10')}), 6) AS total FROM lineitem GROUP BY l_linenumber")
+def g9(spark, d):
+    return bindings.table(spark, d, "lineitem").groupBy("l_linenumber").agg(r6(F.sum(erfc(F.col("l_discount") * 10))).alias("total"))
+
+
+@query("g10_benjamini_hochberg", RULES + "SELECT family, field, bin, round(p, 6) AS p, round(q, 6) AS q FROM ruled")
+def g10(spark, d):
+    return rounded(R.rule_metrics(bound.inner(spark, d), C).select("family", "field", "bin", "p", "q"), "p", "q")
+
+
+@query("g15_g17_g18_graded_rules", RULES + "SELECT rule_id, family, field, bin, grade, kind, CASE WHEN family = 'CATEGORICAL' AND field = 'furnace_no' THEN 'EQUIPMENT_SPECIFIC' ELSE 'PROCESS_GLOBAL' END AS scope, CASE WHEN family = 'CATEGORICAL' AND field = 'furnace_no' THEN bin ELSE 'ALL' END AS equipment_id, true AS early_warning FROM graded")
+def g15(spark, d):
+    return R.graded_rules(bound.inner(spark, d), C).select("rule_id", "family", "field", "bin", "grade", "kind", "scope", "equipment_id", "early_warning")
+
+
+@query("g16_display_merge", RULES + """, numbered AS (SELECT rule_id, field, grade, bin::INTEGER AS bin FROM graded WHERE family = 'NUMERIC'),
+broken AS (SELECT n.*, CASE WHEN lag(f.upper) OVER w = f.lower THEN 0 ELSE 1 END AS new FROM numbered n JOIN fine f ON f.field = n.field AND f.bin = n.bin WINDOW w AS (PARTITION BY n.field, n.grade ORDER BY n.bin)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY field, grade ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run FROM broken)
+SELECT rule_id, array_to_string(list(rule_id) OVER (PARTITION BY field, grade, run ORDER BY rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), ',') AS members FROM runs QUALIFY count(*) OVER (PARTITION BY field, grade, run) >= 2""")
+def g16(spark, d):
+    rows, discovery, fine, _ = prepared(spark, d)
+    return R.merged_display(R.graded_rules(rows, C), fine).select("rule_id", F.array_join("members", ",").alias("members"))
+
+
+@query("g11_hashed_draws", "SELECT l_orderkey, l_linenumber, l_partkey, (('0x' || substr(sha256(unhex(sha256('seed') || lpad(lower(to_hex(l_orderkey)), 16, '0') || lpad(lower(to_hex(l_partkey)), 16, '0'))), 1, 16))::UBIGINT % 9973)::BIGINT AS draw FROM lineitem")
+def g11(spark, d):
+    rows = bindings.table(spark, d, "lineitem")
+    seed = F.sha2(F.lit("seed"), 256)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", hashed_draw(seed, F.col("l_orderkey"), F.col("l_partkey"), F.lit(9973)).alias("draw"))
+
+
+def _blocks(spark, d):
+    rows, discovery, fine, coarse = prepared(spark, d)
+    members = R.memberships(discovery, fine, coarse)
+    level = R.choose_level(R.stratum_tables(members), C)
+    graded = R.graded_rules(rows, C).where("grade in ('DANGER', 'CAUTION')").select("family", "field", "bin")
+    return R.charge_blocks(members, level.join(graded, ["family", "field", "bin"]))
+
+
+@query("g13_bootstrap_blocks", RULES + f""", hot AS (SELECT family, field, bin AS rule_bin, level FROM graded WHERE grade IN ('DANGER', 'CAUTION')), staged AS (
+{" UNION ALL ".join(f"SELECT family, field, bin, charge_id, judge, {i} AS level, " + (" || ';' || ".join(f"CASE WHEN field = '{c}' THEN '' ELSE '{c}=' || {c} END" for c in lv) or "'all'") + " AS stratum FROM disc_members" for i, lv in enumerate(ADJUSTMENTS))})
+SELECT family || '|' || field || '|' || rule_bin AS rule_id, charge_id, stratum, count(*) FILTER (WHERE bin = rule_bin AND judge = '{DEFECT}') AS a, count(*) FILTER (WHERE bin = rule_bin AND judge <> '{DEFECT}') AS b, count(*) FILTER (WHERE bin <> rule_bin AND judge = '{DEFECT}') AS c, count(*) FILTER (WHERE bin <> rule_bin AND judge <> '{DEFECT}') AS d FROM staged JOIN hot USING (family, field, level) GROUP BY ALL""")
+def g13(spark, d):
+    return _blocks(spark, d)
+
+
+@query("g12_bootstrap_intervals")
+def g12(spark, d):
+    return R.bootstrap_intervals(_blocks(spark, d), C.bootstrap_replicates, C.bootstrap_valid)
+
+
+@query("g19_rule_contributors", RULES + "SELECT g.rule_id, m.charge_id, m.slab_no FROM graded g JOIN disc_members m USING (family, field, bin) WHERE grade IN ('DANGER', 'CAUTION')")
+def g19(spark, d):
+    rows, discovery, fine, coarse = prepared(spark, d)
+    hot = R.graded_rules(rows, C).where("grade in ('DANGER', 'CAUTION')").select("rule_id", "family", "field", "bin")
+    return R.memberships(discovery, fine, coarse).join(F.broadcast(hot), ["family", "field", "bin"]).select("rule_id", "charge_id", "slab_no")
+
+

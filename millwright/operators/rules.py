@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,7 +128,8 @@ def rule_metrics(inner: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """Discovery and confirmation metrics of every candidate, q-values included."""
     discovery, confirmation = inner.where("split = 'discovery'"), inner.where("split = 'confirmation'")
     numeric, coarse = bins(discovery, cfg)
-    found, held = stratum_tables(memberships(discovery, numeric, coarse)), stratum_tables(memberships(confirmation, numeric, coarse))
+    numeric, coarse = numeric.persist(StorageLevel.MEMORY_AND_DISK), coarse.persist(StorageLevel.MEMORY_AND_DISK)  # a few rows a field
+    found, held = (stratum_tables(memberships(part, numeric, coarse)).persist(StorageLevel.MEMORY_AND_DISK) for part in (discovery, confirmation))
     level = choose_level(found, cfg)
     keys = ["family", "field", "bin", "level"]
     mine = found.join(level.drop("kind"), keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,13 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 16, limit: int
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most ``rows`` rows, so that what is built from one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_batches(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     """UTF-8 bytes of a string column of an Arrow batch, without decoding to ``str``."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import held_out, text_batches
+from millwright.llm.common import held_out, slices, text_batches
 
 UNKNOWN = "und"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     doc_id and text are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = np.array([UNKNOWN] * batch.num_rows, object), np.zeros(batch.num_rows)
             texts = text_batches(batch)
             known = np.flatnonzero(np.array(batch.column(2).to_pylist(), bool)) if net is not None else []

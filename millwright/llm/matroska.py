@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millwright.llm.common import text_batches
+from millwright.llm.common import slices, text_batches
 
 # Fixed values of the EBML and Matroska formats: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -234,7 +234,7 @@ def _map(rows: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (of the UTF-8 text; null as empty) and ``media``, a Matroska file of the padded bytes, for each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_batches(batch)
             for i in range(0, len(texts), 500):  # media repeat the texts: small batches bound the memory
                 some = texts[i : i + 500]
@@ -256,7 +256,7 @@ def packets(media: DataFrame) -> DataFrame:
     names = ["doc_id", "packet", "track", "timestamp_ns", "byte_start", "byte_length", "lacing", "keyframe"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for i, data in enumerate(batch.column(1).to_pylist()):
                 found = parse(data or b"").packets
                 ids = batch.column(0).take(pa.array([i] * len(found), pa.int64()))
@@ -283,7 +283,7 @@ def describe(media: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data in batch.column(2).to_pylist():
                 data = data or b""
@@ -301,7 +301,7 @@ def describe(media: DataFrame) -> DataFrame:
 def cue_table(media: DataFrame) -> DataFrame:
     """One row per cue: doc_id, cue, timestamp_ns, track, cluster_offset."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(i, k, *c) for i, data in enumerate(batch.column(1).to_pylist()) for k, c in enumerate(parse(data or b"").cues)]
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *[pa.array([f[k] for f in found], pa.int64()) for k in range(1, 5)]], names=["doc_id", "cue", "timestamp_ns", "track", "cluster_offset"])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import broadcast_if_small, remove, text_batches, written
+from millwright.llm.common import broadcast_if_small, remove, slices, text_batches, written
 from millwright.llm.components import connected_components
 
 
@@ -99,7 +99,7 @@ def signature(shingles: np.ndarray, cfg: NearDupConfig) -> np.ndarray:
 def signatures(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """doc_id, n_shingles, set_lo, set_hi (a 128-bit hash of the set), sig; one row per row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, lo, hi, sig = [], [], [], []
             for text in text_batches(batch):
                 s = shingle_set(text, cfg.shingle_words)
@@ -133,7 +133,7 @@ def bit_map(shingles: np.ndarray) -> np.ndarray:
 def shingle_sets(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """doc_id, n (elements), bits (see :func:`bit_map`) and shingles (array of long)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, cfg.shingle_words) for t in text_batches(batch)]
             yield pa.RecordBatch.from_arrays(
                 [

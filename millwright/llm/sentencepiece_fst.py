@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millwright.llm.common import slices
+
 MARK = "▁"
 _INFINITY = float("inf")
 #: Piece types of the model file.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-_KEPT_STRETCHES, _KEPT_LENGTH = 400_000, 48
+_KEPT_STRETCHES, _KEPT_LENGTH, _KEPT_PAIRS = 80_000, 48, 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -96,10 +98,17 @@ class Transducer:
         machine = self
 
         class Kept(dict):
+            """Paths of short stretches in two generations: a full one becomes the old one, whose used entries come back."""
+
+            old: dict = {}
+
             def __missing__(self, stretch: str) -> bytes:
-                found = machine.shortest_path(stretch)
+                found = self.old.get(stretch)
+                if found is None:
+                    found = machine.shortest_path(stretch)
                 if len(stretch) <= _KEPT_LENGTH:
                     if len(self) >= _KEPT_STRETCHES:
+                        self.old = dict(self)
                         self.clear()
                     self[stretch] = found
                 return found
@@ -132,7 +141,7 @@ class Transducer:
     def _follows(self, left: int, right: int) -> bool:
         """Whether two symbols side by side are what the merges leave of them; symbol 0 is the start."""
         a, b = self._symbols[left], self._symbols[right]
-        if len(self._stable) > 1_500_000:
+        if len(self._stable) > _KEPT_PAIRS:
             self._stable.clear()
         known = self._stable[left << 32 | right] = self.merged(a + b) == ([a, b] if a else [b])
         return known
@@ -249,7 +258,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids, same = [], []
             for text in batch.column(1).to_pylist():
                 found = machine.encode(text)
@@ -276,7 +285,7 @@ def decode(tokens: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if ids is None else machine.decode(np.array(ids, np.int32)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

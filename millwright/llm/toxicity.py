@@ -20,7 +20,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import held_out, text_batches
+from millwright.llm.common import held_out, slices, text_batches
 
 #: Windows start at a space and end before the first space after this many bytes.
 WINDOW = 56
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             scores = scorer.scores(text_batches(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= model.threshold).astype(np.int32))],
@@ -196,7 +196,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             keep = scorer.scores(text_batches(batch.select([at]))) < model.threshold
             yield batch.filter(pa.array(keep))
 

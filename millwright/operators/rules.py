@@ -89,8 +89,8 @@ def metrics(tables: DataFrame, weights: DataFrame, cfg: AnalysisConfig, support:
     ``weights``: (family, field, bin, stratum, w) of the discovery rows; strata without a weight are left out and the
     others' weights renormalised. Ratio cells get 0.5 in strata with a zero cell only; the test uses raw cells without correction.
     """
-    t = tables.join(weights, ["family", "field", "bin", "stratum"])
-    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
+    t = tables.join(weights, ["family", "field", "bin", "stratum"]).withColumns({f"{x}_": F.col(x).cast("double") for x in "abcd"})
+    a, b, c, d = (F.col(f"{x}_") for x in "abcd")
     n = a + b + c + d
     told = (a + b > 0) & (c + d > 0)
     fix = F.when((a == 0) | (b == 0) | (c == 0) | (d == 0), 0.5).otherwise(0.0)
@@ -103,8 +103,10 @@ def metrics(tables: DataFrame, weights: DataFrame, cfg: AnalysisConfig, support:
         only(fa * (fc + fd) / fn).alias("num"), only(fc * (fa + fb) / fn).alias("den"),
         only(a - (a + b) * (a + c) / n).alias("diff"), only(F.when(n > 1, (a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))).otherwise(0.0)).alias("var"),
     )
+    # a few hundred rows, kept: inlined into the expressions below, the sums would be planned dozens of times over
+    out = out.withColumn("z", F.abs(F.col("diff")) / F.sqrt(F.col("var")) / F.lit(2.0**0.5)).persist(StorageLevel.MEMORY_AND_DISK)
     low, high = wilson(F.col("defects"), F.col("support"), cfg.wilson_z)
-    p = F.when(F.col("var") > 0, F.least(F.lit(1.0), erfc(F.abs(F.col("diff")) / F.sqrt(F.col("var")) / F.lit(2.0**0.5)))).otherwise(1.0)
+    p = F.when(F.col("var") > 0, F.least(F.lit(1.0), erfc(F.col("z")))).otherwise(1.0)
     reason = (
         F.when(F.col("strata") == 0, "NO_INFORMATIVE_STRATA").when(F.col("support") < support, "LOW_SUPPORT").when(F.col("defects") < defects, "LOW_DEFECT_COUNT")
         .when(F.col("var") == 0, "NO_VARIATION").when(F.col("comparator") == 0, "ZERO_COMPARATOR_RISK").otherwise("NONE")

@@ -85,7 +85,7 @@ def k9(spark, d):
     return built(spark, d).agg(F.count("*").alias("events"), F.count_distinct("material_key").alias("materials"), F.count_distinct("batch_id", "batch_step").alias("units"))
 
 
-@query("k8_equipment_snapshot", EVENTS + "SELECT equipment_type, equipment_id, unit, count(*) AS materials FROM (SELECT *, dense_rank() OVER (ORDER BY replay_date, kind_rank, hour_rank, batch_id, stage_rank) AS unit FROM evented) GROUP BY ALL QUALIFY unit = max(unit) OVER (PARTITION BY equipment_type, equipment_id)")
+@query("k8_equipment_snapshot", EVENTS + "SELECT * FROM (SELECT equipment_type, equipment_id, unit, count(*) AS materials FROM (SELECT *, dense_rank() OVER (ORDER BY replay_date, kind_rank, hour_rank, batch_id, stage_rank) AS unit FROM evented) GROUP BY equipment_type, equipment_id, unit) QUALIFY unit = max(unit) OVER (PARTITION BY equipment_type, equipment_id)")
 def k8(spark, d):
     by = E.units(built(spark, d)).groupBy("equipment_type", "equipment_id", "unit").agg(F.count("*").alias("materials"))
     return by.groupBy("equipment_type", "equipment_id").agg(F.max(F.struct("unit", "materials")).alias("x")).select("equipment_type", "equipment_id", "x.unit", "x.materials")

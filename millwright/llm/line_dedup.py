@@ -5,6 +5,9 @@ line and wherever the rolling hash has a local minimum, so boundaries depend on
 insertions before or after a passage, and inner chunks have two lines or more (three on average).
 Chunks of two or more lines that occur more than once in the corpus are candidates by hash; their bytes are compared, and all
 but the first occurrence (least doc_id, then place) are taken out of their texts.
+
+Chunk boundaries need a few lines of content, so a passage of two to five lines seldom holds a whole chunk. The second half
+works on every two neighbouring lines instead: a run of two or more lines that occurred before goes whole, whatever surrounds it.
 """
 
 from __future__ import annotations
@@ -120,3 +123,80 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
   coalesce(t.removed_chunks, 0) AS removed_chunks, coalesce(t.removed_lines, 0) AS removed_lines
 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN totals t ON d.doc_id = t.doc_id
 """
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__lines`` and ``__marks``: a 64-bit hash of each two neighbouring lines, null where both are blank."""
+    steps = docs.withColumn("__lines", F.split("text", "\n"))
+    pairs = F.size("__lines") - 1
+    return steps.withColumn("__marks", F.zip_with(
+        F.slice("__lines", F.lit(1), pairs), F.slice("__lines", F.lit(2), pairs),
+        lambda a, b: F.when(a.rlike("[^ \t\r]") | b.rlike("[^ \t\r]"), F.xxhash64(a, b)),
+    ))
+
+
+def _key(start: F.Column, mark: F.Column) -> F.Column:
+    """A pair's place in the upper and half of its hash in the lower 32 bits of a long."""
+    return F.shiftleft(start.cast("long"), 32).bitwiseOR(mark.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(__id, __start, __mark) of every pair of neighbouring lines that occurred before, compared by bytes.
+
+    A pair that overlaps its own first occurrence (three equal lines) is not a second one.
+    """
+    base = docs.select(F.col("doc_id").alias("__id"), "text").where("doc_id is not null and text is not null")
+    parts = _pairs(base)
+    marks = parts.select(F.explode("__marks").alias("__mark")).where("__mark is not null").groupBy("__mark").agg(F.count("*").alias("__count"))
+    marks, marks_path = written(marks.where("__count > 1").select("__mark"), "marks")
+    rows = parts.select("__id", F.explode(F.transform("__marks", lambda m, i: F.struct(
+        i.alias("start"), m.alias("mark"), F.concat_ws("\n", F.get("__lines", i), F.get("__lines", i + 1)).alias("bytes")
+    ))).alias("__c")).select("__id", *[F.col(f"__c.{c}").alias(f"__{c}") for c in ("start", "mark", "bytes")])
+    found, path = written(rows.join(broadcast_if_small(marks, marks.count()), "__mark", "left_semi").select("__id", "__start", "__mark", "__bytes"), "pairs")
+    firsts = found.groupBy("__mark", "__bytes").agg(F.min(F.struct("__id", "__start")).alias("__first"), F.count("*").alias("__count")).where("__count > 1")
+    overlaps = (F.col("__id") == F.col("__first.__id")) & F.col("__start").isin(F.col("__first.__start"), F.col("__first.__start") + 1)
+    surplus = found.join(firsts.drop("__count"), ["__mark", "__bytes"]).where(~overlaps)
+    result, _ = written(surplus.select("__id", "__start", "__mark").distinct(), "surplus")
+    remove(docs.sparkSession, path, marks_path)
+    return result
+
+
+def drop_repeated_passages(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` with ``text`` changed and ``removed_lines`` added: each run of two or more lines that occurred before is out.
+
+    Earlier is by doc_id, then place. The first occurrence of every distinct line stays, so no line is lost to the corpus.
+    Rows with a null doc_id, repeated ids, null and one-line texts are treated as by :func:`drop_repeated_chunks`.
+    """
+    docs = docs.drop("removed_lines")
+    surplus = repeated_pairs(docs)
+    per_doc = surplus.groupBy("__id").agg(F.collect_set(_key(F.col("__start"), F.col("__mark"))).alias("__gone"))
+    n = surplus.agg(F.count("*"), F.approx_count_distinct("__id")).first()
+    per_doc = broadcast_if_small(per_doc, n[0] + 4 * n[1], row_bytes=12)
+    parts = _pairs(docs.join(per_doc, F.col("doc_id") == F.col("__id"), "left").drop("__id"))
+    # set operations on arrays of numbers only: linear in a text's lines
+    here = F.array_intersect(F.transform("__marks", lambda m, i: _key(i, m)), "__gone")
+    starts = parts.withColumn("__starts", F.transform(here, lambda k: F.shiftright(k, 32).cast("int")))
+    lines = F.array_union("__starts", F.transform("__starts", lambda i: i + 1))
+    kept = starts.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), lines))
+    touched = F.col("__kept").isNotNull()
+    text = F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
+    return kept.select(
+        *[F.when(touched, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.when(touched, F.size("__lines") - F.size("__kept")).otherwise(0).cast("long").alias("removed_lines"),
+    )
+
+
+PASSAGES_ORACLE = """
+WITH lines AS (
+  SELECT doc_id, i, arr[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents WHERE text IS NOT NULL), range(1, len(arr) + 1) AS t(i)
+),
+paired AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM lines),
+pairs AS (SELECT * FROM paired WHERE next IS NOT NULL AND (trim(line, chr(32) || chr(9) || chr(13)) <> '' OR trim(next, chr(32) || chr(9) || chr(13)) <> '')),
+ranked AS (SELECT *, first_value(doc_id) OVER w AS d0, first_value(i) OVER w AS i0 FROM pairs WINDOW w AS (PARTITION BY line, next ORDER BY doc_id, i)),
+again AS (SELECT doc_id, i FROM ranked WHERE NOT (doc_id = d0 AND i IN (i0, i0 + 1))),
+gone AS (SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again),
+totals AS (SELECT doc_id, count(*) AS removed_lines FROM gone GROUP BY doc_id),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(t.removed_lines, 0) AS removed_lines
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN totals t ON d.doc_id = t.doc_id
+"""

@@ -55,6 +55,10 @@ def op9_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,11 +67,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_cnn_language_id, op2_simhash_decontamination, op3_sentencepiece_fst, op4_size_tiered_sharding, op5_minhash_near_dedup,
-        op6_matroska_media, op7_chat_collapse, op8_warc_normaliser, op9_line_chunk_dedup, op10_toxicity,
+        op6_matroska_media, op7_chat_collapse, op8_warc_normaliser, op9_line_chunk_dedup, op9_repeated_passages, op10_toxicity,
     )
 }
 ORACLES = {
     "op4_size_tiered_sharding": OP4,
     "op7_chat_collapse": chat_format.ORACLE,
     "op9_line_chunk_dedup": line_dedup.ORACLE,
+    "op9_repeated_passages": line_dedup.PASSAGES_ORACLE,
 }

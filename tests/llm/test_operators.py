@@ -94,6 +94,29 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.drop_repeated_chunks(odd(spark).limit(0)).count() == 0
 
 
+def test_repeated_passages_of_two_to_five_lines_go_whole(spark):
+    def lines(tag, n):
+        return [f"{tag} line {i} of its own" for i in range(n)]
+
+    rows, passages = [], {}
+    for k in range(40):
+        passages[k] = lines(f"passage{k}", 2 + k % 4)
+        rows.append((k, "\n".join(lines(f"a{k}", k % 5) + passages[k] + lines(f"b{k}", 3))))
+        rows.append((100 + k, "\n".join(lines(f"c{k}", 1 + k % 3) + passages[k] + lines(f"d{k}", k % 4))))
+    rows += [(200, "same\nsame\nsame\nsame\nsame"), (201, "x\ny"), (202, "x\ny\nz"), (203, "y\nz"), (204, "p\n\n\nq"), (205, "r\n\n\ns")]
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_passages(documents(spark, *rows)).collect()}
+    for k in range(40):
+        assert got[k].removed_lines == 0 and got[k].text == dict(rows)[k]
+        assert got[100 + k].text == "\n".join(lines(f"c{k}", 1 + k % 3) + lines(f"d{k}", k % 4)) and got[100 + k].removed_lines == 2 + k % 4
+    assert got[200].text == "same\nsame" and got[202].text == "z" and got[203].text == "" and got[203].removed_lines == 2
+    assert got[204].text == "p\n\n\nq" and got[205].text == "r\n\n\ns"
+    assert {x for r in got.values() for x in r.text.split("\n")} >= {x for _, t in rows for x in t.split("\n")}
+    odd_rows = {r.doc_id: r for r in line_dedup.drop_repeated_passages(odd(spark)).collect()}
+    assert odd_rows[1].text is None and odd_rows[4].text == LONG and odd_rows[7].text == "" and odd_rows[7].removed_lines == 4000
+    assert odd_rows[None].text == "x y z" and odd_rows[1].component_id == "clash"
+    assert line_dedup.drop_repeated_passages(odd(spark).limit(0)).count() == 0
+
+
 def test_toxicity_held_out_and_odd_rows(spark):
     sf = f"{DATA}/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

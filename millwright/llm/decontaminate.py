@@ -1,18 +1,22 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Words are lower-cased (A-Z), ASCII punctuation is taken out. Every window of a text as long as a benchmark item (lengths within 4% share
-one window size; windows start at every word, or at every twentieth of their length where that is more) gets a 64-bit SimHash of its two-word shingles. Fingerprints are looked up in a multi-index: four 16-bit blocks, each filed
-under all values within two bit errors, so by pigeonhole every window within Hamming distance 11 of an item is found.
-A found window is then verified on its words: the similarity of the item's five-word shingles and those of the best window
-of exactly the item's length nearby, weighted by their counts (sum of minima over sum of maxima), must reach 0.8.
+Words are lower-cased (A-Z), ASCII punctuation is taken out. A text contains an item if the weighted similarity of the item's
+five-word shingles (the item itself where it is shorter) and those of some window of the item's length reaches 0.8: sum of
+minima over sum of maxima of their counts. A text shorter than the item is one window; no window has words of two texts.
+
+1. Any such window holds 80 % of the item's shingles, so one of its rarest fifth and one more (pigeonhole). Those are looked up
+   for every position of every text; a text that has one is a candidate for the item. Nothing is lost here.
+2. Of a candidate, every window that holds enough of the item's shingles to reach 0.8 gets a 64-bit SimHash of its two-word
+   shingles, and those within Hamming distance 28 of the item's go on. At similarity 0.8 the windows share 8 of 9 features,
+   a bit differs with a probability of 0.152 and more than 28 differ once in 10**8 (binomial).
+3. What is left is verified on its words, the most promising window first; none that could be better is left out.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +26,18 @@ from pyspark.sql import functions as F
 from millwright.llm.common import slices, text_batches
 from millwright.llm.near_dedup import _BASE, _mix, word_hashes
 
-BLOCKS, BLOCK_BITS, ERRORS = 4, 16, 2
-RADIUS = BLOCKS * (ERRORS + 1) - 1
+#: Bits that a window's fingerprint may differ in; see the module's text for the miss rate.
+RADIUS = 28
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-#: Words that are fingerprinted at a time: few enough for the bit counts to stay in the processor's cache.
+#: Words that are looked up or fingerprinted at a time: few enough to stay in the processor's cache.
 _AT_ONCE = 6000
-_MASK = 64
+_SEEN = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
     shingle_words: int = 5
     similarity: float = 0.8
-    length_step: float = 1.08
     items_at_once: int = 5000
 
 
@@ -78,79 +81,86 @@ def _running(bits: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _window_prints(running: np.ndarray, size: int, stride: int = 1) -> np.ndarray:
-    counts = running[size::stride] - running[:-size:stride]
+def _window_prints(running: np.ndarray, size: int) -> np.ndarray:
+    counts = running[size:] - running[:-size]
     return np.packbits(counts > size // 2, axis=1).view(np.uint64).ravel()
 
 
 class Index:
-    """Items by window size, in groups of up to 64, each with its multi-index tables."""
+    """Items with their fingerprints, and their rarest shingles by shingle size."""
 
     def __init__(self, items: list[tuple[int, bytes | None]], settings: Settings):
         self.settings = settings
         self.items = [(key, w, Counter(shingles(w, settings.shingle_words).tolist())) for key, w in ((k, normal_words(t)) for k, t in items) if len(w)]
-        classes: dict[int, list[int]] = defaultdict(list)
-        for at, (_, words, _) in enumerate(self.items):
-            step = round(np.log(len(words)) / np.log(settings.length_step)) if len(words) > 1 else 0
-            classes[max(2, round(settings.length_step**step))].append(at)
-        self.tiny = {at for at, (_, w, _) in enumerate(self.items) if len(w) == 1}
-        patterns = [sum(1 << b for b in c) for e in range(ERRORS + 1) for c in combinations(range(BLOCK_BITS), e)]
-        patterns = np.array(patterns, np.uint16)
-        self.groups = []
-        for size, members in sorted(classes.items()):
-            members = [m for m in members if m not in self.tiny]
-            for i in range(0, len(members), _MASK):
-                part = members[i : i + _MASK]
-                prints = np.array([self._print(self.items[m][1]) for m in part], np.uint64)
-                tables = np.zeros((BLOCKS, 1 << BLOCK_BITS), np.uint64)
-                for bit, value in enumerate(prints.view(np.uint16).reshape(-1, BLOCKS)):
-                    for block in range(BLOCKS):
-                        tables[block, value[block] ^ patterns] |= np.uint64(1 << bit)
-                self.groups.append((size, part, prints, tables, (tables != 0).astype(np.uint8)))
+        self.prints = np.array([self._print(w) for _, w, _ in self.items], np.uint64)
+        self.shingles = [np.array(sorted(counts), np.uint64) for _, _, counts in self.items]
+        spread = Counter(s for _, _, counts in self.items for s in counts)
+        rare: dict[int, set[tuple[int, int]]] = {}
+        for member, (_, words, counts) in enumerate(self.items):
+            total = sum(counts.values())
+            needed = max(1, int(np.ceil(settings.similarity * total - 1e-9)))
+            by_rarity = sorted(counts.elements(), key=lambda s: (spread[s], s))
+            rare.setdefault(min(settings.shingle_words, len(words)), set()).update((s, member) for s in by_rarity[: total - needed + 1])
+        self.rare = {}
+        for size, pairs in sorted(rare.items()):
+            keys, members = (np.array(x, t) for x, t in zip(zip(*sorted(pairs), strict=True), (np.uint64, np.int64), strict=True))
+            seen = np.zeros(_SEEN, bool)
+            seen[keys & np.uint64(_SEEN - 1)] = True
+            self.rare[size] = keys, members, seen
 
     @staticmethod
     def _print(words: np.ndarray) -> int:
-        features = _pairs(words)
+        features = _pairs(words) if len(words) > 1 else words
         return int(fingerprints(features, len(features))[0])
 
-    def _hits(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(position, window words, item) of every window within the radius of an item of its size."""
-        features = _pairs(words) if len(words) > 1 else words
-        bits, running = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1), {}
-        for size, members, prints, tables, filed in self.groups:
-            span, stride = min(size - 1, len(features)), max(1, size // 20)
-            wide = span > 255
-            if wide not in running:
-                running[wide] = _running(bits, span)
-            found = _window_prints(running[wide], span, stride)
-            parts = found.view(np.uint16).reshape(-1, BLOCKS)
-            some = filed[0][parts[:, 0]]
-            for block in range(1, BLOCKS):
-                some |= filed[block][parts[:, block]]
-            some = np.flatnonzero(some)
-            found, parts = found[some], parts[some]
-            near = tables[0][parts[:, 0]]
-            for block in range(1, BLOCKS):
-                near |= tables[block][parts[:, block]]
-            for bit, member in enumerate(members):
-                at = np.flatnonzero(near & np.uint64(1 << bit))
-                close = at[np.bitwise_count(found[at] ^ prints[bit]) <= RADIUS]
-                for position in some[close].tolist():
-                    yield position * stride, size, member
-
-    def _best(self, words: np.ndarray, near: set[int], member: int) -> tuple[float, int]:
-        """Highest similarity of the item and a window of its length that starts at one of ``near``, and the first such start."""
+    def _bounds(self, found: np.ndarray, member: int, words: int) -> np.ndarray:
+        """An upper bound of the similarity of each window: ``found`` has the shingles of a stretch of so many words."""
+        _, item, counts = self.items[member]
+        keys = self.shingles[member]
+        width = min(len(item), words) - min(self.settings.shingle_words, len(item)) + 1
+        held = keys[np.minimum(np.searchsorted(keys, found), len(keys) - 1)] == found
+        running = np.concatenate([[0], np.cumsum(held)])
+        inside = running[width:] - running[:-width]
+        return inside / (sum(counts.values()) + width - np.minimum(inside, width))
+
+    def _near(self, words: np.ndarray, starts: np.ndarray, member: int) -> np.ndarray:
+        """Those of the (sorted) window starts whose fingerprint is within the radius of the item's."""
+        size = min(len(self.items[member][1]), len(words))
+        kept = [np.empty(0, np.int64)]
+        at = 0
+        while at < len(starts):
+            until = int(np.searchsorted(starts, starts[at] + _AT_ONCE))
+            piece = words[starts[at] : starts[until - 1] + size]
+            features, span = (_pairs(piece), size - 1) if size > 1 else (piece, 1)
+            prints = _window_prints(_running(np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1), span), span)
+            part = starts[at:until]
+            kept.append(part[np.bitwise_count(prints[part - part[0]] ^ self.prints[member]) <= RADIUS])
+            at = until
+        return np.concatenate(kept)
+
+    def _best(self, words: np.ndarray, near: Iterable[int], member: int) -> tuple[float, int]:
+        """Highest similarity of the item and a window of its length that starts at one of ``near``, and the first such start.
+
+        Windows that cannot reach the wanted similarity are not looked at; without any other it is -1.
+        """
         _, item, counts = self.items[member]
-        size = len(item)
-        last = max(0, len(words) - size)
+        last = max(0, len(words) - len(item))
+        starts = np.unique(np.clip(np.fromiter(near, np.int64), 0, last))
+        size = min(self.settings.shingle_words, len(item))
         best = (-1.0, 0)
-        low, high = max(0, min(min(near), last)), min(max(near), last) + size
-        around = shingles(words[max(0, low) : max(0, high)], self.settings.shingle_words).tolist()
-        if sum(s in counts for s in around) < self.settings.similarity * sum(counts.values()):
-            return best  # no window of this stretch can share enough
-        for start in sorted({min(max(0, s), last) for s in near}):
-            got = weighted_similarity(counts, Counter(shingles(words[start : start + size], self.settings.shingle_words).tolist()))
-            if got > best[0]:
+        if not len(starts) or len(words) < size:
+            return best
+        low = int(starts[0])
+        stretch = words[low : int(starts[-1]) + len(item)]
+        found = shingles(stretch, size)
+        bounds = self._bounds(found, member, len(stretch))[starts - low]
+        width = min(len(item), len(stretch)) - size + 1
+        for k in np.lexsort((starts, -bounds)).tolist():
+            start, bound = int(starts[k]), float(bounds[k])
+            if bound < max(best[0], self.settings.similarity - 1e-9) or (bound == best[0] and start > best[1]):
+                break
+            got = weighted_similarity(counts, Counter(found[start - low : start - low + width].tolist()))
+            if got > best[0] or (got == best[0] and start < best[1]):
                 best = (got, start)
         return best
 
@@ -169,33 +179,24 @@ class Index:
         return out
 
     def _search(self, words: list[np.ndarray], out: list, first: int) -> None:
-        """Several texts side by side; a window over a border is looked at in each text it touches."""
+        """Several texts side by side; shingles over a border are nobody's."""
         starts = np.cumsum([0, *map(len, words)])
         joined = np.concatenate(words)
-        near: dict[tuple[int, int], set[int]] = defaultdict(set)
-        if len(joined) > 1:
-            for lo in range(0, len(joined), 4 * _AT_ONCE):  # a very long text in overlapping pieces
-                longest = max((g[0] for g in self.groups), default=0)
-                piece = joined[lo : lo + 4 * _AT_ONCE + longest]
-                if len(piece) < 2:
-                    break
-                for position, size, member in self._hits(piece):
-                    position += lo
-                    slack = abs(size - len(self.items[member][1])) + 2 + size // 20
-                    k = int(np.searchsorted(starts, position, "right")) - 1
-                    while k < len(words) and starts[k] < position + size:
-                        if min(starts[k + 1], position + size) - max(starts[k], position) > size // 2:
-                            at = position - int(starts[k])
-                            near[k, member].update(range(at - slack, at + slack + 1))
-                        k += 1
-        for member in self.tiny:  # items of one word: the texts that are that word
-            for k, w in enumerate(words):
-                if len(w) == 1 and w[0] == self.items[member][1][0]:
-                    near[k, member].add(0)
-        for (k, member), positions in near.items():
-            similarity, start = self._best(words[k], positions, member)
-            if similarity >= self.settings.similarity:
-                out[first + k].append((self.items[member][0], similarity, start))
+        for size, (keys, members, seen) in self.rare.items():
+            if len(joined) < size:
+                continue
+            found = shingles(joined, size)
+            at = np.flatnonzero(seen[found & np.uint64(_SEEN - 1)])
+            lo, hi = np.searchsorted(keys, found[at], "left"), np.searchsorted(keys, found[at], "right")
+            text = np.searchsorted(starts, at, "right") - 1
+            own = np.flatnonzero((hi > lo) & (at + size <= starts[text + 1]))
+            ranges = sorted({(int(text[i]), int(lo[i]), int(hi[i])) for i in own})
+            for k, member in sorted({(k, int(m)) for k, a, b in ranges for m in members[a:b]}):
+                bounds = self._bounds(found[starts[k] : starts[k + 1] - size + 1], member, len(words[k]))
+                dense = np.flatnonzero(bounds >= self.settings.similarity - 1e-9)
+                similarity, start = self._best(words[k], self._near(words[k], dense, member), member)
+                if similarity >= self.settings.similarity:
+                    out[first + k].append((self.items[member][0], similarity, start))
         for k in range(len(words)):
             out[first + k].sort()
 

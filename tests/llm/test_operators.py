@@ -173,6 +173,50 @@ def test_decontamination_equals_all_windows(spark):
     assert got == plain_contamination(index, texts)
 
 
+def all_windows(items, texts):
+    """{(row, item key): highest similarity} where it reaches 0.8, from words and their runs alone."""
+    from collections import Counter
+
+    def runs(words, n):
+        return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+
+    found = {}
+    for row, text in enumerate(texts):
+        for key, item in items:
+            w, m = text.decode().split(), item.decode().split()
+            n = min(5, len(m))
+            best = 0.0
+            for i in range(max(1, len(w) - len(m) + 1)):
+                a, b = runs(m, n), runs(w[i : i + len(m)], n)
+                best = max(best, (a & b).total() / max(1, (a | b).total()))
+            if best >= 0.8:
+                found[row, key] = best
+    return found
+
+
+def searched(items, texts):
+    index = decontaminate.Index(items, decontaminate.Settings())
+    return {(row, key): similarity for row, hits in enumerate(index.search(texts)) for key, similarity, _ in hits}
+
+
+def test_shortened_items_among_neighbours_are_found():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    items = [(k, " ".join(word() for _ in range(15 + k % 46)).encode()) for k in range(150)]
+    texts = []
+    for k, item in items:
+        words = item.split()
+        cut = rng.randrange(max(1, len(words) // 4))
+        texts.append(b" ".join(words[: len(words) - cut] if k % 2 else words[cut:]))
+        texts.append(" ".join(word() for _ in range(rng.randrange(1, 60))).encode())
+        middle = len(words) // 2  # a longer text, a stretch of whose window is replaced
+        texts.append(b" ".join([word().encode(), *words[:middle], *[word().encode() for _ in range(cut // 2)], *words[middle + cut // 2 :], word().encode()]))
+    got, want = searched(items, texts), all_windows(items, texts)
+    assert got == pytest.approx(want) and 150 < len(want) < 300
+
+
 def test_sentencepiece_equals_library_and_round_trips(spark):
     sp = pytest.importorskip("sentencepiece")
     path = tokenizer_path("piece_bpe_32k.model")

@@ -217,6 +217,14 @@ def test_shortened_items_among_neighbours_are_found():
     assert got == pytest.approx(want) and 150 < len(want) < 300
 
 
+def test_items_of_one_to_four_words_are_found_inside_longer_texts():
+    items = [(1, b"tungsten"), (2, b"blue whale"), (3, b"the treaty of"), (4, b"four score and seven"), (5, b"five words are one run"), (6, b"six words are two whole runs")]
+    filler = " ".join(f"plain{i}" for i in range(200)).encode()
+    texts = [t for _, item in items for t in (item, filler + b" " + item + b" " + filler, item.rsplit(b" ", 1)[0] + b" " + filler)] + [b"score four and seven", b"whale blue"]
+    got, want = searched(items, texts), all_windows(items, texts)
+    assert got == pytest.approx(want) and {(3 * k + 1, k + 1) for k in range(6)} <= set(want)
+
+
 def test_sentencepiece_equals_library_and_round_trips(spark):
     sp = pytest.importorskip("sentencepiece")
     path = tokenizer_path("piece_bpe_32k.model")

@@ -303,15 +303,28 @@ def near_duplicate_classes(docs: DataFrame, cfg: NearDupConfig | None = None) ->
     placed = members.select("key", "doc").join(of, "doc", "left").select("key", "doc", F.coalesce("part", "doc").alias("part"))
     split = placed.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count("*").alias("size")).where("p0 < p1").select("key", "size")
     rest, rest_path = written(_pairs_across_parts(placed.join(split, "key"), sets, cfg.percent), "rest")
-    links3, links3_path = written(links2.unionByName(_confirmed(rest, sets, cfg)), "links")
+    # 4. an id with several sets joins their classes: a link from the id to each representative
+    mark = F.xxhash64("set_lo", "set_hi", "n_shingles")
+    several = real.groupBy("doc_id").agg(F.min(mark).alias("m0"), F.max(mark).alias("m1")).where("m0 < m1").select("doc_id")
+    several, several_path = written(several, "several")
+    n_several = several.count()
+    shared = real.join(broadcast_if_small(several, n_several), "doc_id", "left_semi").select("doc_id", "set_lo", "set_hi", "n_shingles")
+    shared = shared.join(classes.drop("sig"), ["set_lo", "set_hi", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links3 = links2.unionByName(_confirmed(rest, sets, cfg))
+    links3, links3_path = written(links3.unionByName(shared) if n_several else links3, "links")
     remove(spark, parts_path, links2_path)
     parts, _ = connected_components(links3)
     remove(spark, links3_path, members_path, sets_path, filed_path, rest_path)
-    # 4. members take their class's component; ids that several sets share are joined through the id
+    # 5. members take their class's component, and an id with several sets its own in every row, an empty one included
     label = classes.drop("sig").join(parts, F.col("rep") == F.col("node"), "left").select(
         "set_lo", "set_hi", "n_shingles", F.coalesce("component", "rep").alias("part")
     )
     rows = signed.drop("sig").join(label, ["set_lo", "set_hi", "n_shingles"], "left")
+    if n_several:
+        own = several.join(parts, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("own"))
+        rows = rows.join(broadcast_if_small(own, n_several), "doc_id", "left").withColumn("part", F.coalesce("own", "part"))
+    else:
+        remove(spark, several_path)
     return rows.select(
         "doc_id", "n_shingles", F.coalesce("part", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("part", "doc_id"), F.lit(True)).alias("kept"),

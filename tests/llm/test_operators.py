@@ -73,6 +73,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicate_classes(odd(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_join_the_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{t}{i}" for i in range(30)) for t in "abc")
+    rows = [(5, a), (5, b), (3, a), (4, b), (8, b), (6, c), (6, ""), (2, c), (9, None), (7, "alone here"), (7, "and here too")]
+    got = near_dedup.near_duplicate_classes(documents(spark, *rows), near_dedup.NearDupConfig(shingle_words=2)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 3), (3, 3), (4, 3), (8, 3), (6, 2), (2, 2), (9, 9), (7, 7)}
+    assert {r.doc_id for r in got if r.kept} == {3, 2, 9, 7}
+
+
 def test_bit_map_bound_refuses_no_link():
     import numpy as np
 

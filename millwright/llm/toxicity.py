@@ -1,9 +1,11 @@
 """Toxicity by compression distance: two zstandard dictionaries, one window at a time.
 
-The *ordinary* dictionary is trained by the zstandard trainer on windows of ordinary labelled text. The *toxic* dictionary is
-the same content preceded by the word beginnings that a greedy cover of the toxic labelled texts picks: beginnings that are far
-more common in toxic texts than in ordinary ones, until every toxic text has two of them or no further one earns its place.
-Both share their tail, so a window's two compressed lengths differ only where the toxic content shortens it.
+Both dictionaries are trained by the zstandard trainer, each on labelled text of its class. The *ordinary* one learns from windows
+spread over the ordinary texts. The *toxic* one learns from the telling places of the toxic texts: a toxic text is mostly plain
+prose, so a trainer that is given whole windows fills its dictionary with plain syllables. Which places are telling is
+decided by a greedy cover: word beginnings that are far more common in toxic texts than in ordinary ones, until every toxic text
+has two of them or no further one earns its place; the trainer sees the bytes at their occurrences. The trained toxic content
+stands before the ordinary content in the toxic dictionary, so a window's two compressed lengths differ only where toxic content shortens it.
 A text's saved bytes over all its windows go through a logistic calibration fitted on the same labelled rows.
 """
 
@@ -28,7 +30,10 @@ _WINDOWS = re.compile(rb"(?s) .{%d,}?(?= )| .+" % WINDOW)
 #: A window without spaces (junk, CJK) is cut at this length so that none is unbounded.
 _LONGEST = 4 * WINDOW
 STEM_BYTES = (9, 8, 7, 6, 5)
-ORDINARY_BYTES = 8192
+#: Sizes of the trained dictionaries, and the bytes of a telling place that the toxic one learns from.
+ORDINARY_BYTES, TOXIC_BYTES, PLACE_BYTES = 8192, 768, 8
+#: What ends a trained dictionary's entropy tables: the three first repeat offsets. Its content follows.
+_TABLES_END = b"\1\0\0\0\4\0\0\0\x08\0\0\0"
 
 
 @dataclass(frozen=True)
@@ -54,7 +59,7 @@ def windows(text: bytes) -> list[bytes]:
 
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
     params = zstd.ZstdCompressionParameters(
-        compression_level=3, min_match=5, strategy=zstd.STRATEGY_GREEDY, window_log=17,
+        compression_level=3, min_match=6, strategy=zstd.STRATEGY_GREEDY, window_log=17,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS,
     )
     dictionary = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -62,6 +67,20 @@ def _compressor(content: bytes) -> zstd.ZstdCompressor:
     return zstd.ZstdCompressor(dict_data=dictionary, compression_params=params)
 
 
+def _trained(size: int, samples: list[bytes], segment: int, steps: int = 4) -> bytes:
+    """The content of a dictionary of ``size`` bytes that zstandard trains on ``samples``."""
+    try:
+        made = zstd.train_dictionary(size, samples, k=segment, d=6, steps=steps).as_bytes()
+    except zstd.ZstdError:  # too few samples to train on: their own bytes are the dictionary
+        return b"".join(samples)[-size:] or b" the"
+    return made[made.index(_TABLES_END) + len(_TABLES_END) :]
+
+
+def _spread(parts: list[bytes], most: int) -> list[bytes]:
+    """At most ``most`` of a text's windows, evenly spread over all of it."""
+    return parts if len(parts) <= most else [parts[i * len(parts) // most] for i in range(most)]
+
+
 class Scorer:
     """Compressed-length features and calibrated scores of texts; one per Python worker."""
 
@@ -121,9 +140,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.05
     return w
 
 
-def fit(rows: list[tuple[bytes, int]], threshold: float = 0.3) -> ToxicityModel:
+def fit(rows: list[tuple[bytes, int]], threshold: float = 0.3, share: float | None = None, per_text: int = 64, most_windows: int = 40_000) -> ToxicityModel:
     """Train both dictionaries and the calibration on (text, 0/1) rows; repeated texts count once.
 
+    The ordinary dictionary learns from at most ``per_text`` windows of each text, spread over the whole text, and from at
+    most ``most_windows`` (about) of those, again evenly spread; the telling places of toxic texts are all used. ``share`` is the
+    toxic share of all labelled rows, where the sample has another one: the calibration's first weight is set right by it.
+
     The dictionaries come from half of the texts and the calibration from the other half, so that the calibration sees
     windows the dictionaries were not cut from. With no toxic or no ordinary row every score is the share of toxic rows.
     """
@@ -135,13 +158,11 @@ def fit(rows: list[tuple[bytes, int]], threshold: float = 0.3) -> ToxicityModel:
         return ToxicityModel(b" the", b" the", (bias, 0.0, 0.0, 0.0, 0.0, 0.0), threshold)
 
     def dictionaries(bad: list[bytes], plain: list[bytes]) -> tuple[bytes, bytes]:
-        samples = [w for t in plain for w in windows(t)[:64]]
-        samples = samples[:: max(1, len(samples) // 40_000)]
-        try:
-            content = zstd.train_dictionary(ORDINARY_BYTES, samples, k=32, d=6, steps=4).as_bytes()[-(ORDINARY_BYTES - 768) :]
-        except zstd.ZstdError:  # too few samples to train on: their own bytes are the dictionary
-            content = b"".join(samples)[-ORDINARY_BYTES:] or b" the"
-        return content, b"".join(_cover(bad, plain)) + content
+        samples = [w for t in plain for w in _spread(windows(t), per_text)]
+        content = _trained(ORDINARY_BYTES, samples[:: max(1, len(samples) // most_windows)], 32)
+        telling = tuple(_cover(bad, plain))
+        places = [w[:PLACE_BYTES] for t in bad for w in (b" " + x for x in t.split()) if w.startswith(telling)] if telling else []
+        return content, (_trained(TOXIC_BYTES, places, PLACE_BYTES) if places else b"") + content
 
     order = np.random.default_rng(7).permutation(len(distinct))
     halves = [[distinct[i] for i in order[k::2]] for k in (0, 1)]
@@ -153,7 +174,14 @@ def fit(rows: list[tuple[bytes, int]], threshold: float = 0.3) -> ToxicityModel:
         scorer = Scorer(ToxicityModel(*dictionaries(bad, plain), (0.0,) * 6))
         x += [scorer.features(t) for t, _ in judge_on]
         y += [v for _, v in judge_on]
-    return ToxicityModel(*dictionaries(toxic, ordinary), tuple(_logistic(np.array(x), np.array(y, dtype=float))), threshold)
+    weights = _logistic(np.array(x), np.array(y, dtype=float))
+    if share is not None and 0 < share < 1:
+        weights[0] += np.log(share / (1 - share)) - np.log(len(toxic) / len(ordinary))
+    return ToxicityModel(*dictionaries(toxic, ordinary), tuple(weights.tolist()), threshold)
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).distinct()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_ordinary: int = 5000, longest: int = 65_536) -> list[tuple[bytes, int]]:
@@ -162,8 +190,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, mo
     The ids are chosen from ``labels`` alone, so that one filtered scan of ``docs`` fetches the texts; texts of more than
     ``longest`` characters are left out of the sample (never of the scoring).
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).distinct()
-    picked = None
+    known, picked = _known(labels), None
     for value, most in ((1, most_toxic), (0, most_ordinary)):
         part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
@@ -171,6 +198,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, mo
     return [(r.text.encode("utf-8", "surrogatepass"), r.toxic) for r in rows.select("text", "toxic").toLocalIterator()]
 
 
+def train(docs: DataFrame, labels: DataFrame, **sample) -> ToxicityModel:
+    """Fit on :func:`training_rows`, with the toxic share of all labelled rows outside the held-out fold."""
+    return fit(training_rows(docs, labels, **sample), share=_known(labels).agg(F.avg("toxic")).first()[0])
+
+
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """One row per row of ``docs``: doc_id, score (0 to 1) and predicted (1 where score >= the model's threshold).
 
@@ -191,19 +223,23 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of ``docs``, whole and with their columns, that the model does not predict toxic; ``text`` must be a column."""
+    """The rows of ``docs``, whole and with their columns, that the model does not predict toxic; ``text`` must be a column.
+
+    Null, empty and blank texts say nothing and are kept, whatever the base score.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in slices(batches):
-            keep = scorer.scores(text_batches(batch.select([at]))) < model.threshold
-            yield batch.filter(pa.array(keep))
+            texts = text_batches(batch.select([at]))
+            keep = (scorer.scores(texts) < model.threshold) | np.array([not (t or b"").split(None, 1) for t in texts], bool)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     """Fit on ``labels`` (see :func:`training_rows`) and score every row of ``docs``; adds the fold flag held_out."""
-    model = fit(training_rows(docs, labels, **sample))
+    model = train(docs, labels, **sample)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -10,12 +10,12 @@ by their bytes; every byte of every text is in a window.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.llm.common import held_out, slices, text_batches
@@ -114,7 +114,7 @@ def cut(text: bytes, window: int) -> np.ndarray:
 
 
 def predict(net: ByteNet, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Class numbers and probabilities of texts; equal probabilities go to the first class."""
+    """Class numbers and probabilities of texts; equal probabilities go to the first class (languages in order of their names)."""
     window = net.shape.window
     parts = [cut(t, window) for t in texts]
     counts = np.array([len(p) for p in parts])
@@ -130,16 +130,32 @@ def predict(net: ByteNet, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return best, p[np.arange(len(best)), best]
 
 
-def training_windows(docs: DataFrame, most_texts: int = 3000, per_text: int = 3, window: int = 256) -> list[tuple[str, bytes]]:
-    """(lang, window) of a bounded sample: the first ``most_texts`` labelled texts outside the held-out fold by a hash of the id,
-    ``per_text`` stretches of up to ``window`` characters of each at places spread over the text by the same hash."""
-    text, size = F.col("text"), F.length("text")
+def training_windows(
+    docs: DataFrame, most_texts: int = 3000, per_text: int = 3, window: int = 256, most_langs: int = 200
+) -> list[tuple[str, bytes]]:
+    """(lang, window) of a bounded sample of labelled texts with a letter, outside the held-out fold.
+
+    Each of the ``most_langs`` commonest languages gives its first ``most_texts / languages`` texts by a hash of the id, so a rare
+    one is learned too. ``per_text`` stretches of up to ``window`` characters of a text come from places spread over it by
+    the same hash. A first scan reads labels only and sets, for each language, the hash below which twice the wanted texts
+    are expected; so what the second one returns does not grow with the input.
+    """
+    text, size, hashed = F.col("text"), F.length("text"), F.xxhash64("doc_id")
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    counts = {r.lang: r.n for r in counted.collect()}
+    if not counts:
+        return []
+    each = max(1, most_texts // len(counts))
+    below = [(lang, min(2**63 - 1, int(min(1.0, (2 * each + 50) / n) * 2**64) - 2**63)) for lang, n in sorted(counts.items())]
+    below = docs.sparkSession.createDataFrame(below, "lang string, below long")
     shift = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.lit(1), F.floor(size / per_text) - window)) + 1
     stretches = F.array(*[F.substring(text, (shift + F.floor(size * k / per_text)).cast("int"), F.lit(window)) for k in range(per_text)])
+    first = Window.partitionBy("lang").orderBy("hashed", "doc_id", "parts")
     rows = (
-        docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & text.isNotNull() & ~held_out(F.col("doc_id")))
-        .where(text.rlike(r"\p{L}")).select("doc_id", "lang", stretches.alias("parts"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most_texts)
+        known.join(F.broadcast(below), "lang").where((hashed <= F.col("below")) & text.rlike(r"\p{L}"))
+        .select("doc_id", "lang", hashed.alias("hashed"), stretches.alias("parts"))
+        .withColumn("place", F.row_number().over(first)).where(F.col("place") <= each).orderBy("lang", "place")
     )
     return [(r.lang, p.encode("utf-8", "surrogatepass")) for r in rows.collect() for p in r.parts if p]
 
@@ -158,6 +174,19 @@ def fit(samples: list[tuple[str, bytes]], shape: Shape | None = None) -> ByteNet
     return net
 
 
+def _groups(rows: Iterable[int], texts: list[bytes]) -> Iterator[list[int]]:
+    """Rows in groups of at most 256 and of about four megabytes of text; a longer text is a group of its own."""
+    some, total = [], 0
+    for row in rows:
+        if some and (len(some) == 256 or total + len(texts[row]) > 4 << 20):
+            yield some
+            some, total = [], 0
+        some.append(row)
+        total += len(texts[row])
+    if some:
+        yield some
+
+
 def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score.
 
@@ -169,8 +198,7 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
             langs, scores = np.array([UNKNOWN] * batch.num_rows, object), np.zeros(batch.num_rows)
             texts = text_batches(batch)
             known = np.flatnonzero(np.array(batch.column(2).to_pylist(), bool)) if net is not None else []
-            for i in range(0, len(known), 256):
-                rows = known[i : i + 256]
+            for rows in _groups(known, texts):
                 best, p = predict(net, [texts[r] for r in rows])
                 langs[rows], scores[rows] = np.array(net.langs, object)[best], p
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])

@@ -6,7 +6,10 @@ enough shards rewrites runs of similarly sized ones as files near the target siz
 shuffle: a tier's shards are of like size, so joining them evenly gives files of like size.
 Old shards stay for readers of older versions.
 
-A manifest is written to a side folder and renamed to ``v=<version>``: the rename is the commit, and fails if that version exists.
+A manifest's rows are written to a folder of their own. The commit is the creation of the small file ``v=<version>`` that names the
+folder, which fails where the file exists: of two writers that began at one version, one gets an error and nothing is lost.
+A file that its writer left empty (it died in between) is no version; the next writer goes past it.
+The paths of live shards, some hundred bytes each, are read by the driver, as Spark's readers take a list of files.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +41,25 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def _create(spark: SparkSession, fs, target, content: bytes) -> bool:
+    """Create a file with ``content``; False where it exists. The file system decides between writers that race."""
+    try:
+        if fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and then creates; the operating system does both at once
+            files, option = spark._jvm.java.nio.file.Files, spark._jvm.java.nio.file.StandardOpenOption
+            options = spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.OpenOption, 2)
+            options[0], options[1] = option.CREATE_NEW, option.WRITE
+            files.write(spark._jvm.java.io.File(target.toUri().getPath()).toPath(), content, options)
+        else:
+            stream = fs.create(target, False)
+            stream.write(content)
+            stream.close()
+    except Py4JJavaError as wrong:
+        if "FileAlreadyExists" in wrong.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 class ShardedTable:
     """Versions, appends and compactions of the table in ``folder``."""
 
@@ -45,27 +68,45 @@ class ShardedTable:
 
     # -- manifests
 
-    def version(self) -> int:
-        """The newest committed version; 0 for an empty table."""
+    def _committed(self) -> dict[int, str]:
+        """Versions and the folders that their files name; an empty file names none."""
         fs, path = _fs(self.spark, f"{self.folder}/manifests")
         if not fs.exists(path):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return max((int(n[2:]) for n in names if n.startswith("v=")), default=0)
+            return {}
+        files = [s.getPath() for s in fs.listStatus(path) if s.isFile() and s.getPath().getName().startswith("v=")]
+        return {int(f.getName()[2:]): f for f in files}
+
+    def version(self) -> int:
+        """The newest committed version; 0 for an empty table."""
+        found = self._committed()
+        return next((v for v in sorted(found, reverse=True) if self._named(found[v])), 0)
+
+    def _named(self, file) -> str:
+        fs = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        stream = fs.open(file)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifests/v={version}")
-
-    def _commit(self, live: DataFrame, version: int) -> int:
-        staged = f"{self.folder}/staged/{new_path(self.spark, 'm').rsplit('/', 1)[1]}"
-        live.coalesce(1).write.parquet(staged)
-        fs, source = _fs(self.spark, staged)
-        _, target = _fs(self.spark, f"{self.folder}/manifests/v={version}")
+        _, file = _fs(self.spark, f"{self.folder}/manifests/v={version}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/staged/{self._named(file)}")
+
+    def _commit(self, live: DataFrame, after: int) -> int:
+        """Make ``live`` the version that follows ``after``."""
+        name = new_path(self.spark, "m").rsplit("/", 1)[1]
+        live.coalesce(1).write.parquet(f"{self.folder}/staged/{name}")
+        found = self._committed()
+        version = after + 1
+        while version in found and not self._named(found[version]):
+            version += 1
+        fs, target = _fs(self.spark, f"{self.folder}/manifests/v={version}")
         fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(source, target):
+        if not _create(self.spark, fs, target, name.encode()):
             raise RuntimeError(f"version {version} was committed by another writer")
         return version
 
@@ -90,7 +131,7 @@ class ShardedTable:
         """Add ``rows`` as new shards, one or more for each of their partitions; returns the new version."""
         version = self.version()
         new = self._shards(self._write(rows))
-        return self._commit(self.manifest(version).unionByName(new), version + 1)
+        return self._commit(self.manifest(version).unionByName(new), version)
 
     def compact(self) -> int:
         """One pass over all tiers; returns the version after it, the same one where no tier has enough shards to merge."""
@@ -109,7 +150,7 @@ class ShardedTable:
             kept = kept.where(~((F.col("tier") == tier) & ~full))
         if merged is None:
             return version
-        return self._commit(kept.unionByName(merged), version + 1)
+        return self._commit(kept.unionByName(merged), version)
 
     def read(self, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
         """The rows of a version's live shards."""
@@ -120,13 +161,16 @@ class ShardedTable:
         return reader.parquet(*paths)
 
 
-def shard_and_compact(docs: DataFrame, tiers: Tiers | None = None, passes: int = 4) -> tuple[ShardedTable, int]:
-    """A new table of ``docs``: appended as small shards, then compacted until a pass merges nothing (at most ``passes``)."""
+def shard_and_compact(docs: DataFrame, tiers: Tiers | None = None, arrivals: int = 4) -> tuple[ShardedTable, int]:
+    """A new table of ``docs``: each arrival (rows dealt by a hash of doc_id, null ids in the first) is appended as small shards, then the
+    table is compacted until a pass merges nothing; every pass leaves fewer shards, so it ends.
+
+    All rows and columns are kept as they are: nulls, repeated rows, columns of any name. An empty table has versions without rows.
+    """
     table = ShardedTable(docs.sparkSession, new_path(docs.sparkSession, "table"), tiers)
-    version = table.append(docs)
-    for _ in range(passes):
-        after = table.compact()
-        if after == version:
-            break
+    of = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)), F.lit(0))
+    for arrival in range(arrivals):
+        version = table.append(docs.where(of == arrival))
+    while (after := table.compact()) != version:
         version = after
     return table, version

@@ -26,9 +26,13 @@ DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION = 0x2AD7B1, 0x4489
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, RATE, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 DEFAULT_DURATION = 0x23E383
-CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+SEEK_HEAD, ATTACHMENTS, CHAPTERS, TAGS = 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
+#: Elements of the levels above a cluster: the first of them ends a cluster of unknown size.
+_ABOVE_CLUSTER = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, ATTACHMENTS, CHAPTERS, TAGS}
+
 FRAME, LACED, SAMPLE_RATE = 576, 8, 8000
 #: A block's timestamp in its cluster is a signed 16-bit number of samples.
 BLOCKS_A_CLUSTER = 32767 // (FRAME * LACED)
@@ -121,16 +125,30 @@ def _number(data: bytes, at: int, keep_mark: bool = False) -> tuple[int, int, bo
 
 
 def _elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(id, first byte, end) of the elements of a parent. A segment of unknown size goes to its parent's end, a cluster to the first
+    element of a level above."""
     while at < end:
         ident, at, _ = _number(data, at, keep_mark=True)
         size, at, open_ended = _number(data, at)
-        stop = end if open_ended else at + size
+        stop = at + size
+        if open_ended:
+            stop = _cluster_end(data, at, end) if ident == CLUSTER else end
         if stop > end:
             raise ValueError(f"an element runs beyond its parent at byte {at}")
         yield ident, at, stop
         at = stop
 
 
+def _cluster_end(data: bytes, at: int, end: int) -> int:
+    while at < end:
+        ident, body, _ = _number(data, at, keep_mark=True)
+        if ident in _ABOVE_CLUSTER:
+            return at
+        size, body, _ = _number(data, body)
+        at = body + size
+    return end
+
+
 def _lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[int, list[int]]:
     """Place of the first frame and all frames' sizes of a block from its lacing head on."""
     if not lacing:
@@ -192,18 +210,22 @@ def _part(data: bytes, at: int, end: int, base: int, movie: Movie) -> None:
                 "codec": entry.get(CODEC_ID, b"").decode("ascii", "replace"), "frame_ns": int.from_bytes(entry.get(DEFAULT_DURATION, b""), "big"),
             }
         elif ident == CUE_POINT:
-            point = {i: (s, e) for i, s, e in _elements(data, start, stop)}
-            where = {i: _whole(data, s, e) for i, s, e in _elements(data, *point[CUE_POSITIONS])} if CUE_POSITIONS in point else {}
-            time = _whole(data, *point[CUE_TIME]) if CUE_TIME in point else 0
-            movie.cues.append((time * movie.scale, where.get(CUE_TRACK, 0), base + where.get(CUE_CLUSTER, 0)))
+            point = list(_elements(data, start, stop))
+            time = next((_whole(data, s, e) for i, s, e in point if i == CUE_TIME), 0)
+            for i, s, e in point:
+                if i == CUE_POSITIONS:  # one for each track that has the time
+                    where = {k: _whole(data, *place) for k, *place in _elements(data, s, e)}
+                    movie.cues.append((time * movie.scale, where.get(CUE_TRACK, 0), base + where.get(CUE_CLUSTER, 0)))
         elif ident == CLUSTER_TIMESTAMP:
             clock = _whole(data, start, stop)
         elif ident == SIMPLE_BLOCK:
             _block(data, start, stop, clock, movie, None)
         elif ident == BLOCK_GROUP:
-            for inner, s, e in _elements(data, start, stop):
+            group = list(_elements(data, start, stop))
+            key = all(inner != REFERENCE_BLOCK for inner, _, _ in group)  # a block that refers to no other stands alone
+            for inner, s, e in group:
                 if inner == BLOCK:
-                    _block(data, s, e, clock, movie, False)
+                    _block(data, s, e, clock, movie, key)
 
 
 def _block(data: bytes, at: int, end: int, clock: int, movie: Movie, keyframe: bool | None) -> None:

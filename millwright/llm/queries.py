@@ -73,6 +73,7 @@ QUERIES = {
 ORACLES = {
     "op4_size_tiered_sharding": OP4,
     "op7_chat_collapse": chat_format.ORACLE,
+    "op8_warc_normaliser": warc.ORACLE,
     "op9_line_chunk_dedup": line_dedup.ORACLE,
     "op9_repeated_passages": line_dedup.PASSAGES_ORACLE,
 }

@@ -36,12 +36,12 @@ def payload_digest(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no block but keeps its payload's digest and length."""
+    """One WARC/1.1 record: a response's block is an HTTP message, a revisit's only that message's head; both state the payload's digest and length."""
     revisit = refers_to is not None
-    body = b"" if revisit else payload
-    name = f"{digest}:{page_id}"
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + _END + (b"" if revisit else payload)
+    ident = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{digest}:{page}')}>"
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {ident(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
     ]
     if url:
@@ -49,8 +49,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {ident(refers_to)}",
+            "WARC-Refers-To-Date: 1970-01-01T00:00:00Z", f"X-Refers-To-Page-ID: {refers_to}",
+        ]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + _END + body + _END
 
 
@@ -166,7 +169,8 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records at an index's byte ranges: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload).
 
-    A response whose payload does not give its digest fails the task.
+    A response's payload is measured as read back, and one that does not give its digest or stated length fails the task; a revisit
+    has no payload, so its figures are those its record states.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -185,12 +189,14 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 data = zlib.decompress(source.read(length), 31)
                 head_at = data.find(_END)
                 head = headers(data[:head_at])
-                payload = data[head_at + 4 : -4]
-                digest, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
-                if kind == "response" and payload_digest(payload) != digest:
-                    raise ValueError(f"{archive} at {offset}: the payload does not give its digest")
+                payload = data[data.find(_END, head_at + 4) + 4 : -4]
+                digest, kind, size = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(head["x-payload-length"])
+                if kind == "response":
+                    if payload_digest(payload) != digest or len(payload) != size:
+                        raise ValueError(f"{archive} at {offset}: the payload does not give its digest and length")
+                    size = len(payload)
                 number = lambda name: int(head[name]) if name in head else None
-                rows.append((number("x-page-id"), int(head["x-payload-length"]), digest, kind, number("x-refers-to-page-id"), payload))
+                rows.append((number("x-page-id"), size, digest, kind, number("x-refers-to-page-id"), payload))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names=names)
         if source is not None:
             source.close()
@@ -203,23 +209,42 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html, refers_to: of pages with equal payloads of at least ``least_bytes``, all but the largest page_id refer to it.
 
     A null html is an empty payload. Rows that repeat the largest page_id are all responses, as are rows without page_id.
+    The payload's length is measured in bytes. Payloads with more than a thousandth of all pages are at most a thousand: their heads are
+    broadcast, and in the join of the others such pages are dealt by their own ids, so no payload meets in one task.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    keyed = rows.withColumn("__sha", F.sha1(payload)).withColumn("__n", F.length(payload).cast("long"))
-    heads = keyed.groupBy("__sha", "__n").agg(F.max("page_id").alias("__head"), F.count("*").alias("__count")).where(
-        (F.col("__count") > 1) & (F.col("__n") >= least_bytes)
-    )
-    return keyed.join(heads.drop("__count"), ["__sha", "__n"], "left").select(
-        "page_id", "url", "html", F.when(F.col("page_id") < F.col("__head"), F.col("__head")).alias("refers_to")
-    )
+    keyed = rows.withColumn("__sha", F.concat_ws(":", F.sha1(payload), F.length(payload)))
+    counted = keyed.where(F.length(payload) >= least_bytes).groupBy("__sha").agg(F.max("page_id").alias("__head"), F.count("*").alias("__count"))
+    heads, _ = written(counted.where("__count > 1"), "heads")
+    common = F.col("__count") > max(1000, (heads.agg(F.sum("__count")).first()[0] or 0) // 1000)
+    hot = F.broadcast(heads.where(common).select("__sha", F.col("__head").alias("__hot")))
+    dealt = keyed.join(hot, "__sha", "left")
+    own = F.concat_ws(":", F.lit("own"), "page_id", F.xxhash64("url"))
+    dealt = dealt.withColumn("__sha", F.when(F.col("__hot").isNull(), F.col("__sha")).otherwise(own))
+    found = dealt.join(heads.where(~common).select("__sha", "__head"), "__sha", "left")
+    head = F.coalesce("__hot", "__head")
+    return found.select("page_id", "url", "html", F.when(F.col("page_id") < head, head).alias("refers_to"))
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to archives, normalise them, and read every record back through the index; one row per page."""
+    """Write ``pages`` to archives, normalise them, and read every record back through the index; one row per page.
+
+    Columns but page_id, url and html are ignored; repeated rows give repeated records; an empty table gives no archive and no row.
+    """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     archives, _ = written(write_archives(with_revisits(pages, least_bytes), folder), "archives")
     n = max(1, archives.count())
     index, _ = written(normalise_archives(archives.repartition(n, "archive")), "warc-index")
     return read_records(index)
+
+
+_BITS = "('0x' || substr(sha, 1 + 5 * (i // 4), 5))::BIGINT"
+ORACLE = f"""
+WITH sized AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS sha FROM pages),
+heads AS (SELECT sha, n, max(page_id) AS head FROM sized GROUP BY sha, n),
+named AS (SELECT sha, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({_BITS} >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1), '' ORDER BY i) AS digest FROM (SELECT DISTINCT sha FROM sized), range(32) AS t(i) GROUP BY sha)
+SELECT s.page_id, s.n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN s.page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN s.page_id < head THEN head END AS refers_to FROM sized s JOIN heads USING (sha, n) JOIN named USING (sha)
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_root(spark: SparkSession) -> str:
-    """Folder for written intermediates: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """Folder for written intermediates: ``spark.checkpoint.dir``, or a local one where that is unset and Spark runs in one process (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if shared:
         return f"{shared.rstrip('/')}/millwright/{app}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: intermediates are written there")
     if app not in _LOCAL_WORK:
         _LOCAL_WORK[app] = f"file://{tempfile.mkdtemp(prefix='millwright-')}"
     return _LOCAL_WORK[app]
@@ -63,6 +66,21 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 16, limit: int
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, size=None, most: int = 1000, limit: int = 64 << 20) -> DataFrame:
+    """Inner join of ``rows`` with ``counted`` (unique by ``keys``; ``count`` is how many rows a key has), no key in one task.
+
+    Keys with more than a thousandth of all rows are at most ``most``, so they are broadcast where their bytes (``size``, a column
+    of ``counted``) are within ``limit``; the others are shuffled. Both inputs are read twice and should be written tables.
+    """
+    total, = counted.agg(F.sum(count)).first()
+    common = F.col(count) > max(most, (total or 0) // most)
+    n, held = counted.where(common).agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()
+    if not n or held + 100 * n > limit:
+        return rows.join(counted, keys)
+    hot = F.broadcast(counted.where(common))
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(counted.where(common).select(*keys)), keys, "left_anti").join(counted.where(~common), keys))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of at most ``rows`` rows, so that what is built from one stays small."""
     for batch in batches:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import broadcast_if_small, remove, written
+from millwright.llm.common import broadcast_if_small, join_counted, remove, written
 
 MODULUS, FACTOR = 2147483647, 1000003
 
@@ -72,13 +72,18 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     marks, marks_path = written(_occurrences(parts).groupBy("__mark").agg(F.count("*").alias("__count")).where("__count > 1").select("__mark"), "marks")
     here = _occurrences(parts, True).join(broadcast_if_small(marks, marks.count()), "__mark", "left_semi").select("__id", "__start", "__mark", "__n", "__bytes")
     found, path = written(here, "chunks")
-    firsts = found.groupBy("__mark", "__bytes").agg(F.min(F.struct("__id", "__start")).alias("__first"), F.count("*").alias("__count")).where("__count > 1")
-    surplus = found.join(firsts.drop("__count"), ["__mark", "__bytes"]).where(F.struct("__id", "__start") != F.col("__first"))
+    firsts, firsts_path = written(_firsts(found), "firsts")
+    surplus = join_counted(found, firsts, ["__mark", "__bytes"], "__count", F.octet_length("__bytes")).where(F.struct("__id", "__start") != F.col("__first"))
     result, _ = written(surplus.select("__id", "__start", "__mark", "__n").distinct(), "surplus")
-    remove(docs.sparkSession, path, marks_path)
+    remove(docs.sparkSession, path, marks_path, firsts_path)
     return result
 
 
+def _firsts(found: DataFrame) -> DataFrame:
+    """(__mark, __bytes, __first, __count) of what occurs more than once; each partition sends one row for each of its passages."""
+    return found.groupBy("__mark", "__bytes").agg(F.min(F.struct("__id", "__start")).alias("__first"), F.count("*").alias("__count")).where("__count > 1")
+
+
 def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``text`` changed, ``removed_chunks`` and ``removed_lines`` added.
 
@@ -88,21 +93,26 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("removed_chunks", "removed_lines")
     surplus = repeated_chunks(docs)
-    per_doc = surplus.groupBy("__id").agg(F.collect_set(F.xxhash64("__start", "__mark")).alias("__gone"))
+    per_doc = surplus.groupBy("__id").agg(F.collect_set(_name("__start", "__n", "__mark")).alias("__gone"))
     n = surplus.agg(F.count("*"), F.approx_count_distinct("__id")).first()
-    per_doc = broadcast_if_small(per_doc, n[0] + 4 * n[1], row_bytes=12)
-    hit = docs.join(per_doc, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    parts = chunked(hit)
-    out = F.filter("__chunks", lambda c: (c["n"] >= 2) & F.array_contains("__gone", F.xxhash64(c["start"], c["mark"])))
-    kept = F.filter("__chunks", lambda c: ~((c["n"] >= 2) & F.array_contains("__gone", F.xxhash64(c["start"], c["mark"]))))
-    text = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice("__lines", c["start"] + 1, c["n"]))), "\n")
-    touched = F.col("__gone").isNotNull()
-    removed = parts.withColumn("__out", F.when(touched, out))
-    return removed.select(
+    per_doc = broadcast_if_small(per_doc, n[0] + n[1], row_bytes=48)
+    parts = chunked(docs.join(per_doc, F.col("doc_id") == F.col("__id"), "left").drop("__id"))
+    # set operations on arrays of strings and numbers only: linear in a text's chunks and lines
+    names = F.transform(F.filter("__chunks", lambda c: c["n"] >= 2), lambda c: _name(c["start"], c["n"], c["mark"]))
+    number = lambda x, i: F.split_part(x, F.lit(":"), F.lit(i)).cast("int")
+    parts = parts.withColumn("__out", F.array_intersect(names, "__gone"))
+    parts = parts.withColumn("__off", F.flatten(F.transform("__out", lambda x: F.sequence(number(x, 1), number(x, 1) + number(x, 2) - 1))))
+    parts = parts.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__off"))
+    touched = F.col("__out").isNotNull()
+    text = F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
+    return parts.select(
         *[F.when(touched, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size("__out"), F.lit(0)).cast("long").alias("removed_chunks"),
-        F.coalesce(F.aggregate("__out", F.lit(0), lambda s, c: s + c["n"]), F.lit(0)).cast("long").alias("removed_lines"),
-    )
+        F.coalesce(F.size("__out"), F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce(F.size("__off"), F.lit(0)).cast("long").alias("removed_lines"),
+    )
+
+
+def _name(start, n, mark) -> F.Column:
+    return F.concat_ws(":", *[F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in (start, n, mark)])
 
 
 ORACLE = f"""
@@ -153,11 +163,11 @@ def repeated_pairs(docs: DataFrame) -> DataFrame:
         i.alias("start"), m.alias("mark"), F.concat_ws("\n", F.get("__lines", i), F.get("__lines", i + 1)).alias("bytes")
     ))).alias("__c")).select("__id", *[F.col(f"__c.{c}").alias(f"__{c}") for c in ("start", "mark", "bytes")])
     found, path = written(rows.join(broadcast_if_small(marks, marks.count()), "__mark", "left_semi").select("__id", "__start", "__mark", "__bytes"), "pairs")
-    firsts = found.groupBy("__mark", "__bytes").agg(F.min(F.struct("__id", "__start")).alias("__first"), F.count("*").alias("__count")).where("__count > 1")
+    firsts, firsts_path = written(_firsts(found), "firsts")
     overlaps = (F.col("__id") == F.col("__first.__id")) & F.col("__start").isin(F.col("__first.__start"), F.col("__first.__start") + 1)
-    surplus = found.join(firsts.drop("__count"), ["__mark", "__bytes"]).where(~overlaps)
+    surplus = join_counted(found, firsts, ["__mark", "__bytes"], "__count", F.octet_length("__bytes")).where(~overlaps)
     result, _ = written(surplus.select("__id", "__start", "__mark").distinct(), "surplus")
-    remove(docs.sparkSession, path, marks_path)
+    remove(docs.sparkSession, path, marks_path, firsts_path)
     return result
 
 

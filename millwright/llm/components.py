@@ -25,10 +25,11 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return linked.where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(links: DataFrame, rounds: int = 40) -> tuple[DataFrame, str]:
+def connected_components(links: DataFrame, rounds: int = 100) -> tuple[DataFrame, str]:
     """(node, component) for every node of ``links`` (a, b), component being the least node reachable; and its written path.
 
-    Rounds end when the edge set no longer changes (compared by count and order-free hash). Self links and nulls are ignored.
+    Rounds end when the edge set no longer changes (compared by count and order-free hash); their number grows with the
+    logarithm of the nodes, so one that is not through after ``rounds`` raises. Self links and nulls are ignored.
     """
     a, b = F.col("a"), F.col("b")
     edges = links.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -42,6 +43,8 @@ def connected_components(links: DataFrame, rounds: int = 40) -> tuple[DataFrame,
         if tuple(row) == mark:
             break
         mark = tuple(row)
+    else:
+        raise RuntimeError(f"the components still change after {rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("component"))
     nodes = roots.select(F.col("u").alias("node"), "component").unionByName(
         roots.select(F.col("component").alias("node"), "component").distinct()

@@ -326,6 +326,28 @@ def near_duplicate_classes(docs: DataFrame, cfg: NearDupConfig | None = None) ->
     else:
         remove(spark, several_path)
     return rows.select(
-        "doc_id", "n_shingles", F.coalesce("part", "doc_id").alias("component_id"),
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("part", "doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, cfg: NearDupConfig | None = None) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicate rows, whole and with its columns: that with the least doc_id.
+
+    Rows are compared, not ids: where a doc_id has several rows, each distinct text of it is a document of its own (numbered beyond
+    the largest doc_id for the comparison), so no text goes that is not near one that stays. Rows without words or without a
+    doc_id all stay; rows that repeat a doc_id and its text are one.
+    """
+    several, path = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows")).where("__rows > 1").select("doc_id"), "several")
+    n = several.count()
+    if not n:
+        remove(docs.sparkSession, path)
+        extra = near_duplicate_classes(docs, cfg).where(~F.col("kept")).select("doc_id")
+        return docs.join(extra, "doc_id", "left_anti")
+    several = broadcast_if_small(several, n)
+    last = docs.agg(F.max("doc_id")).first()[0]
+    numbered = docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    numbered, _ = written(numbered.withColumn("__row", F.lit(last) + 1 + F.monotonically_increasing_id()), "numbered")
+    rows = docs.join(several, "doc_id", "left_anti").withColumn("__row", F.col("doc_id").cast("long")).unionByName(numbered)
+    extra = near_duplicate_classes(rows.select(F.col("__row").alias("doc_id"), "text"), cfg).where(~F.col("kept")).select(F.col("doc_id").alias("__row"))
+    return rows.join(extra, "__row", "left_anti").select(*docs.columns)

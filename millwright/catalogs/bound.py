@@ -1,18 +1,14 @@
-"""The analysis stages over the bound tables, as the catalogs' queries need them."""
+"""The analysis stages over the bound tables, each written once and read by the catalogs' queries."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millwright.catalogs import CONFIG
-from millwright.operators import genealogy, split
+from millwright.operators import genealogy, rules, split
 from millwright.sources import bindings
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """Kept by Spark (memory, then disk): every later stage reads the genealogy and the splits, some of them many times."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+from millwright.work import stage
 
 
 def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -20,15 +16,15 @@ def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(genealogy.replay_rows(*sources(spark, sf_dir)))
+    return stage(spark, sf_dir, "replay", lambda: genealogy.replay_rows(*sources(spark, sf_dir)))
 
 
 def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return genealogy.boundary(bindings.fur_hr(spark, sf_dir))
+    return stage(spark, sf_dir, "boundary", lambda: genealogy.boundary(bindings.fur_hr(spark, sf_dir)))
 
 
 def outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(split.labelled(split.outer_split(replay(spark, sf_dir), boundary(spark, sf_dir), CONFIG), CONFIG))
+    return stage(spark, sf_dir, "outer", lambda: split.labelled(split.outer_split(replay(spark, sf_dir), boundary(spark, sf_dir), CONFIG), CONFIG))
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,4 +32,40 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(split.inner_split(outer(spark, sf_dir), CONFIG))
+    return stage(spark, sf_dir, "inner", lambda: split.inner_split(outer(spark, sf_dir), CONFIG))
+
+
+def part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return inner(spark, sf_dir).where(F.col("split") == name)
+
+
+def bins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    fine = stage(spark, sf_dir, "bins-fine", lambda: rules.bins(part(spark, sf_dir, "discovery"), CONFIG)[0])
+    return fine, stage(spark, sf_dir, "bins-coarse", lambda: rules.bins(part(spark, sf_dir, "discovery"), CONFIG)[1])
+
+
+def members(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Candidates that the rows of a split (discovery, confirmation, holdout) are in."""
+    rows = outer(spark, sf_dir).where("split = 'holdout' and known = 'AVAILABLE'") if name == "holdout" else part(spark, sf_dir, name)
+    return stage(spark, sf_dir, f"members-{name}", lambda: rules.memberships(rows, *bins(spark, sf_dir)))
+
+
+def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return stage(spark, sf_dir, f"tables-{name}", lambda: rules.stratum_tables(members(spark, sf_dir, name)))
+
+
+def level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "level", lambda: rules.choose_level(tables(spark, sf_dir, "discovery"), CONFIG))
+
+
+def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovery and confirmation metrics of every candidate."""
+    found, held = tables(spark, sf_dir, "discovery"), tables(spark, sf_dir, "confirmation")
+    chosen = level(spark, sf_dir)
+    one = stage(spark, sf_dir, "sums-discovery", lambda: rules.sums(found, rules.weights(found, chosen), chosen))
+    two = stage(spark, sf_dir, "sums-confirmation", lambda: rules.sums(held, rules.weights(found, chosen), chosen))
+    return stage(spark, sf_dir, "ruled", lambda: rules.rule_metrics(one, two, CONFIG))
+
+
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "graded", lambda: rules.graded_rules(ruled(spark, sf_dir), CONFIG))

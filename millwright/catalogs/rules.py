@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millwright.catalogs import CONFIG, Registry, bound, r6, rounded
-from millwright.config import ADJUSTMENTS, CATEGORIES, DEFECT, INTERACTIONS
+from millwright.config import ADJUSTMENTS, CATEGORIES, DEFECT, FEATURES, INTERACTIONS
 from millwright.functions.statistics import erfc, erfc_sql, hashed_draw, wilson
 from millwright.operators import rules as R
 from millwright.sources import bindings
 from millwright.sources.bindings import BASE
+from millwright.work import stage
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -60,54 +61,48 @@ weighted AS MATERIALIZED (SELECT family, field, bin, stratum, (a + b + c + d)::D
 
 def _metrics(source: str, support: int, defects: int) -> str:
     z, z2 = C.wilson_z, C.wilson_z**2
-    told = lambda x: f"sum(CASE WHEN {TOLD} THEN {x} END)"
     p = erfc_sql("abs(diff) / sqrt(var) / sqrt(2.0)")
-    return f"""(SELECT *, defects / support::DOUBLE AS crude, adjusted - comparator AS rd, CASE WHEN den > 0 THEN num / den END AS rr,
-  greatest(0.0, least(1.0, (defects / support::DOUBLE + {z2} / (2 * support)) / (1 + {z2} / support) - {z} / (1 + {z2} / support) * sqrt(defects / support::DOUBLE * (1 - defects / support::DOUBLE) / support + {z2} / (4.0 * support * support)))) AS crude_low,
-  greatest(0.0, least(1.0, (defects / support::DOUBLE + {z2} / (2 * support)) / (1 + {z2} / support) + {z} / (1 + {z2} / support) * sqrt(defects / support::DOUBLE * (1 - defects / support::DOUBLE) / support + {z2} / (4.0 * support * support)))) AS crude_high,
-  CASE WHEN strata > 0 AND var > 0 THEN least(1.0, {p}) ELSE 1.0 END AS p,
-  CASE WHEN strata = 0 THEN 'NO_INFORMATIVE_STRATA' WHEN support < {support} THEN 'LOW_SUPPORT' WHEN defects < {defects} THEN 'LOW_DEFECT_COUNT' WHEN var = 0 THEN 'NO_VARIATION' WHEN comparator = 0 THEN 'ZERO_COMPARATOR_RISK' ELSE 'NONE' END AS reason
- FROM (SELECT family, field, bin, sum(a)::BIGINT AS defects, sum(a + b)::BIGINT AS support, count(*) FILTER (WHERE {TOLD}) AS strata, {told('w * a / (a + b)')} / {told('w')} AS adjusted, {told('w * c / (c + d)')} / {told('w')} AS comparator,
-  {told('(a + f) * (c + d + 2 * f) / (a + b + c + d + 4 * f)')} AS num, {told('(c + f) * (a + b + 2 * f) / (a + b + c + d + 4 * f)')} AS den, {told('a - (a + b) * (a + c) / (a + b + c + d)')} AS diff,
-  {told('CASE WHEN a + b + c + d > 1 THEN (a + b) * (c + d) * (a + c) * (b + d) / ((a + b + c + d) * (a + b + c + d) * (a + b + c + d - 1)) ELSE 0.0 END')} AS var
-  FROM (SELECT t.family, t.field, t.bin, t.a::DOUBLE AS a, t.b::DOUBLE AS b, t.c::DOUBLE AS c, t.d::DOUBLE AS d, w, CASE WHEN t.a = 0 OR t.b = 0 OR t.c = 0 OR t.d = 0 THEN 0.5 ELSE 0.0 END AS f FROM {source}_tables t SEMI JOIN chosen USING (family, field, bin, level) JOIN weighted USING (family, field, bin, stratum)) GROUP BY family, field, bin))"""
+    share = "(defects / support::DOUBLE)"
+    bound = lambda sign: f"CASE WHEN support > 0 THEN greatest(0.0, least(1.0, ({share} + {z2} / (2 * support)) / (1 + {z2} / support) {sign} {z} / (1 + {z2} / support) * sqrt({share} * (1 - {share}) / support + {z2} / (4.0 * support * support)))) END"
+    return f"""(SELECT family, field, bin, level, kind, support, defects, CASE WHEN support > 0 THEN {share} END AS crude, {bound("-")} AS crude_low, {bound("+")} AS crude_high,
+  CASE WHEN fine THEN ra END AS adjusted, CASE WHEN fine THEN rc END AS comparator, CASE WHEN fine THEN ra - rc END AS rd, CASE WHEN fine AND den > 0 THEN num / den END AS rr,
+  CASE WHEN fine AND var > 0 THEN least(1.0, {p}) ELSE 1.0 END AS p,
+  CASE WHEN few THEN 'NO_INFORMATIVE_STRATA' WHEN low THEN 'LOW_SUPPORT' WHEN defects < {defects} THEN 'LOW_DEFECT_COUNT' WHEN coalesce(var, 0) <= 0 THEN 'ZERO_VARIANCE' ELSE 'NONE' END AS reason
+ FROM (SELECT *, NOT few AND NOT low AS fine FROM (SELECT *, strata < CASE WHEN kind = 'STRATIFIED' THEN {C.informative_strata} ELSE 1 END AS few, support < {support} OR others < {support} AS low
+ FROM (SELECT c.family, c.field, c.bin, c.level, c.kind, coalesce(m.defects, 0)::BIGINT AS defects, coalesce(m.support, 0)::BIGINT AS support, coalesce(m.others, 0)::BIGINT AS others, coalesce(m.strata, 0) AS strata, ra, rc, num, den, diff, var FROM chosen c LEFT JOIN (
+ SELECT family, field, bin, sum(a) AS defects, sum(a + b) AS support, sum(c + d) AS others, count(*) AS strata, sum(w * a / (a + b)) / sum(w) AS ra, sum(w * c / (c + d)) / sum(w) AS rc,
+  sum((a + f) * (c + d + 2 * f) / (a + b + c + d + 4 * f)) AS num, sum((c + f) * (a + b + 2 * f) / (a + b + c + d + 4 * f)) AS den, sum(a - (a + b) * (a + c) / (a + b + c + d)) AS diff,
+  sum(CASE WHEN a + b + c + d > 1 THEN (a + b) * (c + d) * (a + c) * (b + d) / ((a + b + c + d) * (a + b + c + d) * (a + b + c + d - 1)) ELSE 0.0 END) AS var
+  FROM (SELECT t.family, t.field, t.bin, t.a::DOUBLE AS a, t.b::DOUBLE AS b, t.c::DOUBLE AS c, t.d::DOUBLE AS d, w, CASE WHEN t.a = 0 OR t.b = 0 OR t.c = 0 OR t.d = 0 THEN 0.5 ELSE 0.0 END AS f FROM {source}_tables t SEMI JOIN chosen USING (family, field, bin, level) JOIN weighted USING (family, field, bin, stratum) WHERE t.a + t.b > 0 AND t.c + t.d > 0) GROUP BY family, field, bin) m USING (family, field, bin)))))"""
 
 
 RULES = PREP + f""", one AS MATERIALIZED {_metrics("disc", C.discovery_support, C.caution_defects)}, two AS MATERIALIZED {_metrics("conf", C.confirmation_support, C.confirmation_defects)},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, field, bin) AS k, count(*) OVER (PARTITION BY family) AS m FROM one),
 tested AS MATERIALIZED (SELECT * EXCLUDE (k, m), least(1.0, min(p * m / k) OVER (PARTITION BY family ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ranked),
-ruled AS MATERIALIZED (SELECT t.*, c.level, c.kind, two.support AS c_support, two.defects AS c_defects, two.adjusted AS c_adjusted, two.comparator AS c_comparator, two.rd AS c_rd, two.rr AS c_rr, two.reason AS c_reason
-  FROM tested t JOIN chosen c USING (family, field, bin) LEFT JOIN two USING (family, field, bin)),
-flags AS (SELECT *, coalesce(reason = 'NONE' AND rr >= {C.rr_caution} AND rd >= {C.rd_caution} AND q <= {C.q_caution}, false) AS caution, coalesce(c_reason = 'NONE' AND c_rr > 1 AND c_rd > 0, false) AS again FROM ruled),
-graded AS MATERIALIZED (SELECT *, family || '|' || field || '|' || bin AS rule_id, CASE WHEN reason <> 'NONE' OR coalesce(c_reason <> 'NONE', true) THEN 'INSUFFICIENT_EVIDENCE'
+ruled AS MATERIALIZED (SELECT t.*, two.support AS c_support, two.defects AS c_defects, two.adjusted AS c_adjusted, two.comparator AS c_comparator, two.rd AS c_rd, two.rr AS c_rr, two.reason AS c_reason
+  FROM tested t LEFT JOIN two USING (family, field, bin)),
+flags AS (SELECT *, coalesce(rr >= {C.rr_caution} AND rd >= {C.rd_caution} AND q <= {C.q_caution}, false) AS caution, coalesce(c_rr > 1 AND c_rd > 0, false) AS again FROM ruled),
+graded AS MATERIALIZED (SELECT *, family || '|' || field || '|' || bin AS rule_id, CASE WHEN reason IN {R.INSUFFICIENT} OR coalesce(c_reason IN {R.INSUFFICIENT}, true) THEN 'INSUFFICIENT_EVIDENCE'
   WHEN caution AND defects >= {C.danger_defects} AND rr >= {C.rr_danger} AND rd >= {C.rd_danger} AND q <= {C.q_danger} AND again AND c_rr >= {C.confirm_rr_danger} AND kind = 'STRATIFIED' THEN 'DANGER'
   WHEN caution AND again THEN 'CAUTION' WHEN caution THEN 'UNCONFIRMED' ELSE 'NORMAL' END AS grade FROM flags)
 """
-
-
-def prepared(spark, d):
-    rows = bound.inner(spark, d)
-    discovery = rows.where("split = 'discovery'")
-    fine, coarse = map(bound.settled, R.bins(discovery, C))
-    return rows, discovery, fine, coarse
+#: Written in the inputs' place of the seed material; the reference population's identity in a real run.
+MATERIAL = "sha256:" + "0" * 64
 
 
 @query("g1_candidates", PREP + "SELECT family, field, bin, count(*) AS members FROM disc_members GROUP BY ALL")
 def g1(spark, d):
-    _, discovery, fine, coarse = prepared(spark, d)
-    return R.memberships(discovery, fine, coarse).groupBy("family", "field", "bin").agg(F.count("*").alias("members"))
+    return bound.members(spark, d, "discovery").groupBy("family", "field", "bin").agg(F.count("*").alias("members"))
 
 
 @query("g4_g5_stratum_tables", PREP + "SELECT family, field, bin, level::INTEGER AS level, stratum, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d FROM disc_tables")
 def g5(spark, d):
-    _, discovery, fine, coarse = prepared(spark, d)
-    return R.stratum_tables(R.memberships(discovery, fine, coarse))
+    return bound.tables(spark, d, "discovery")
 
 
 @query("g3_adjustment_level", PREP + "SELECT family, field, bin, level::INTEGER AS level, kind FROM chosen")
 def g3(spark, d):
-    _, discovery, fine, coarse = prepared(spark, d)
-    return R.choose_level(R.stratum_tables(R.memberships(discovery, fine, coarse)), C)
+    return bound.level(spark, d)
 
 
 @query("g6_wilson_interval", BASE + f"SELECT steel_grade, round(greatest(0.0, least(1.0, (x / n + {C.wilson_z**2} / (2 * n)) / (1 + {C.wilson_z**2} / n) - {C.wilson_z} / (1 + {C.wilson_z**2} / n) * sqrt(x / n * (1 - x / n) / n + {C.wilson_z**2} / (4 * n * n)))), 6) AS low, round(greatest(0.0, least(1.0, (x / n + {C.wilson_z**2} / (2 * n)) / (1 + {C.wilson_z**2} / n) + {C.wilson_z} / (1 + {C.wilson_z**2} / n) * sqrt(x / n * (1 - x / n) / n + {C.wilson_z**2} / (4 * n * n)))), 6) AS high FROM (SELECT steel_grade, (count(*) FILTER (WHERE judge = '{DEFECT}'))::DOUBLE AS x, count(*)::DOUBLE AS n FROM replay GROUP BY 1)")
@@ -123,7 +118,7 @@ ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
 
 @query("g7_g8_g9_g14_rule_metrics", RULES + f"SELECT family, field, bin, support, defects, reason, level::INTEGER AS level, kind, c_support, c_defects, c_reason, {ROUNDED} FROM ruled")
 def g7(spark, d):
-    return rounded(R.rule_metrics(bound.inner(spark, d), C), *METRICS)
+    return rounded(bound.ruled(spark, d), *METRICS)
 
 
 @query("g9_erfc", f"SELECT l_linenumber, round(sum({erfc_sql('l_discount * 10')}), 6) AS total FROM lineitem GROUP BY l_linenumber")
@@ -133,12 +128,12 @@ def g9(spark, d):
 
 @query("g10_benjamini_hochberg", RULES + "SELECT family, field, bin, round(p, 6) AS p, round(q, 6) AS q FROM ruled")
 def g10(spark, d):
-    return rounded(R.rule_metrics(bound.inner(spark, d), C).select("family", "field", "bin", "p", "q"), "p", "q")
+    return rounded(bound.ruled(spark, d).select("family", "field", "bin", "p", "q"), "p", "q")
 
 
 @query("g15_g17_g18_graded_rules", RULES + "SELECT rule_id, family, field, bin, grade, kind, CASE WHEN family = 'CATEGORICAL' AND field = 'furnace_no' THEN 'EQUIPMENT_SPECIFIC' ELSE 'PROCESS_GLOBAL' END AS scope, CASE WHEN family = 'CATEGORICAL' AND field = 'furnace_no' THEN bin ELSE 'ALL' END AS equipment_id, true AS early_warning FROM graded")
 def g15(spark, d):
-    return R.graded_rules(bound.inner(spark, d), C).select("rule_id", "family", "field", "bin", "grade", "kind", "scope", "equipment_id", "early_warning")
+    return bound.graded(spark, d).select("rule_id", "family", "field", "bin", "grade", "kind", "scope", "equipment_id", "early_warning")
 
 
 @query("g16_display_merge", RULES + """, numbered AS (SELECT rule_id, field, grade, bin::INTEGER AS bin FROM graded WHERE family = 'NUMERIC'),
@@ -146,8 +141,7 @@ broken AS (SELECT n.*, CASE WHEN lag(f.upper) OVER w = f.lower THEN 0 ELSE 1 END
 runs AS (SELECT *, sum(new) OVER (PARTITION BY field, grade ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run FROM broken)
 SELECT rule_id, array_to_string(list(rule_id) OVER (PARTITION BY field, grade, run ORDER BY rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), ',') AS members FROM runs QUALIFY count(*) OVER (PARTITION BY field, grade, run) >= 2""")
 def g16(spark, d):
-    rows, discovery, fine, _ = prepared(spark, d)
-    return R.merged_display(R.graded_rules(rows, C), fine).select("rule_id", F.array_join("members", ",").alias("members"))
+    return R.merged_display(bound.graded(spark, d), bound.bins(spark, d)[0]).select("rule_id", F.array_join("members", ",").alias("members"))
 
 
 @query("g11_hashed_draws", "SELECT l_orderkey, l_linenumber, l_partkey, (('0x' || substr(sha256(unhex(sha256('seed') || lpad(lower(to_hex(l_orderkey)), 16, '0') || lpad(lower(to_hex(l_partkey)), 16, '0'))), 1, 16))::UBIGINT % 9973)::BIGINT AS draw FROM lineitem")
@@ -157,30 +151,54 @@ def g11(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", hashed_draw(seed, F.col("l_orderkey"), F.col("l_partkey"), F.lit(9973)).alias("draw"))
 
 
+def _hot(spark, d):
+    """Levels of the rules that are graded DANGER or CAUTION."""
+    return bound.level(spark, d).join(bound.graded(spark, d).where("grade in ('DANGER', 'CAUTION')").select(*R.KEYS), R.KEYS)
+
+
 def _blocks(spark, d):
-    rows, discovery, fine, coarse = prepared(spark, d)
-    members = R.memberships(discovery, fine, coarse)
-    level = R.choose_level(R.stratum_tables(members), C)
-    graded = R.graded_rules(rows, C).where("grade in ('DANGER', 'CAUTION')").select("family", "field", "bin")
-    return R.charge_blocks(members, level.join(graded, ["family", "field", "bin"]))
+    weighted = R.weights(bound.tables(spark, d, "discovery"), bound.level(spark, d))
+    return R.charge_blocks(bound.members(spark, d, "discovery"), weighted, _hot(spark, d))
 
 
 @query("g13_bootstrap_blocks", RULES + f""", hot AS (SELECT family, field, bin AS rule_bin, level FROM graded WHERE grade IN ('DANGER', 'CAUTION')), staged AS (
 {" UNION ALL ".join(f"SELECT family, field, bin, charge_id, judge, {i} AS level, " + (" || ';' || ".join(f"CASE WHEN field = '{c}' THEN '' ELSE '{c}=' || {c} END" for c in lv) or "'all'") + " AS stratum FROM disc_members" for i, lv in enumerate(ADJUSTMENTS))})
-SELECT family || '|' || field || '|' || rule_bin AS rule_id, charge_id, stratum, count(*) FILTER (WHERE bin = rule_bin AND judge = '{DEFECT}') AS a, count(*) FILTER (WHERE bin = rule_bin AND judge <> '{DEFECT}') AS b, count(*) FILTER (WHERE bin <> rule_bin AND judge = '{DEFECT}') AS c, count(*) FILTER (WHERE bin <> rule_bin AND judge <> '{DEFECT}') AS d FROM staged JOIN hot USING (family, field, level) GROUP BY ALL""")
+SELECT s.family || '|' || s.field || '|' || rule_bin AS rule_id, charge_id, s.stratum, count(*) FILTER (WHERE s.bin = rule_bin AND judge = '{DEFECT}') AS a, count(*) FILTER (WHERE s.bin = rule_bin AND judge <> '{DEFECT}') AS b, count(*) FILTER (WHERE s.bin <> rule_bin AND judge = '{DEFECT}') AS c, count(*) FILTER (WHERE s.bin <> rule_bin AND judge <> '{DEFECT}') AS d
+FROM staged s JOIN hot h ON s.family = h.family AND s.field = h.field AND s.level = h.level SEMI JOIN weighted w ON w.family = s.family AND w.field = s.field AND w.bin = rule_bin AND w.stratum = s.stratum GROUP BY ALL""")
 def g13(spark, d):
-    return _blocks(spark, d)
+    return stage(spark, d, "blocks", lambda: _blocks(spark, d))
 
 
 @query("g12_bootstrap_intervals")
 def g12(spark, d):
-    return R.bootstrap_intervals(_blocks(spark, d), C.bootstrap_replicates, C.bootstrap_valid)
+    return R.bootstrap_intervals(g13(spark, d), C.bootstrap_replicates, C.bootstrap_valid, MATERIAL)
 
 
 @query("g19_rule_contributors", RULES + "SELECT g.rule_id, m.charge_id, m.slab_no FROM graded g JOIN disc_members m USING (family, field, bin) WHERE grade IN ('DANGER', 'CAUTION')")
 def g19(spark, d):
-    rows, discovery, fine, coarse = prepared(spark, d)
-    hot = R.graded_rules(rows, C).where("grade in ('DANGER', 'CAUTION')").select("rule_id", "family", "field", "bin")
-    return R.memberships(discovery, fine, coarse).join(F.broadcast(hot), ["family", "field", "bin"]).select("rule_id", "charge_id", "slab_no")
-
-
+    hot = bound.graded(spark, d).where("grade in ('DANGER', 'CAUTION')").select("rule_id", *R.KEYS)
+    return bound.members(spark, d, "discovery").join(F.broadcast(hot), R.KEYS).select("rule_id", "charge_id", "slab_no")
+
+
+ROLES = "(VALUES " + ", ".join(f"('{f.name}', '{f.stage}', '{f.equipment_type}')" for f in FEATURES) + ") AS roles(field, stage, equipment_type)"
+
+
+@query("c6_rule_event_status", RULES + f""", terms AS (SELECT g.rule_id, grade, r.stage, r.equipment_type, g.field, lower, lower_inclusive, upper FROM graded g JOIN {ROLES} ON r.field = g.field JOIN fine f ON f.field = g.field AND f.bin::VARCHAR = g.bin WHERE family = 'NUMERIC'),
+seen AS ({" UNION ALL ".join(f"SELECT charge_id || '-' || slab_no || '-{f.name}' AS event_key, '{f.name}' AS field, CASE WHEN charge_id::BIGINT % 7 <> 0 THEN {f.name} END AS v FROM labelled WHERE split = 'holdout'" for f in FEATURES)})
+SELECT status, rule_id, grade, count(*) AS events FROM (SELECT t.*, CASE WHEN v IS NULL THEN 'DATA_MISSING' WHEN (v > lower OR (lower_inclusive AND v = lower)) AND v <= upper THEN 'MATCHED' ELSE 'NOT_MATCHED' END AS status FROM terms t JOIN (SELECT s.*, o.charge_id FROM seen s JOIN (SELECT DISTINCT charge_id, charge_id || '-' || slab_no AS k FROM labelled WHERE split = 'holdout') o ON s.event_key = o.k || '-' || s.field) e ON e.field = t.field) GROUP BY ALL""".replace("AS roles(field, stage, equipment_type)", "AS r(field, stage, equipment_type)"))
+def c6(spark, d):
+    roles = spark.createDataFrame([(f.name, f.stage, f.equipment_type) for f in FEATURES], "field string, stage string, equipment_type string")
+    fine, _ = bound.bins(spark, d)
+    terms = bound.graded(spark, d).where("family = 'NUMERIC'").join(F.broadcast(roles), "field").join(fine.withColumn("bin", F.col("bin").cast("string")), ["field", "bin"])
+    terms = terms.select("rule_id", "grade", "stage", "equipment_type", "scope", "equipment_id", "field", "lower", "lower_inclusive", "upper", F.lit(True).alias("upper_inclusive"), F.lit(None).cast("array<string>").alias("accepted"))
+    # an event a stage of a material: its payload is what is first known there; every seventh charge lacks it
+    lacking = F.col("charge_id").cast("long") % 7 == 0
+    by_stage = {}
+    for f in FEATURES:
+        by_stage.setdefault((f.stage, f.equipment_type, f.equipment), []).append(f.name)
+    items = [F.struct(
+        F.lit(stage_).alias("stage"), F.lit(kind).alias("equipment_type"), F.col(own).alias("equipment_id"),
+        F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.when(~lacking, F.col(n).cast("string")) for n in names])).alias("values"),
+    ) for (stage_, kind, own), names in by_stage.items()]
+    events = bound.outer(spark, d).where("split = 'holdout'").select(F.concat_ws("-", "charge_id", "slab_no").alias("event_key"), F.explode(F.array(*items)).alias("x")).select("event_key", "x.*")
+    return R.memberships_by_status(events, terms).groupBy("status", "rule_id", "grade").agg(F.count("*").alias("events"))

@@ -11,7 +11,7 @@ from millwright.sources.bindings import BASE
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
-COUNTS = f"count(*) AS total, count(*) FILTER (WHERE judge = '{DEFECT}') AS defects, count(*) FILTER (WHERE judge = '{GOOD}') AS non_defects, count(*) FILTER (WHERE judge IS NULL) AS unknown, min(hr_date) AS first_date, max(hr_date) AS last_date"
+COUNTS = f"count(*) AS total, count(*) FILTER (WHERE known = 'AVAILABLE' AND judge = '{DEFECT}') AS defects, count(*) FILTER (WHERE known = 'AVAILABLE' AND judge = '{GOOD}') AS non_defects, count(*) FILTER (WHERE known <> 'AVAILABLE' OR judge IS NULL) AS unknown, min(hr_date) AS first_date, max(hr_date) AS last_date"
 
 
 @query("e1_whole_date_cutoff", BASE + "SELECT as_of FROM cut")

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.config import ADJUSTMENTS, CATEGORIES, DEFECT, FEATURES, INTERACTIONS, AnalysisConfig
 from millwright.functions import predicates as P
-from millwright.functions.statistics import erfc, wilson
+from millwright.functions.statistics import erfc, hashed_draw, wilson
 from millwright.operators.ranges import field_bins
 
 NUMERIC = tuple(f.name for f in FEATURES)
@@ -33,6 +28,7 @@ def _binned(long: DataFrame, cuts: DataFrame) -> DataFrame:
     """Each value's bin: the first whose upper cut is not below it; values outside all bins are in none."""
     packed = cuts.groupBy("field").agg(F.sort_array(F.collect_list(F.struct("bin", "lower", "upper", "lower_inclusive"))).alias("bins"))
     hit = F.filter("bins", lambda b: ((F.col("value") > b["lower"]) | (b["lower_inclusive"] & (F.col("value") == b["lower"]))) & (F.col("value") <= b["upper"]))
+    # a row a field, each with its few bins: as many as the configuration names
     return long.join(F.broadcast(packed), "field").withColumn("bin", F.get(hit, 0)["bin"].cast("string")).drop("bins").where("bin is not null")
 
 
@@ -83,38 +79,57 @@ def choose_level(tables: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
-def metrics(tables: DataFrame, weights: DataFrame, cfg: AnalysisConfig, support: int, defects: int) -> DataFrame:
-    """Per candidate of ``tables`` (already at its level): support, crude and adjusted rates, risk difference, Mantel-Haenszel ratio, test.
+KEYS = ["family", "field", "bin"]
+#: Fixed reasons that leave a rule without a grade.
+INSUFFICIENT = ("LOW_SUPPORT", "LOW_DEFECT_COUNT", "NO_INFORMATIVE_STRATA", "NO_VARIATION", "NON_FINITE_ESTIMATE", "ZERO_COMPARATOR_RISK")
+
+
+def weights(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(family, field, bin, stratum, w): the size of each informative stratum of a candidate's level, among the discovery rows."""
+    mine = found.join(chosen.drop("kind"), [*KEYS, "level"]).where("a + b > 0 and c + d > 0")
+    return mine.select(*KEYS, "stratum", (F.col("a") + F.col("b") + F.col("c") + F.col("d")).cast("double").alias("w"))
+
+
+def sums(tables: DataFrame, weighted: DataFrame, chosen: DataFrame) -> DataFrame:
+    """A row for every candidate: its counts over informative strata that have a weight, and the sums that its metrics are made of.
 
-    ``weights``: (family, field, bin, stratum, w) of the discovery rows; strata without a weight are left out and the
-    others' weights renormalised. Ratio cells get 0.5 in strata with a zero cell only; the test uses raw cells without correction.
+    Ratio cells get 0.5 in strata with a zero cell only; the test's sums use raw cells. A candidate without strata has zeros.
     """
-    t = tables.join(weights, ["family", "field", "bin", "stratum"]).withColumns({f"{x}_": F.col(x).cast("double") for x in "abcd"})
+    t = tables.join(chosen.drop("kind"), [*KEYS, "level"]).join(weighted, [*KEYS, "stratum"]).where("a + b > 0 and c + d > 0").withColumns({f"{x}_": F.col(x).cast("double") for x in "abcd"})
     a, b, c, d = (F.col(f"{x}_") for x in "abcd")
     n = a + b + c + d
-    told = (a + b > 0) & (c + d > 0)
     fix = F.when((a == 0) | (b == 0) | (c == 0) | (d == 0), 0.5).otherwise(0.0)
     fa, fb, fc, fd = a + fix, b + fix, c + fix, d + fix
     fn = fa + fb + fc + fd
-    only = lambda x: F.sum(F.when(told, x))
-    out = t.groupBy("family", "field", "bin").agg(
-        F.sum("a").alias("defects"), F.sum(F.col("a") + F.col("b")).alias("support"), F.count_if(told).alias("strata"),
-        (only(F.col("w") * a / (a + b)) / only(F.col("w"))).alias("adjusted"), (only(F.col("w") * c / (c + d)) / only(F.col("w"))).alias("comparator"),
-        only(fa * (fc + fd) / fn).alias("num"), only(fc * (fa + fb) / fn).alias("den"),
-        only(a - (a + b) * (a + c) / n).alias("diff"), only(F.when(n > 1, (a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))).otherwise(0.0)).alias("var"),
+    by = t.groupBy(*KEYS).agg(
+        F.sum("a").alias("defects"), F.sum(F.col("a") + F.col("b")).alias("support"), F.sum(F.col("c") + F.col("d")).alias("others"), F.count("*").alias("strata"),
+        (F.sum(F.col("w") * a / (a + b)) / F.sum("w")).alias("mine_rate"), (F.sum(F.col("w") * c / (c + d)) / F.sum("w")).alias("other_rate"),
+        F.sum(fa * (fc + fd) / fn).alias("num"), F.sum(fc * (fa + fb) / fn).alias("den"),
+        F.sum(a - (a + b) * (a + c) / n).alias("diff"), F.sum(F.when(n > 1, (a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))).otherwise(0.0)).alias("var"),
     )
-    # a few hundred rows, kept: inlined into the expressions below, the sums would be planned dozens of times over
-    out = out.withColumn("z", F.abs(F.col("diff")) / F.sqrt(F.col("var")) / F.lit(2.0**0.5)).persist(StorageLevel.MEMORY_AND_DISK)
-    low, high = wilson(F.col("defects"), F.col("support"), cfg.wilson_z)
-    p = F.when(F.col("var") > 0, F.least(F.lit(1.0), erfc(F.col("z")))).otherwise(1.0)
+    return chosen.join(by, KEYS, "left").na.fill(0, ["defects", "support", "others", "strata"])
+
+
+def metrics(summed: DataFrame, cfg: AnalysisConfig, support: int, defects: int) -> DataFrame:
+    """Crude and adjusted rates, risk difference, Mantel-Haenszel ratio, test and reason of each candidate of :func:`sums`.
+
+    Too few informative strata (a stratified candidate needs ``informative_strata``, another one) or too little support on either
+    side give no estimates and p = 1, which takes part in the false-discovery control.
+    """
+    few = F.col("strata") < F.when(F.col("kind") == "STRATIFIED", cfg.informative_strata).otherwise(1)
+    low = (F.col("support") < support) | (F.col("others") < support)
+    told = lambda x: F.when(~(few | low), x)
+    z = F.abs(F.col("diff")) / F.sqrt(F.col("var")) / F.lit(2.0**0.5)
+    varied = F.coalesce(F.col("var") > 0, F.lit(False))
     reason = (
-        F.when(F.col("strata") == 0, "NO_INFORMATIVE_STRATA").when(F.col("support") < support, "LOW_SUPPORT").when(F.col("defects") < defects, "LOW_DEFECT_COUNT")
-        .when(F.col("var") == 0, "NO_VARIATION").when(F.col("comparator") == 0, "ZERO_COMPARATOR_RISK").otherwise("NONE")
-    )
-    return out.select(
-        "family", "field", "bin", "support", "defects", (F.col("defects") / F.col("support")).alias("crude"), low.alias("crude_low"), high.alias("crude_high"),
-        "adjusted", "comparator", (F.col("adjusted") - F.col("comparator")).alias("rd"), F.when(F.col("den") > 0, F.col("num") / F.col("den")).alias("rr"),
-        F.when(F.col("strata") > 0, p).otherwise(1.0).alias("p"), reason.alias("reason"),
+        F.when(few, "NO_INFORMATIVE_STRATA").when(low, "LOW_SUPPORT").when(F.col("defects") < defects, "LOW_DEFECT_COUNT").when(~varied, "ZERO_VARIANCE").otherwise("NONE")
+    )
+    lower, upper = wilson(F.col("defects"), F.col("support"), cfg.wilson_z)
+    return summed.select(
+        *KEYS, "level", "kind", "support", "defects", F.when(F.col("support") > 0, F.col("defects") / F.col("support")).alias("crude"), lower.alias("crude_low"), upper.alias("crude_high"),
+        told(F.col("mine_rate")).alias("adjusted"), told(F.col("other_rate")).alias("comparator"), told(F.col("mine_rate") - F.col("other_rate")).alias("rd"),
+        told(F.when(F.col("den") > 0, F.col("num") / F.col("den"))).alias("rr"),
+        F.when(~(few | low) & varied, F.least(F.lit(1.0), erfc(z))).otherwise(1.0).alias("p"), reason.alias("reason"),
     )
 
 
@@ -126,40 +141,37 @@ def benjamini_hochberg(rows: DataFrame, family: str, p: str, order: tuple[str, .
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__rank")).over(later))).drop("__rank", "__n")
 
 
-def rule_metrics(inner: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """Discovery and confirmation metrics of every candidate, q-values included."""
-    discovery, confirmation = inner.where("split = 'discovery'"), inner.where("split = 'confirmation'")
-    numeric, coarse = bins(discovery, cfg)
-    numeric, coarse = numeric.persist(StorageLevel.MEMORY_AND_DISK), coarse.persist(StorageLevel.MEMORY_AND_DISK)  # a few rows a field
-    found, held = (stratum_tables(memberships(part, numeric, coarse)).persist(StorageLevel.MEMORY_AND_DISK) for part in (discovery, confirmation))
-    level = choose_level(found, cfg)
-    keys = ["family", "field", "bin", "level"]
-    mine = found.join(level.drop("kind"), keys)
-    weights = mine.where("a + b > 0 and c + d > 0").select("family", "field", "bin", "stratum", (F.col("a") + F.col("b") + F.col("c") + F.col("d")).cast("double").alias("w"))
-    one = benjamini_hochberg(metrics(mine, weights, cfg, cfg.discovery_support, cfg.caution_defects), "family", "p", ("field", "bin"))
-    two = metrics(held.join(level.drop("kind"), keys), weights, cfg, cfg.confirmation_support, cfg.confirmation_defects)
-    two = two.select("family", "field", "bin", *[F.col(c).alias(f"c_{c}") for c in ("support", "defects", "adjusted", "comparator", "rd", "rr", "reason")])
-    return one.join(level, ["family", "field", "bin"]).join(two, ["family", "field", "bin"], "left")
+def rule_metrics(found: DataFrame, held: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """Discovery and confirmation metrics of every candidate from its :func:`sums` in both splits, q-values included."""
+    one = benjamini_hochberg(metrics(found, cfg, cfg.discovery_support, cfg.caution_defects), "family", "p", ("field", "bin"))
+    two = metrics(held, cfg, cfg.confirmation_support, cfg.confirmation_defects)
+    return one.join(two.select(*KEYS, *[F.col(c).alias(f"c_{c}") for c in ("support", "defects", "adjusted", "comparator", "rd", "rr", "reason")]), KEYS, "left")
 
 
 def grade(cfg: AnalysisConfig, ci_lower: str | None = None):
-    """Grade of a metric row; DANGER needs a bootstrap lower bound above 1 where ``ci_lower`` names its column."""
-    caution = (F.col("reason") == "NONE") & (F.col("rr") >= cfg.rr_caution) & (F.col("rd") >= cfg.rd_caution) & (F.col("q") <= cfg.q_caution)
-    danger = caution & (F.col("defects") >= cfg.danger_defects) & (F.col("rr") >= cfg.rr_danger) & (F.col("rd") >= cfg.rd_danger) & (F.col("q") <= cfg.q_danger)
-    again = (F.col("c_reason") == "NONE") & (F.col("c_rr") > 1) & (F.col("c_rd") > 0)
-    sure = danger & again & (F.col("c_rr") >= cfg.confirm_rr_danger) & (F.col("kind") == "STRATIFIED")
+    """Grade of a metric row; with ``ci_lower`` (the bootstrap's lower bound) DANGER needs it above 1, else it is the grade before the bootstrap."""
+    told = lambda x: F.coalesce(x, F.lit(False))
+    caution = told((F.col("rr") >= cfg.rr_caution) & (F.col("rd") >= cfg.rd_caution) & (F.col("q") <= cfg.q_caution))
+    danger = caution & told((F.col("defects") >= cfg.danger_defects) & (F.col("rr") >= cfg.rr_danger) & (F.col("rd") >= cfg.rd_danger) & (F.col("q") <= cfg.q_danger))
     if ci_lower:
-        sure = sure & (F.col(ci_lower) > 1)
-    poor = (F.col("reason") != "NONE") | F.coalesce(F.col("c_reason") != "NONE", F.lit(True))
-    return F.when(poor, "INSUFFICIENT_EVIDENCE").when(sure, "DANGER").when(caution & again, "CAUTION").when(caution, "UNCONFIRMED").otherwise("NORMAL")
+        danger = danger & told(F.col(ci_lower) > 1)
+    again = told((F.col("c_rr") > 1) & (F.col("c_rd") > 0))
+    poor = F.col("reason").isin(*INSUFFICIENT) | told(F.col("c_reason").isin(*INSUFFICIENT)) | F.col("c_reason").isNull()
+    return (
+        F.when(poor, "INSUFFICIENT_EVIDENCE").when(danger & again & (F.col("c_rr") >= cfg.confirm_rr_danger) & (F.col("kind") == "STRATIFIED"), "DANGER")
+        .when(caution & again, "CAUTION").when(caution, "UNCONFIRMED").otherwise("NORMAL")
+    )
 
 
-def graded_rules(inner: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """The rule table: metrics, grade, scope and early-warning flag (without bootstrap; see :func:`bootstrap_intervals`)."""
-    rows = rule_metrics(inner, cfg).withColumn("grade", grade(cfg))
+def graded_rules(ruled: DataFrame, cfg: AnalysisConfig, intervals: DataFrame | None = None) -> DataFrame:
+    """The rule table: metrics, grade, scope, early-warning flag and, given :func:`bootstrap_intervals`, their bounds and reasons."""
+    rows = ruled.withColumn("rule_id", F.concat_ws("|", *KEYS))
+    if intervals is not None:
+        rows = rows.join(intervals.select("rule_id", "rr_low", "rr_high", F.col("reason").alias("ci_reason")), "rule_id", "left")
+        rows = rows.withColumn("reason", F.when(F.col("reason") == "NONE", F.coalesce("ci_reason", "reason")).otherwise(F.col("reason"))).drop("ci_reason")
     own = (F.col("family") == "CATEGORICAL") & (F.col("field") == "furnace_no")
     return rows.withColumns({
-        "rule_id": F.concat_ws("|", "family", "field", "bin"), "scope": F.when(own, "EQUIPMENT_SPECIFIC").otherwise("PROCESS_GLOBAL"),
+        "grade": grade(cfg, "rr_low" if intervals is not None else None), "scope": F.when(own, "EQUIPMENT_SPECIFIC").otherwise("PROCESS_GLOBAL"),
         "equipment_id": F.when(own, F.col("bin")).otherwise("ALL"), "early_warning": F.lit(True),
     })
 
@@ -174,11 +186,12 @@ def merged_display(rules: DataFrame, numeric: DataFrame) -> DataFrame:
     return runs.join(sized, ["field", "grade", "run"]).select("rule_id", "members")
 
 
-def charge_blocks(members: DataFrame, level: DataFrame) -> DataFrame:
-    """(rule_id, charge_id, stratum, a, b, c, d): each charge's part of a rule's tables, summed before any resampling."""
-    tables = stratum_rows(members).join(level.select("family", "field", F.col("bin").alias("rule_bin"), "level"), ["family", "field", "level"])
+def charge_blocks(members: DataFrame, weighted: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(rule_id, charge_id, stratum, a, b, c, d): each charge's part of a rule's informative strata, summed before any resampling."""
+    rows = stratum_rows(members).join(F.broadcast(chosen.select("family", "field", F.col("bin").alias("rule_bin"), "level")), ["family", "field", "level"])
+    told = weighted.select("family", "field", F.col("bin").alias("rule_bin"), "stratum")
     mine, bad = F.col("bin") == F.col("rule_bin"), F.col("bad") == 1
-    return tables.groupBy(F.concat_ws("|", "family", "field", "rule_bin").alias("rule_id"), "charge_id", "stratum").agg(
+    return rows.join(told, ["family", "field", "rule_bin", "stratum"]).groupBy(F.concat_ws("|", "family", "field", "rule_bin").alias("rule_id"), "charge_id", "stratum").agg(
         F.count_if(mine & bad).alias("a"), F.count_if(mine & ~bad).alias("b"), F.count_if(~mine & bad).alias("c"), F.count_if(~mine & ~bad).alias("d")
     )
 
@@ -192,39 +205,63 @@ def stratum_rows(members: DataFrame) -> DataFrame:
     return rows.select("family", "field", "bin", "charge_id", "bad", "x.level", "x.stratum")
 
 
-def bootstrap_intervals(blocks: DataFrame, replicates: int, valid: int, chunk: int = 50) -> DataFrame:
-    """(rule_id, rr_low, rr_high, valid): block-bootstrap percentile interval of the Mantel-Haenszel ratio.
+def drawn(blocks: DataFrame, key: str, seed: Column, replicates: int) -> DataFrame:
+    """(key, replicate, charge_id, times): how often a replicate draws each of a key's charges, with replacement.
 
-    A rule's charges are drawn with replacement by the digest of (rule, replicate, draw), so the draws do not depend on
-    how the work is dealt. Blocks are packed per rule (a charge's few numbers each) and replicates are dealt in chunks.
+    Draw ``i`` of a replicate takes the charge at the place (in the order of ids) that the digest of (seed, replicate, i)
+    gives, so results do not depend on how the work is dealt. Draws are made where a (key, replicate) row lies and counted before they
+    are shuffled. Charges are numbered in two levels, no task orders them all.
     """
-    packed = blocks.groupBy("rule_id", "charge_id").agg(F.collect_list(F.struct("stratum", "a", "b", "c", "d")).alias("cells"))
-    tasks = packed.join(F.broadcast(packed.sparkSession.range(-(-replicates // chunk)).withColumnRenamed("id", "part")))
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        rule, part = pdf.rule_id.iloc[0], int(pdf.part.iloc[0])
-        pdf = pdf.sort_values("charge_id")
-        strata = {s: i for i, s in enumerate(sorted({c["stratum"] for cells in pdf.cells for c in cells}))}
-        x = np.zeros((len(pdf), len(strata), 4))
-        for i, cells in enumerate(pdf.cells):
-            for c in cells:
-                x[i, strata[c["stratum"]]] = [c["a"], c["b"], c["c"], c["d"]]
-        flat, out = x.reshape(len(pdf), -1), []
-        seed = int.from_bytes(hashlib.sha256(rule.encode()).digest()[:8], "big")
-        for rep in range(part * chunk, min((part + 1) * chunk, replicates)):
-            draws = np.random.default_rng([seed, rep]).integers(0, len(pdf), len(pdf))
-            t = (np.bincount(draws, minlength=len(pdf)) @ flat).reshape(-1, 4)
-            t = t[(t[:, 0] + t[:, 1] > 0) & (t[:, 2] + t[:, 3] > 0)]
-            t = t + 0.5 * (t == 0).any(axis=1)[:, None]
-            n = t.sum(axis=1)
-            den = (t[:, 2] * (t[:, 0] + t[:, 1]) / n).sum() if len(t) else 0.0
-            out.append((rule, rep, float((t[:, 0] * (t[:, 2] + t[:, 3]) / n).sum() / den) if den > 0 else None))
-        return pd.DataFrame(out, columns=["rule_id", "replicate", "rr"])
-
-    draws = tasks.groupBy("rule_id", "part").applyInPandas(resample, "rule_id string, replicate long, rr double").where("rr is not null")
-    ends = draws.groupBy("rule_id").agg(
-        F.count("*").alias("valid"), F.expr("percentile_disc(0.025) within group (order by rr)").alias("lo"), F.expr("percentile_disc(0.975) within group (order by rr)").alias("hi")
-    )
+    charges = blocks.select(key, "charge_id").distinct().withColumn("__head", F.substring("charge_id", 1, 3))
+    heads = charges.groupBy(key, "__head").agg(F.count("*").alias("__n"))
+    before = heads.select(key, "__head", F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(key, "__head").orderBy("charge_id")) - 1
+    placed = charges.withColumn("__place", place).join(before, [key, "__head"]).select(key, "charge_id", (F.col("__place") + F.col("__before")).alias("place"))
+    sizes = heads.groupBy(key).agg(F.sum("__n").alias("n")).withColumn("seed", seed)
+    runs = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(key, "replicate")
+    places = runs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(key, "replicate", hashed_draw(F.col("seed"), F.col("replicate"), F.col("draw"), F.col("n")).alias("place"))
+    counted = places.groupBy(key, "replicate", "place").agg(F.count("*").alias("times"))
+    return counted.join(placed, [key, "place"]).select(key, "replicate", "charge_id", "times")
+
+
+def bootstrap_intervals(blocks: DataFrame, replicates: int, valid: int, material: str) -> DataFrame:
+    """(rule_id, rr_low, rr_high, valid, reason): percentile interval of the Mantel-Haenszel ratio over charges drawn with replacement."""
+    seed = F.sha2(F.concat(F.lit(material), F.unhex(F.lit("00")).cast("string"), F.col("rule_id"), F.unhex(F.lit("00")).cast("string"), F.lit("rule-ci-v1")), 256)
+    times = drawn(blocks, "rule_id", seed, replicates)
+    cells = times.join(blocks, ["rule_id", "charge_id"]).groupBy("rule_id", "replicate", "stratum").agg(*[F.sum(F.col("times") * F.col(x)).cast("double").alias(x) for x in "abcd"])
+    fix = F.when(F.least("a", "b", "c", "d") == 0, 0.5).otherwise(0.0)
+    fixed = cells.select("rule_id", "replicate", *[(F.col(x) + fix).alias(x) for x in "abcd"])
+    n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    ratios = fixed.groupBy("rule_id", "replicate").agg(F.sum(F.col("a") * (F.col("c") + F.col("d")) / n).alias("num"), F.sum(F.col("c") * (F.col("a") + F.col("b")) / n).alias("den"))
+    ratios = ratios.where("den > 0").select("rule_id", (F.col("num") / F.col("den")).alias("rr")).where("rr > 0")
+    ends = ratios.groupBy("rule_id").agg(F.count("*").alias("valid"), F.expr("percentile_disc(array(0.025, 0.975)) within group (order by rr)").alias("ends"))
+    every = blocks.select("rule_id").distinct().join(ends, "rule_id", "left").withColumn("valid", F.coalesce("valid", F.lit(0)))
     enough = F.col("valid") >= valid
-    return ends.select("rule_id", F.when(enough, F.col("lo")).alias("rr_low"), F.when(enough, F.col("hi")).alias("rr_high"), "valid")
+    return every.select(
+        "rule_id", F.when(enough, F.col("ends")[0]).alias("rr_low"), F.when(enough, F.col("ends")[1]).alias("rr_high"), "valid",
+        F.when(enough, "NONE").otherwise("TOO_FEW_VALID_BOOTSTRAPS").alias("reason"),
+    )
+
 
+def memberships_by_status(events: DataFrame, terms: DataFrame) -> DataFrame:
+    """(event_key, rule_id, grade, status) of every rule that an event is in the scope of.
+
+    ``events``: event_key, stage, equipment_type, equipment_id and values (map of field to text; a missing field has no entry or a null).
+    ``terms``: one row for each field of a rule's predicate: rule_id, grade, stage, equipment_type, scope, equipment_id, field, lower,
+    lower_inclusive, upper, upper_inclusive, accepted (array of text; null for an interval). A rule MATCHED if all its terms hold, is
+    DATA_MISSING if any of its values is, else NOT_MATCHED. The rule table (a few hundred rows by construction) is packed to one row a rule and
+    joined by stage and equipment type.
+    """
+    packed = terms.groupBy("rule_id", "grade", "stage", "equipment_type", "scope", F.col("equipment_id").alias("own")).agg(
+        F.collect_list(F.struct("field", "lower", "lower_inclusive", "upper", "upper_inclusive", "accepted")).alias("terms")
+    )
+    inside = (F.col("scope") != "EQUIPMENT_SPECIFIC") | (F.col("own") == F.col("equipment_id"))
+    rows = events.join(F.broadcast(packed), ["stage", "equipment_type"]).where(inside)
+    text = lambda t: F.element_at("values", t["field"])
+    number = lambda t: text(t).try_cast("double")
+    lacks = lambda t: text(t).isNull() | (t["accepted"].isNull() & (number(t).isNull() | F.isnan(number(t))))
+    holds = lambda t: F.when(t["accepted"].isNotNull(), P.in_values(text(t), t["accepted"])).otherwise(
+        P.in_interval(number(t), t["lower"], t["lower_inclusive"], t["upper"], t["upper_inclusive"])
+    )
+    status = F.when(F.exists("terms", lacks), "DATA_MISSING").when(F.forall("terms", holds), "MATCHED").otherwise("NOT_MATCHED")
+    return rows.select("event_key", "rule_id", "grade", "equipment_id", status.alias("status"))

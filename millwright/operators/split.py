@@ -42,9 +42,11 @@ def inner_split(known: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 
 
 def split_counts(rows: DataFrame) -> DataFrame:
+    """Counts of each split. A label counts as defect or good only where it is AVAILABLE (``known``); every other row is unknown."""
+    judge = F.when(F.col("known") == "AVAILABLE", F.col("judge"))
     return rows.groupBy("split").agg(
-        F.count("*").alias("total"), F.count_if(F.col("judge") == DEFECT).alias("defects"), F.count_if(F.col("judge") == GOOD).alias("non_defects"),
-        F.count_if(F.col("judge").isNull()).alias("unknown"), F.min("hr_date").alias("first_date"), F.max("hr_date").alias("last_date"),
+        F.count("*").alias("total"), F.count_if(judge == DEFECT).alias("defects"), F.count_if(judge == GOOD).alias("non_defects"),
+        F.count_if(F.coalesce(judge.isin(DEFECT, GOOD), F.lit(False)) == F.lit(False)).alias("unknown"), F.min("hr_date").alias("first_date"), F.max("hr_date").alias("last_date"),
     )
 
 

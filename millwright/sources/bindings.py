@@ -101,13 +101,13 @@ boundary AS MATERIALIZED (SELECT * FROM fur1 WHERE same = 1 AND hr_date IS NOT N
 cut AS MATERIALIZED (SELECT hr_date AS as_of FROM (SELECT hr_date, row_number() OVER (ORDER BY hr_date) AS i, count(*) OVER () AS n FROM boundary) WHERE i = ceil(0.7 * n)),
 purged AS MATERIALIZED (SELECT charge_id FROM boundary, cut GROUP BY charge_id, as_of HAVING min(hr_date) <= as_of AND max(hr_date) > as_of),
 outer_split AS MATERIALIZED (
-  SELECT r.*, as_of, CASE WHEN hr_date <= as_of THEN 'reference' ELSE 'holdout' END AS split FROM replay r, cut WHERE charge_id NOT IN (SELECT charge_id FROM purged)),
+  SELECT r.*, as_of, CASE WHEN hr_date <= as_of THEN 'reference' ELSE 'holdout' END AS split FROM replay r ANTI JOIN purged ON r.charge_id = purged.charge_id CROSS JOIN cut),
 labelled AS MATERIALIZED (
   SELECT *, CASE WHEN ap_record IS NULL THEN 'AP_UNLINKED' WHEN split = 'reference' AND (hr_date > as_of - 38 OR ap_date > as_of) THEN 'NOT_YET' WHEN judge IS NULL THEN 'MISSING' ELSE 'AVAILABLE' END AS known FROM outer_split),
 mature AS MATERIALIZED (SELECT * FROM labelled WHERE split = 'reference' AND known = 'AVAILABLE'),
 cut2 AS MATERIALIZED (SELECT hr_date AS cutoff FROM (SELECT hr_date, row_number() OVER (ORDER BY hr_date) AS i, count(*) OVER () AS n FROM mature) WHERE i = ceil(0.7 * n)),
 purged2 AS MATERIALIZED (SELECT charge_id FROM mature, cut2 GROUP BY charge_id, cutoff HAVING min(hr_date) <= cutoff AND max(hr_date) > cutoff),
-inner_split AS MATERIALIZED (SELECT m.* EXCLUDE (split), CASE WHEN hr_date <= cutoff THEN 'discovery' ELSE 'confirmation' END AS split FROM mature m, cut2 WHERE charge_id NOT IN (SELECT charge_id FROM purged2)),
+inner_split AS MATERIALIZED (SELECT m.* EXCLUDE (split), CASE WHEN hr_date <= cutoff THEN 'discovery' ELSE 'confirmation' END AS split FROM mature m ANTI JOIN purged2 ON m.charge_id = purged2.charge_id CROSS JOIN cut2),
 sensor AS MATERIALIZED (
   SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS equipment_id, ['CASTER','FURNACE','MILL','PICKLER','CRANE'][(user_id % 5 + 1)::INTEGER] AS equipment_type,
     CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'purchase' THEN 'WARNING' WHEN 'view' THEN 'IDLE' ELSE 'RUNNING' END AS status, value AS temperature, ts AS occurred_at, 'run-' || (event_id % 3) AS run_id FROM events),

@@ -16,7 +16,7 @@ ALERTS = "alerted AS MATERIALIZED (SELECT event_id, equipment_id, severity, (epo
 
 
 def sensed(spark, d):
-    return L.analysed(bindings.sensor_events(spark, d))
+    return L.analysed(bindings.sensor_events(spark, d), F.lit("2024-02-29 00:00:00").cast("timestamp"))
 
 
 def raised(spark, d):

@@ -41,12 +41,12 @@ def c3(spark, d):
     return G.unlinked(*G.checked(*bound.sources(spark, d)))
 
 
-@query("c4_quality_subset_violations", BASE + "SELECT r.charge_id, r.slab_no FROM replay r WHERE ap_record IS NOT NULL AND hr_coil_id <> charge_id || '-' || slab_no")
+@query("c4_quality_subset_violations", BASE + "SELECT charge_id, slab_no, CASE WHEN charge_id::BIGINT % 37 = 0 THEN 'NOT_IN_REPLAY' ELSE 'COIL_DIFFERS' END AS problem FROM replay WHERE ap_record IS NOT NULL AND (charge_id::BIGINT % 37 = 0 OR charge_id::BIGINT % 41 = 0)")
 def c4(spark, d):
-    rows = bound.replay(spark, d)
-    quality = rows.where("ap_record is not null")
-    agree = rows.select("charge_id", "slab_no", F.concat_ws("-", "charge_id", "slab_no").alias("hr_coil_id"))
-    return quality.join(agree, ["charge_id", "slab_no", "hr_coil_id"], "left_anti").select("charge_id", "slab_no")
+    """Quality rows of which some charges are lost from the replay population and others carry another coil."""
+    rows, charge = bound.replay(spark, d), F.col("charge_id").cast("long")
+    quality = rows.where("ap_record is not null").withColumn("hr_coil_id", F.when(charge % 41 == 0, F.concat(F.col("hr_coil_id"), F.lit("x"))).otherwise(F.col("hr_coil_id")))
+    return G.quality_subset_violations(quality, rows.where(charge % 37 != 0))
 
 
 @query("c10_material_catalog", BASE + "SELECT a.ap_record, r.charge_id, r.slab_no FROM ap1 a JOIN replay r ON a.hr_coil_id = r.hr_coil_id WHERE a.same = 1 AND r.hr_coil_id = r.charge_id || '-' || r.slab_no")

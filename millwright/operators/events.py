@@ -38,14 +38,22 @@ def build_events(replay: DataFrame) -> DataFrame:
         ))
     rows = replay.withColumn("material_key", material_key()).select("charge_id", "slab_no", "material_key", F.col("ap_record").isNotNull().alias("pickled"), F.explode(F.array(*items)).alias("e"))
     rows = rows.select("charge_id", "slab_no", "material_key", "pickled", "e.*").where("pickled or batch_step <> 'AP_RECORDED_WITH_RESULT'").drop("pickled")
-    day = F.date_format("replay_date", "yyyy-MM-dd")
-    hourly = digest_id("batch-id/v1", batchKind=F.col("batch_kind"), replayDate=day, replayHour=F.col("replay_hour"))
-    rows = rows.withColumn("batch_id", F.when(F.col("batch_kind") == "FURNACE_HOUR", hourly).otherwise(digest_id("batch-id/v1", batchKind=F.col("batch_kind"), replayDate=day)))
+    rows = rows.withColumn("batch_id", batch_id())
     sub = digest_id("equipment-batch-id/v1", batchId=F.col("batch_id"), equipmentId=F.col("equipment_id"), equipmentType=F.col("equipment_type"))
     rows = rows.withColumn("equipment_batch_id", F.when(F.col("equipment_type") == "FURNACE", sub))
-    event = digest_id("event-id/v1", batchId=F.col("batch_id"), batchStep=F.col("batch_step"), equipmentBatchId=F.col("equipment_batch_id"), equipmentId=F.col("equipment_id"),
-                      equipmentType=F.col("equipment_type"), materialKey=F.col("material_key"))
-    return rows.withColumns({"event_id": event, "hour_rank": F.coalesce("replay_hour", F.lit(-1)), "furnace_rank": F.when(F.col("equipment_type") == "FURNACE", F.col("equipment_id").cast("int")).otherwise(0)})
+    return rows.withColumns({"event_id": event_id(), "hour_rank": F.coalesce("replay_hour", F.lit(-1)), "furnace_rank": F.when(F.col("equipment_type") == "FURNACE", F.col("equipment_id").cast("int")).otherwise(0)})
+
+
+def batch_id() -> F.Column:
+    """The identity of an event's batch: its kind and day, and the hour of a furnace batch."""
+    day = F.date_format("replay_date", "yyyy-MM-dd")
+    hourly = digest_id("batch-id/v1", batchKind=F.col("batch_kind"), replayDate=day, replayHour=F.col("replay_hour"))
+    return F.when(F.col("batch_kind") == "FURNACE_HOUR", hourly).otherwise(digest_id("batch-id/v1", batchKind=F.col("batch_kind"), replayDate=day))
+
+
+def event_id() -> F.Column:
+    return digest_id("event-id/v1", batchId=F.col("batch_id"), batchStep=F.col("batch_step"), equipmentBatchId=F.col("equipment_batch_id"), equipmentId=F.col("equipment_id"),
+                     equipmentType=F.col("equipment_type"), materialKey=F.col("material_key"))
 
 
 def in_order(events: DataFrame) -> DataFrame:
@@ -67,8 +75,39 @@ def units(events: DataFrame) -> DataFrame:
 
 
 def violations(events: DataFrame) -> DataFrame:
-    """(event_id, problem): ids that are not unique, and stages of a material out of order."""
-    twice = events.groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1").select("event_id", F.lit("DUPLICATE_EVENT_ID").alias("problem"))
-    w = Window.partitionBy("material_key").orderBy("stage_rank")
-    late = events.withColumn("previous", F.lag("replay_date").over(w)).where("previous > replay_date").select("event_id", F.lit("STAGE_OUT_OF_ORDER").alias("problem"))
-    return twice.unionByName(late)
+    """(material_key, event_id, problem): ids that are not unique or not what their fields give, stages at the wrong equipment, out of order or missing.
+
+    event_id is null for a missing stage. Columns bundle_id and criteria_id, where the stream has them, must hold one value each:
+    events of any but the least are MIXED_BUNDLE or MIXED_CRITERIA.
+    """
+    found = lambda rows, problem: rows.select("material_key", "event_id", F.lit(problem).alias("problem"))
+    twice = events.groupBy("event_id").agg(F.count("*").alias("n"), F.min("material_key").alias("material_key")).where("n > 1")
+    late = events.withColumn("previous", F.lag("replay_date").over(Window.partitionBy("material_key").orderBy("stage_rank", "replay_date"))).where("previous > replay_date")
+    place = F.element_at(F.create_map(*[F.lit(x) for stage, rank in STAGES for x in (stage, "SM_CC" if rank == 0 else "AP" if rank == 20 else "FURNACE" if rank < 15 else "RM4")]), F.col("batch_step"))
+    short = events.where("stage_rank < 20").groupBy("material_key").agg(F.count_distinct("stage_rank").alias("n")).where(F.col("n") < len(STAGES) - 1)
+    out = (
+        found(twice, "DUPLICATE_EVENT_ID").unionByName(found(late, "STAGE_OUT_OF_ORDER")).unionByName(found(events.where(F.col("batch_id") != batch_id()), "WRONG_BATCH_ID"))
+        .unionByName(found(events.where(F.col("event_id") != event_id()), "WRONG_EVENT_ID")).unionByName(found(events.where(~F.col("equipment_type").eqNullSafe(place)), "WRONG_EQUIPMENT"))
+        .unionByName(found(short.withColumn("event_id", F.lit(None).cast("string")), "MISSING_STAGE"))
+    )
+    for column, problem in (("bundle_id", "MIXED_BUNDLE"), ("criteria_id", "MIXED_CRITERIA")):
+        if column in events.columns:
+            least = events.agg(F.min(column).alias("__least"))
+            out = out.unionByName(found(events.crossJoin(F.broadcast(least)).where(~F.col(column).eqNullSafe(F.col("__least"))), problem))
+    return out
+
+
+def streamed(folder: str, events: DataFrame) -> DataFrame:
+    """Write :func:`in_order` to ``folder`` and read it back with ``place``, each event's ordinal in the stream: files by name, rows as they lie."""
+    in_order(events).write.parquet(folder)
+    rows = events.sparkSession.read.schema(events.schema).parquet(folder).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = rows.groupBy("__file").agg(F.count("*").alias("__n"))  # a row a file
+    before = files.select("__file", F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return rows.join(F.broadcast(before), "__file").withColumn("place", F.col("__row") + F.col("__before") + 1).drop("__file", "__row", "__before")
+
+
+def parity(first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:
+    """(side, *columns): rows of either event set that the other lacks, repeated rows counted."""
+    one, two = first.select(*columns), second.select(*columns)
+    mark = lambda rows, side: rows.select(F.lit(side).alias("side"), *columns)
+    return mark(one.exceptAll(two), "first").unionByName(mark(two.exceptAll(one), "second"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from millwright.functions import predicates as P
 
 
-def analysed(events: DataFrame) -> DataFrame:
+def analysed(events: DataFrame, received_at=None) -> DataFrame:
+    """Events with severity and anomaly; an event without its own time gets that of its receipt (now, unless given)."""
     rows = events.withColumn("severity", P.severity())
-    return rows.withColumns({"anomaly": F.col("severity") != "NORMAL", "occurred_at": F.coalesce("occurred_at", F.current_timestamp())})
+    now = F.current_timestamp() if received_at is None else received_at
+    return rows.withColumns({"anomaly": F.col("severity") != "NORMAL", "occurred_at": F.coalesce("occurred_at", now)})
 
 
 def new_events(batch: DataFrame, stored: DataFrame) -> DataFrame:

@@ -16,10 +16,24 @@ REASONS = (
 
 
 def mark_ambiguous(rows: DataFrame, keys: list[str], flag: str, eligible=None) -> DataFrame:
-    """Flags every eligible row whose key another eligible row has; none of them is the right one."""
-    ok = F.lit(True) if eligible is None else eligible
-    same = F.sum(F.when(ok, 1).otherwise(0)).over(Window.partitionBy(*keys))
-    return rows.withColumn(flag, ok & (same > 1))
+    """Flags every eligible row whose key another eligible row has; none of them is the right one.
+
+    Keys are counted over eligible rows, and only those join the repeated keys; rows that are not eligible (missing keys) never meet in one task.
+    """
+    ok = F.coalesce(F.lit(True) if eligible is None else eligible, F.lit(False))
+    twice = rows.where(ok).groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys, F.lit(True).alias(flag))
+    flagged = rows.where(ok).join(twice, keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    if eligible is None:
+        return flagged.select(*rows.columns, flag)
+    return flagged.select(*rows.columns, flag).unionByName(rows.where(~ok).withColumn(flag, F.lit(False)))
+
+
+def quality_subset_violations(quality: DataFrame, replay: DataFrame) -> DataFrame:
+    """(charge_id, slab_no, problem) of quality rows that are NOT_IN_REPLAY, or whose coil is not the replay row's (COIL_DIFFERS)."""
+    known = replay.select("charge_id", "slab_no", F.col("hr_coil_id").alias("__coil"), F.lit(True).alias("__known"))
+    rows = quality.join(known, ["charge_id", "slab_no"], "left")
+    problem = F.when(F.col("__known").isNull(), "NOT_IN_REPLAY").when(~F.col("hr_coil_id").eqNullSafe(F.col("__coil")), "COIL_DIFFERS")
+    return rows.select("charge_id", "slab_no", problem.alias("problem")).where("problem is not null")
 
 
 def checked(sm: DataFrame, fur: DataFrame, ap: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.config import DEFECT, GOOD
+from millwright.work import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their order's day, part and a record id."""
+    """Line items with their order's day, part and a record id, joined once."""
+    return stage(spark, sf_dir, "lines", lambda: _joined(spark, sf_dir))
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
@@ -62,10 +67,11 @@ def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.expr("case event_type when 'error' then 'FAILURE' when 'purchase' then 'WARNING' when 'view' then 'IDLE' else 'RUNNING' end")
     kinds = F.array(*map(F.lit, ("CASTER", "FURNACE", "MILL", "PICKLER", "CRANE")))
     zero = F.lit(0.0)
+    cycle = lambda n: (F.col("event_id") % n).cast("double")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("equipment_id"),
         F.element_at(kinds, (F.col("user_id") % 5 + 1).cast("int")).alias("equipment_type"), status.alias("status"), F.col("value").alias("temperature"),
-        zero.alias("vibration"), zero.alias("rpm"), zero.alias("power"), zero.alias("current_value"), F.col("ts").alias("occurred_at"),
+        (cycle(90) / 10).alias("vibration"), zero.alias("rpm"), zero.alias("power"), cycle(83).alias("current_value"), F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("occurred_at"),
         F.concat(F.lit("run-"), (F.col("event_id") % 3).cast("string")).alias("run_id"),
     )
 
@@ -110,6 +116,6 @@ purged2 AS MATERIALIZED (SELECT charge_id FROM mature, cut2 GROUP BY charge_id,
 inner_split AS MATERIALIZED (SELECT m.* EXCLUDE (split), CASE WHEN hr_date <= cutoff THEN 'discovery' ELSE 'confirmation' END AS split FROM mature m ANTI JOIN purged2 ON m.charge_id = purged2.charge_id CROSS JOIN cut2),
 sensor AS MATERIALIZED (
   SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS equipment_id, ['CASTER','FURNACE','MILL','PICKLER','CRANE'][(user_id % 5 + 1)::INTEGER] AS equipment_type,
-    CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'purchase' THEN 'WARNING' WHEN 'view' THEN 'IDLE' ELSE 'RUNNING' END AS status, value AS temperature, ts AS occurred_at, 'run-' || (event_id % 3) AS run_id FROM events),
-sensed AS MATERIALIZED (SELECT *, CASE WHEN status = 'FAILURE' OR temperature >= 90 THEN 'CRITICAL' WHEN status = 'WARNING' OR temperature >= 75 THEN 'WARNING' ELSE 'NORMAL' END AS severity FROM sensor)
+    CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'purchase' THEN 'WARNING' WHEN 'view' THEN 'IDLE' ELSE 'RUNNING' END AS status, value AS temperature, (event_id % 90)::DOUBLE / 10 AS vibration, (event_id % 83)::DOUBLE AS current_value, CASE WHEN event_id % 97 <> 0 THEN ts ELSE TIMESTAMP '2024-02-29' END AS occurred_at, 'run-' || (event_id % 3) AS run_id FROM events),
+sensed AS MATERIALIZED (SELECT *, CASE WHEN status = 'FAILURE' OR temperature >= 90 OR vibration >= 8 OR current_value >= 80 THEN 'CRITICAL' WHEN status = 'WARNING' OR temperature >= 75 OR vibration >= 5 OR current_value >= 60 THEN 'WARNING' ELSE 'NORMAL' END AS severity FROM sensor)
 """

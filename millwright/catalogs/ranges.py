@@ -9,6 +9,7 @@ from millwright.config import CONTEXTS, FEATURES
 from millwright.functions import predicates as P
 from millwright.operators import ranges as R
 from millwright.sources.bindings import BASE
+from millwright.work import stage
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -88,7 +89,7 @@ RANGES = ranges_sql()
 
 
 def ranges_df(spark, d):
-    return R.operating_ranges(bound.reference(spark, d), CONFIG)
+    return stage(spark, d, "ranges", lambda: R.operating_ranges(bound.reference(spark, d), CONFIG))
 
 
 @query("f5_operating_ranges", RANGES + "SELECT * FROM ranged")
@@ -102,7 +103,7 @@ IN_RANGE = "l.field = r.field AND l.equipment_id = r.equipment_id AND (r.c_steel
 @query("f6_range_contributors", RANGES + f"SELECT r.rule_id, count(*) AS materials, min(l.charge_id) AS first_charge FROM longed l JOIN ranged r ON {IN_RANGE} GROUP BY r.rule_id")
 def f6(spark, d):
     rows = bound.reference(spark, d)
-    return R.range_contributors(rows, R.operating_ranges(rows, CONFIG)).groupBy("rule_id").agg(F.count("*").alias("materials"), F.min("charge_id").alias("first_charge"))
+    return R.range_contributors(rows, ranges_df(spark, d)).groupBy("rule_id").agg(F.count("*").alias("materials"), F.min("charge_id").alias("first_charge"))
 
 
 SELECT_RANGE = f""", hold AS (SELECT * FROM labelled WHERE split = 'holdout'), monitored AS MATERIALIZED ({long_sql('hold', None)}),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millwright.config import CONTEXTS, FEATURES, AnalysisConfig, Feature
 from millwright.functions import predicates as P
+from millwright.work import broadcast_if_small
 
 
 def long_form(rows: DataFrame, features: tuple[Feature, ...] = FEATURES, as_of: str | None = "as_of") -> DataFrame:
@@ -118,17 +119,15 @@ def select_range(events: DataFrame, ranges: DataFrame) -> DataFrame:
 
     Reasons: SELECTED, FALLBACK (a coarser context), NO_RANGE; a null value is DATA_MISSING. Equal levels go to the lesser rule_id.
     """
-    names = sorted({c for level in CONTEXTS for c in level})
-    r = ranges.select(
-        F.col("field").alias("rf"), F.col("equipment_id").alias("re"), "rule_id", "context_level", "p01", "p05", "p95", "p99", "lower_tail", "upper_tail", *[f"c_{c}" for c in names]
-    )
-    match = (F.col("field") == F.col("rf")) & (F.col("equipment_id") == F.col("re"))
-    for c in names:
-        match = match & (F.col(f"c_{c}").isNull() | (F.col(f"c_{c}") == F.col(c)))
-    best = events.join(r, match, "left").groupBy("event_key", "field").agg(
-        F.min_by(F.struct("rule_id", "context_level", "p01", "p05", "p95", "p99", "lower_tail", "upper_tail"), F.struct("context_level", "rule_id")).alias("r"),
-        F.first("value").alias("value"), F.first("equipment_id").alias("equipment_id"),
-    )
+    picked = ("rule_id", "context_level", "p01", "p05", "p95", "p99", "lower_tail", "upper_tail")
+    rows, found = events, []
+    for i, level in _level_keys():  # ranges have range_support rows each: a table that is counted before it is broadcast
+        keys = ["field", "equipment_id", *level]
+        here = ranges.where(F.col("context_level") == i).select("field", "equipment_id", *[F.col(f"c_{c}").alias(c) for c in level], F.struct(*picked).alias(f"r{i}"))
+        here = here.groupBy(*keys).agg(F.min_by(f"r{i}", F.col(f"r{i}.rule_id")).alias(f"r{i}"))
+        rows = rows.join(broadcast_if_small(here), keys, "left")
+        found.append(f"r{i}")
+    best = rows.withColumn("r", F.coalesce(*found))
     status = P.range_status("value", "r.p01", "r.p05", "r.p95", "r.p99", F.col("r.lower_tail"), F.col("r.upper_tail"))
     reason = F.when(F.col("r").isNull() | F.col("r.rule_id").isNull(), "NO_RANGE").when(F.col("r.context_level") == 0, "SELECTED").otherwise("FALLBACK")
     return best.select(

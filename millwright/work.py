@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _STAGES: dict[tuple, tuple] = {}
@@ -45,3 +46,8 @@ def stage(spark: SparkSession, inputs: str, name: str, build: Callable[[], DataF
         _STAGES[key] = path, df.schema
     path, schema = _STAGES[key]
     return spark.read.schema(schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast hint where a count shows at most ``rows`` rows; beyond, the plain frame, which Spark shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millwright.catalogs import CONFIG, Registry, bound, r6, rounded
+from millwright.catalogs.ranges import IN_RANGE, RANGES, ranges_df
 from millwright.config import ADJUSTMENTS, CATEGORIES, DEFECT, FEATURES, INTERACTIONS
 from millwright.functions.statistics import erfc, erfc_sql, hashed_draw, wilson
+from millwright.operators import ranges as G
 from millwright.operators import rules as R
 from millwright.sources import bindings
 from millwright.sources.bindings import BASE
@@ -202,3 +204,42 @@ def c6(spark, d):
     ) for (stage_, kind, own), names in by_stage.items()]
     events = bound.outer(spark, d).where("split = 'holdout'").select(F.concat_ws("-", "charge_id", "slab_no").alias("event_key"), F.explode(F.array(*items)).alias("x")).select("event_key", "x.*")
     return R.memberships_by_status(events, terms).groupBy("status", "rule_id", "grade").agg(F.count("*").alias("events"))
+
+
+@query("d6_distinct_candidates", PREP + """, named AS (SELECT DISTINCT family, field, bin FROM disc_members), mirrored AS (SELECT family || '|' || field || '|' || bin AS rule_id, family, [[split_part(field, '|', 1), split_part(bin, '|', 1)], [split_part(field, '|', 2), split_part(bin, '|', 2)]] AS terms FROM named WHERE family = 'INTERACTION'
+ UNION ALL SELECT family || '|' || split_part(field, '|', 2) || '|' || split_part(field, '|', 1) || '|' || split_part(bin, '|', 2) || '|' || split_part(bin, '|', 1), family, [[split_part(field, '|', 1), split_part(bin, '|', 1)], [split_part(field, '|', 2), split_part(bin, '|', 2)]] FROM named WHERE family = 'INTERACTION'
+ UNION ALL SELECT family || '|' || field || '|' || bin, family, [[field, bin]] FROM named WHERE family <> 'INTERACTION')
+SELECT min(rule_id) AS rule_id, family, count(*) AS forms FROM mirrored GROUP BY family, list_sort(terms)""")
+def d6(spark, d):
+    """Interactions are generated in both orders of their fields; one of the two forms stays."""
+    named = bound.members(spark, d, "discovery").select(*R.KEYS).distinct()
+    part = lambda c, k: F.split_part(F.col(c), F.lit("|"), F.lit(k))
+    term = lambda k: F.struct(part("field", k).alias("field"), part("bin", k).alias("bin"))
+    two = F.col("family") == "INTERACTION"
+    forms = F.when(two, F.array(
+        F.struct(F.concat_ws("|", *R.KEYS).alias("rule_id"), F.array(term(1), term(2)).alias("terms")),
+        F.struct(F.concat_ws("|", "family", part("field", 2), part("field", 1), part("bin", 2), part("bin", 1)).alias("rule_id"), F.array(term(2), term(1)).alias("terms")),
+    )).otherwise(F.array(F.struct(F.concat_ws("|", *R.KEYS).alias("rule_id"), F.array(F.struct("field", "bin")).alias("terms"))))
+    candidates = named.select("family", F.explode(forms).alias("x")).select("family", "x.*")
+    counts = candidates.groupBy("family", F.to_json(F.array_sort("terms")).alias("predicate")).agg(F.count("*").alias("forms"))
+    return R.distinct_candidates(candidates).join(counts, ["family", "predicate"]).select("rule_id", "family", "forms")
+
+
+def _behind(source: str) -> str:
+    level = [f"SELECT family, field, bin, charge_id, slab_no, {i} AS level, " + (" || ';' || ".join(f"CASE WHEN field = '{c}' THEN '' ELSE '{c}=' || {c} END" for c in lv) or "'all'") + f" AS stratum FROM {source}_members" for i, lv in enumerate(ADJUSTMENTS)]
+    return f"SELECT m.family, m.family || '|' || m.field || '|' || m.bin AS rule_id, charge_id, slab_no FROM ({' UNION ALL '.join(level)}) m JOIN chosen USING (family, field, bin, level) SEMI JOIN (SELECT family, field, bin, level, stratum FROM {source}_tables WHERE {TOLD}) t USING (family, field, bin, level, stratum) SEMI JOIN weighted w USING (family, field, bin, stratum)"
+
+
+@query("i9_aggregate_lineage", RULES + ", " + RANGES[len(BASE) + 2:] + f""", lined AS (
+SELECT 'equipment_operating_ranges' AS artifact, r.rule_id, 'REFERENCE' AS split, 'NOT_APPLICABLE' AS selection, 'STAGE_AVAILABLE_AT_AS_OF,FINITE_VALUE' AS filters, 'TYPE1_QUANTILE' AS transformations, l.charge_id, l.slab_no FROM longed l JOIN ranged r ON {IN_RANGE}
+UNION ALL SELECT 'quality_risk_intervals', rule_id, 'DISCOVERY', 'FIXED_POPULATION_STRATA_MINUS_CANDIDATE', 'LABEL_AVAILABLE_AND_MATURE,' || CASE WHEN family <> 'CATEGORICAL' THEN 'FINITE_VALUE,' ELSE '' END || 'PREDICATE_MATCH,INFORMATIVE_STRATA_ONLY', 'WILSON_SCORE_INTERVAL,BENJAMINI_HOCHBERG_FDR', charge_id, slab_no FROM ({_behind("disc")})
+UNION ALL SELECT 'quality_risk_intervals', rule_id, 'CONFIRMATION', 'FIXED_POPULATION_STRATA_MINUS_CANDIDATE', 'LABEL_AVAILABLE_AND_MATURE,' || CASE WHEN family <> 'CATEGORICAL' THEN 'FINITE_VALUE,' ELSE '' END || 'PREDICATE_MATCH,FIXED_DISCOVERY_STRATA,INFORMATIVE_STRATA_ONLY', 'WILSON_SCORE_INTERVAL', charge_id, slab_no FROM ({_behind("conf")}))
+SELECT artifact, rule_id, split, selection, filters, transformations, count(*) AS materials, min(charge_id || '-' || slab_no) AS first_material FROM lined GROUP BY ALL""")
+def i9(spark, d):
+    weighted, chosen = R.weights(bound.tables(spark, d, "discovery"), bound.level(spark, d)), bound.level(spark, d)
+    behind = [R.contributors(bound.members(spark, d, name), bound.tables(spark, d, name), weighted, chosen) for name in ("discovery", "confirmation")]
+    edges = R.aggregate_lineage(G.range_contributors(bound.reference(spark, d), ranges_df(spark, d)), *behind)
+    text = {c: F.array_join(c, ",") for c in ("filters", "transformations")}
+    return edges.withColumns(text).groupBy("artifact", "rule_id", "split", "selection", "filters", "transformations").agg(
+        F.count("*").alias("materials"), F.min(F.concat_ws("-", "charge_id", "slab_no")).alias("first_material")
+    )

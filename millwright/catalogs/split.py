@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millwright.catalogs import CONFIG, Registry, bound
-from millwright.config import DEFECT, GOOD
+from millwright.config import DEFECT, FEATURES, GOOD
 from millwright.operators import split as S
 from millwright.sources.bindings import BASE
 
@@ -68,3 +68,12 @@ def i8(spark, d):
     for part in (bound.outer(spark, d), bound.inner(spark, d)):
         rows = rows.unionByName(part.withColumnRenamed("split", "population").select(*keys))
     return rows
+
+
+_VALUES = [f"CASE WHEN {f.date} <= as_of AND {f.name} IS NOT NULL THEN '\"{f.name}\":\"' || printf('%.6f', {f.name}) || '\"' END" for f in FEATURES]
+
+
+@query("a16_criteria_projection", BASE + f"""SELECT '{{"charge_id":"' || charge_id || '","furnace_no":"' || furnace_no || '","steel_grade":"' || steel_grade || '","hr_date":"' || strftime(hr_date, '%Y-%m-%d') || '"' || CASE WHEN known = 'AVAILABLE' AND judge IS NOT NULL THEN ',"label":"' || judge || '"' ELSE '' END
+ || ',"slab_no":"' || slab_no || '","values":{{' || concat_ws(',', {', '.join(_VALUES)}) || '}}}}' AS line FROM labelled WHERE split = 'reference'""")
+def a16(spark, d):
+    return S.criteria_projection(bound.reference(spark, d), FEATURES, ("steel_grade", "furnace_no"))

@@ -265,3 +265,41 @@ def memberships_by_status(events: DataFrame, terms: DataFrame) -> DataFrame:
     )
     status = F.when(F.exists("terms", lacks), "DATA_MISSING").when(F.forall("terms", holds), "MATCHED").otherwise("NOT_MATCHED")
     return rows.select("event_key", "rule_id", "grade", "equipment_id", status.alias("status"))
+
+
+def distinct_candidates(candidates: DataFrame) -> DataFrame:
+    """``candidates`` (rule_id, family, terms: array of struct field, bin) with one of each family and canonical predicate: the least rule_id.
+
+    The canonical predicate is the terms in the order of their fields, as JSON.
+    """
+    canonical = F.to_json(F.array_sort("terms"))
+    ranked = candidates.withColumn("predicate", canonical).withColumn("__k", F.row_number().over(Window.partitionBy("family", "predicate").orderBy("rule_id")))
+    return ranked.where("__k = 1").drop("__k")
+
+
+def contributors(members: DataFrame, tables: DataFrame, weighted: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(rule_id, charge_id, slab_no): a split's rows in each candidate's bin, of the informative strata of the candidate's level that have a weight."""
+    levels = []
+    for i, level in enumerate(ADJUSTMENTS):
+        parts = [F.when(F.col("field") == c, F.lit("")).otherwise(F.concat(F.lit(f"{c}="), F.col(c))) for c in level]
+        levels.append(F.struct(F.lit(i).alias("level"), (F.concat_ws(";", *parts) if parts else F.lit("all")).alias("stratum")))
+    rows = members.select(*KEYS, "charge_id", "slab_no", F.explode(F.array(*levels)).alias("x")).select(*KEYS, "charge_id", "slab_no", "x.level", "x.stratum")
+    told = tables.where("a + b > 0 and c + d > 0").select(*KEYS, "level", "stratum").join(chosen.select(*KEYS, "level"), [*KEYS, "level"]).join(weighted.select(*KEYS, "stratum"), [*KEYS, "stratum"])
+    return rows.join(told, [*KEYS, "level", "stratum"], "left_semi").select(F.concat_ws("|", *KEYS).alias("rule_id"), "charge_id", "slab_no")
+
+
+def aggregate_lineage(ranges: DataFrame, discovery: DataFrame, confirmation: DataFrame) -> DataFrame:
+    """(artifact, rule_id, split, selection, filters, transformations, charge_id, slab_no): the materials behind every range and every rule, by split."""
+    names = lambda *x: F.array(*map(F.lit, x))
+    finite = F.when(F.split("rule_id", r"\|")[0] != "CATEGORICAL", names("FINITE_VALUE")).otherwise(F.array().cast("array<string>"))
+
+    def part(rows: DataFrame, artifact: str, split: str, selection: str, filters: Column, made: Column) -> DataFrame:
+        return rows.select(F.lit(artifact).alias("artifact"), "rule_id", F.lit(split).alias("split"), F.lit(selection).alias("selection"), filters.alias("filters"), made.alias("transformations"), "charge_id", "slab_no")
+
+    rest = "FIXED_POPULATION_STRATA_MINUS_CANDIDATE"
+    before, after = names("LABEL_AVAILABLE_AND_MATURE"), names("INFORMATIVE_STRATA_ONLY")
+    return (
+        part(ranges, "equipment_operating_ranges", "REFERENCE", "NOT_APPLICABLE", names("STAGE_AVAILABLE_AT_AS_OF", "FINITE_VALUE"), names("TYPE1_QUANTILE"))
+        .unionByName(part(confirmation, "quality_risk_intervals", "CONFIRMATION", rest, F.concat(before, finite, names("PREDICATE_MATCH", "FIXED_DISCOVERY_STRATA"), after), names("WILSON_SCORE_INTERVAL")))
+        .unionByName(part(discovery, "quality_risk_intervals", "DISCOVERY", rest, F.concat(before, finite, names("PREDICATE_MATCH"), after), names("WILSON_SCORE_INTERVAL", "BENJAMINI_HOCHBERG_FDR")))
+    )

@@ -68,3 +68,16 @@ def forward_folds(rows: DataFrame, folds: int = 3) -> DataFrame:
     placed = placed.withColumn("side", F.when(F.col("hr_date") <= F.col("cut"), "train").otherwise("validate"))
     both = placed.groupBy("fold", "charge_id").agg(F.count_distinct("side").alias("sides")).where("sides > 1").select("fold", "charge_id")
     return placed.join(both, ["fold", "charge_id"], "left_anti").select("fold", "side", "charge_id", "slab_no")
+
+
+def criteria_projection(reference: DataFrame, features: tuple, context: tuple[str, ...]) -> DataFrame:
+    """(line): exactly what criteria may see of the reference rows, as canonical JSON lines (fields in order, nulls left out).
+
+    A value counts only if its stage had happened as of the cut, a label only if it is AVAILABLE. Sort by ``line`` to write the file;
+    the lines' order-free digest needs no sort.
+    """
+    values = [F.when(P.available_by(f.date, "as_of") & P.finite(f.name), F.col(f.name)) for f in features]
+    seen = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f.name) for f in features]), F.array(*[F.format_string("%.6f", v) for v in values])), lambda k, v: v.isNotNull() & (v != "null"))
+    where = [F.col(c) for c in sorted(context)]
+    label = F.when(F.col("known") == "AVAILABLE", F.col("judge"))
+    return reference.select(F.to_json(F.struct("charge_id", *where, F.date_format("hr_date", "yyyy-MM-dd").alias("hr_date"), label.alias("label"), "slab_no", seen.alias("values"))).alias("line"))

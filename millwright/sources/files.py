@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millwright.config import BATCH_KINDS, STAGES
+from millwright.operators.events import in_order, violations
+
 
 def read_strict_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8") -> DataFrame:
     """All columns as text; a header other than ``columns`` or a row of another width fails the scan.
@@ -66,27 +73,121 @@ def digest(rows: DataFrame, role: str) -> DataFrame:
 
 
 def publish(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Write tables and then their manifest: a folder without manifest is not published, and republishing must give equal digests."""
+    """Publish tables as one snapshot and return its manifest (role, rows, digest, path).
+
+    Tables are written to a new place below ``folder`` and exposed by the manifest, whose folder is created at the end and only if there is
+    none: readers see a whole snapshot or none. Publishing equal tables again changes nothing; other tables raise and leave what was published.
+    """
     spark = next(iter(tables.values())).sparkSession
-    manifest = None
+    place, manifest = uuid.uuid4().hex, None
     for role, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{role}")
-        here = digest(spark.read.parquet(f"{folder}/{role}"), role)
+        rows.write.parquet(f"{folder}/data/{place}/{role}")
+        here = digest(spark.read.parquet(f"{folder}/data/{place}/{role}"), role).withColumn("path", F.lit(f"data/{place}/{role}"))
         manifest = here if manifest is None else manifest.unionByName(here)
-    manifest.write.mode("errorifexists").parquet(f"{folder}/_manifest")
-    return spark.read.parquet(f"{folder}/_manifest")
+    rows = [tuple(r) for r in manifest.collect()]  # a row a table
+    stated = _manifest_rows(spark, folder)
+    if stated is None:
+        if _create(spark, f"{folder}/manifest.json", json.dumps(rows).encode()):
+            return published(spark, folder)
+        stated = _manifest_rows(spark, folder)
+    _delete(spark, f"{folder}/data/{place}")
+    if sorted(r[:3] for r in stated) != sorted(r[:3] for r in rows):
+        raise ValueError(f"{folder} holds another snapshot")
+    return published(spark, folder)
+
+
+def _create(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Create a file; False where it exists."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        stream = fs.create(target, False)
+        stream.write(content)
+        stream.close()
+    except Py4JJavaError as wrong:
+        if "FileAlreadyExists" in wrong.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _manifest_rows(spark: SparkSession, folder: str) -> list[tuple] | None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return [tuple(r) for r in json.loads("\n".join(r.value for r in spark.read.text(f"{folder}/manifest.json").collect()))]
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a published snapshot."""
+    rows = _manifest_rows(spark, folder)
+    if rows is None:
+        raise FileNotFoundError(f"{folder} holds no snapshot")
+    return spark.createDataFrame(rows, "role string, rows long, digest long, path string")
+
+
+def snapshot(spark: SparkSession, folder: str, role: str) -> DataFrame:
+    """One table of a published snapshot."""
+    return spark.read.parquet(f"{folder}/{published(spark, folder).where(F.col('role') == role).first().path}")
 
 
 def audit(spark: SparkSession, folder: str) -> DataFrame:
     """(role, expected, found) of tables whose rows or digest differ from the manifest."""
-    stated = spark.read.parquet(f"{folder}/_manifest")
-    now = None
-    for row in stated.select("role").collect():  # one row a table
-        here = digest(spark.read.parquet(f"{folder}/{row.role}"), row.role)
+    stated, now = published(spark, folder), None
+    for row in stated.collect():  # one row a table
+        here = digest(spark.read.parquet(f"{folder}/{row.path}"), row.role)
         now = here if now is None else now.unionByName(here)
     found = now.select("role", F.col("rows").alias("r"), F.col("digest").alias("g"))
     return stated.join(found, "role").where("rows <> r or digest <> g").select("role", F.col("rows").alias("expected"), F.col("r").alias("found"))
 
 
-def export_alerts(alerts: DataFrame, path: str) -> None:
-    alerts.write.option("header", "true").csv(path)
+#: Fixed columns of an alert export, in order.
+ALERT_COLUMNS = (
+    "bundle_id", "material_key", "event_stage", "rule_id", "kind", "grade", "repeated", "replay_date", "replay_hour", "equipment_type", "equipment_id", "field",
+    "observed_value", "range_status", "discovery_support", "discovery_defects", "discovery_relative_risk", "discovery_rr_ci_lower", "discovery_rr_ci_upper",
+    "discovery_q_value", "confirmation_support", "confirmation_defects",
+)
+
+
+def export_alerts(alerts: DataFrame, path: str, order: list[str]) -> None:
+    """CSV files of :data:`ALERT_COLUMNS` in the history's ``order`` (files by name, rows as they lie); absent columns and nulls are empty."""
+    columns = [(F.col(c) if c in alerts.columns else F.lit(None)).cast("string").alias(c) for c in ALERT_COLUMNS]
+    alerts.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns).write.option("header", "true").option("emptyValue", "").csv(path)
+
+
+#: Columns of a replay-event file.
+EVENT_COLUMNS = (
+    "schema_version", "bundle_id", "criteria_id", "event_id", "replay_date", "replay_hour", "batch_kind", "batch_id", "equipment_batch_id", "batch_step", "time_precision",
+    "material_key", "equipment_type", "equipment_id", "charge_id", "slab_no", "hr_coil_id", "ap_prod_id", "values_json",
+)
+
+
+def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, problems) of replay-event CSV files: typed events with the columns of the total order, and all violations of the stream.
+
+    A header or row of another width fails the scan; values of a wrong type are problems of kind INVALID_VALUE, as are unknown batch steps and kinds.
+    """
+    raw = read_strict_csv(spark, path, list(EVENT_COLUMNS))
+    stages, kinds = (F.create_map(*[F.lit(x) for kv in pairs for x in kv]) for pairs in (STAGES, BATCH_KINDS))
+    empty = {c: F.nullif(F.col(c), F.lit("")) for c in EVENT_COLUMNS}
+    rows = raw.withColumns(empty | {"replay_date": empty["replay_date"].try_cast("date"), "replay_hour": empty["replay_hour"].try_cast("int")})
+    rows = rows.withColumns({
+        "stage_rank": F.element_at(stages, F.col("batch_step")), "kind_rank": F.element_at(kinds, F.col("batch_kind")), "hour_rank": F.coalesce("replay_hour", F.lit(-1)),
+        "furnace_rank": F.when(F.col("equipment_type") == "FURNACE", F.col("equipment_id").try_cast("int")).otherwise(0),
+    })
+    bad = rows.where("event_id is null or material_key is null or replay_date is null or stage_rank is null or kind_rank is null or (batch_kind = 'FURNACE_HOUR' and coalesce(replay_hour not between 0 and 23, true))")
+    problems = violations(rows).unionByName(bad.select("material_key", "event_id", F.lit("INVALID_VALUE").alias("problem")))
+    return rows, problems
+
+
+def write_events(events: DataFrame, path: str, bundle_id: str, criteria_id: str) -> None:
+    """Replay-event CSV files in the stream's total order: files by name, rows as they lie."""
+    fixed = {"schema_version": F.lit("v1"), "bundle_id": F.lit(bundle_id), "criteria_id": F.lit(criteria_id), "time_precision": F.when(F.col("replay_hour").isNull(), "DAY").otherwise("HOUR")}
+    rows = in_order(events.withColumns(fixed))
+    columns = [(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in EVENT_COLUMNS]
+    rows.select(*columns).write.option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,35 +21,77 @@ def sensor_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load().select(F.col("value").cast("string").alias("value"))
+    """``key``, ``value`` and ``partition`` of a broker's records, for :func:`parsed`."""
+    stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
+    return stream.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "partition")
+
+
+def keyed_records(events: DataFrame) -> DataFrame:
+    """Records (key, value) for a broker: keyed by equipment, so that each equipment's events keep their order in one partition."""
+    return events.select(F.col("equipment_id").alias("key"), F.to_json(F.struct(*[c for c in events.columns])).alias("value"))
+
+
+def kafka_sink(events: DataFrame, servers: str, topic: str, checkpoint: str):
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, "checkpointLocation": checkpoint, "kafka.acks": "all", "kafka.enable.idempotence": "true"}
+    return keyed_records(events).writeStream.format("kafka").options(**options).start()
 
 
 def parsed(raw: DataFrame) -> DataFrame:
     """``value`` as an event ``e``; what is no event (bad JSON, or no id) keeps ``e`` without id."""
-    return raw.select("value", F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
+    return raw.select(*raw.columns, F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
+
 
+#: Folders that a stored event's id is dealt to: a batch compares its ids with those of its own folders only.
+ID_FOLDERS = 64
 
-def ingest(raw: DataFrame, folder: str, checkpoint: str):
-    """Events go to ``events`` (each id once), lines that are no event to ``dead_letters``, and the latest state to ``latest``."""
+
+def ingest(raw: DataFrame, folder: str, checkpoint: str, folders: int = ID_FOLDERS, kept_versions: int = 2, attempts: int = 3):
+    """Events go to ``events`` (each id once), lines that are no event to ``dead_letters``, and the latest state to ``latest``.
+
+    Events lie in folders by a hash of their id, so a batch reads the ids of the folders it has events for, not all history, and a
+    repeated batch rewrites its own files. A batch that fails is tried ``attempts`` times. Dead letters keep what came with the line (a broker's
+    key and partition). Old versions of the latest state are deleted but for ``kept_versions``.
+    """
     events = parsed(raw)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        batch.where("e is null or e.event_id is null").select("value").write.mode("overwrite").parquet(f"{folder}/dead_letters/batch={number}")
-        good = fleet.analysed(batch.where("e.event_id is not null").select("e.*")).dropDuplicates(["event_id"])
+        for attempt in range(attempts):
+            try:
+                return once(batch, number)
+            except Exception:
+                if attempt + 1 == attempts:
+                    raise
+
+    def once(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [f"{folder}/events/batch={k}" for k in range(number)]
-        if before:
-            good = good.join(spark.read.schema("event_id string").parquet(*before), "event_id", "left_anti")
-        good.write.mode("overwrite").parquet(f"{folder}/events/batch={number}")  # a repeated batch rewrites its own folder
-        new = spark.read.parquet(f"{folder}/events/batch={number}").select("equipment_id", "event_id", "status", "severity", "temperature", "occurred_at")
-        state = fleet.upserted(spark.read.parquet(f"{folder}/latest/version={number - 1}"), new) if number else fleet.latest_state(new)
-        state.write.mode("overwrite").parquet(f"{folder}/latest/version={number}")
+        batch = batch.persist()
+        batch.where("e is null or e.event_id is null").drop("e").write.mode("overwrite").parquet(f"{folder}/dead_letters/batch={number}")
+        good = fleet.analysed(batch.where("e.event_id is not null").select("e.*")).dropDuplicates(["event_id"])
+        good = good.withColumn("id_folder", F.pmod(F.xxhash64("event_id"), F.lit(folders)).cast("int"))
+        mine = [r.id_folder for r in good.select("id_folder").distinct().collect()]  # at most ``folders`` numbers
+        if number and mine and _exists(spark, f"{folder}/events"):
+            stored = spark.read.schema("event_id string, id_folder int, batch long").parquet(f"{folder}/events")
+            stored = stored.where(F.col("id_folder").isin(mine) & (F.col("batch") < number))  # partition columns: other folders are not read
+            good = good.join(stored.select("event_id"), "event_id", "left_anti")
+        options = {"partitionOverwriteMode": "dynamic"}
+        good.withColumn("batch", F.lit(number)).write.mode("overwrite").options(**options).partitionBy("id_folder", "batch").parquet(f"{folder}/events")
+        new = spark.read.parquet(f"{folder}/events").where(F.col("batch") == number).select("equipment_id", "event_id", "status", "severity", "temperature", "occurred_at") if mine else None
+        old = spark.read.parquet(f"{folder}/latest/version={number - 1}") if number else None
+        state = fleet.latest_state(new) if old is None and new is not None else fleet.upserted(old, new) if new is not None else old
+        if state is not None:
+            state.write.mode("overwrite").parquet(f"{folder}/latest/version={number}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/latest/version={number - kept_versions}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         batch.unpersist()
 
     return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def alert_stream(raw: DataFrame) -> DataFrame:
     """Anomalies of the stream as alert records, without de-duplication."""
     return fleet.alerts(fleet.analysed(parsed(raw).where("e.event_id is not null").select("e.*")), F.current_timestamp())
@@ -80,3 +123,25 @@ def repetition_stream(observed: DataFrame, last: int = 5, least: int = 3) -> Dat
     return observed.groupBy("equipment_id", "rule_id").applyInPandasWithState(
         step, "equipment_id string, rule_id string, unit long, repeated boolean", "units array<long>, materials array<string>, hits array<boolean>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+
+def monitor_stream(events: DataFrame) -> DataFrame:
+    """Stateful replay monitor: each event (material_key, unit, values as map of text) with its material's last known values and events so far.
+
+    State is kept by material; events of one unit are merged before any of them is emitted, so all rows of a unit show the same values.
+    """
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fields, texts, seen = state.get if state.exists else ([], [], 0)
+        known, out = dict(zip(fields, texts, strict=True)), []
+        for unit, group in pd.concat(frames).sort_values(["unit", "event_id"]).groupby("unit"):
+            for values in group["values"]:
+                known.update({k: v for k, v in dict(values or {}).items() if v is not None})
+            seen += len(group)
+            out += [(key[0], int(unit), event, seen, json.dumps(dict(sorted(known.items())), ensure_ascii=False)) for event in group.event_id]
+        state.update((list(known), list(known.values()), seen))
+        yield pd.DataFrame(out, columns=["material_key", "unit", "event_id", "events_so_far", "values_so_far"])
+
+    return events.groupBy("material_key").applyInPandasWithState(
+        step, "material_key string, unit long, event_id string, events_so_far long, values_so_far string", "fields array<string>, texts array<string>, seen long", "append", GroupStateTimeout.NoTimeout
+    )

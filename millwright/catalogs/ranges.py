@@ -25,7 +25,7 @@ def long_sql(source: str, as_of: str | None = "as_of", more: str = "") -> str:
 
 @query("f1_type1_quantiles", BASE + "SELECT steel_grade, quantile_disc(f_heat_temp, 0.05) AS q0, quantile_disc(f_heat_temp, 0.5) AS q1, quantile_disc(f_heat_temp, 0.95) AS q2 FROM replay GROUP BY steel_grade")
 def f1(spark, d):
-    return R.type1_quantiles(bound.replay(spark, d), ["steel_grade"], "f_heat_temp", (0.05, 0.5, 0.95))
+    return R.type1_quantiles(bound.replay(spark, d), ["steel_grade"], "f_heat_temp", {"q0": 0.05, "q1": 0.5, "q2": 0.95})
 
 
 BANDS = "SELECT '{f}' AS field, quantile_disc({f}, 0.25) AS q1, quantile_disc({f}, 0.5) AS q2, quantile_disc({f}, 0.75) AS q3 FROM {t}"

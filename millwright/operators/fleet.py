@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions import predicates as P
+from millwright.operators.ranges import at_ranks
 
 
 def analysed(events: DataFrame, received_at=None) -> DataFrame:
@@ -49,8 +50,10 @@ def alerts(events: DataFrame, published_at) -> DataFrame:
 
 
 def alert_metrics(alerts_: DataFrame, last: int = 20_000) -> DataFrame:
-    """Nearest-rank p95 and p99 over the latest alerts, the mean over all."""
-    newest = alerts_.orderBy(F.col("event_id").cast("long").desc()).limit(last)
+    """Nearest-rank p95 and p99 over the latest ``last`` alerts (more where the last one's event_id repeats), the mean over all."""
+    ids = alerts_.select(F.col("event_id").cast("long").alias("id"))
+    since = at_ranks(ids, [], "id", {"since": lambda n: F.greatest(F.lit(1), n - (last - 1))})
+    newest = alerts_.join(F.broadcast(since), F.col("event_id").cast("long") >= F.col("since"))
     tail = newest.agg(F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95"), F.expr("percentile_disc(0.99) within group (order by latency_ms)").alias("p99"))
     return alerts_.agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 3).alias("mean_ms")).crossJoin(tail)
 

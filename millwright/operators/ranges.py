@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.config import CONTEXTS, FEATURES, AnalysisConfig, Feature
 from millwright.functions import predicates as P
-from millwright.work import broadcast_if_small
+from millwright.work import broadcast_if_small, written
 
 
 def long_form(rows: DataFrame, features: tuple[Feature, ...] = FEATURES, as_of: str | None = "as_of") -> DataFrame:
@@ -27,17 +29,43 @@ def long_form(rows: DataFrame, features: tuple[Feature, ...] = FEATURES, as_of:
     return rows.select(*keep, F.explode(F.array(*items)).alias("x")).select(*keep, "x.*").where("value is not null")
 
 
-def type1_quantiles(rows: DataFrame, keys: list[str], value: str, places: tuple[float, ...]) -> DataFrame:
-    """Inverted-CDF quantiles (the element at ceil(q * n)) by group, as columns q0, q1, ..."""
-    picks = [F.expr(f"percentile_disc({q}) within group (order by {value})").alias(f"q{i}") for i, q in enumerate(places)]
-    return rows.groupBy(*keys).agg(*picks)
+def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], total: str | None = None) -> DataFrame:
+    """``keys`` and, for each name in ``ranks``, the group's element at that rank (1 is the least), a function of the number of values.
+
+    No group meets in one task: counted distinct values are dealt by ranges of (keys, value), the ranges' totals tell which of them
+    holds each wanted rank, and only those are ordered. Nulls in ``value`` do not count, nulls in ``keys`` form groups, groups
+    without a value are absent. ``total`` names a column for the group's number of values.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.struct(F.lit(0).alias("_"), *keys).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    dealt = written(counted.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "quantiles")
+    group = Window.partitionBy("g")
+    sums = dealt.groupBy("g", "part").agg(F.sum("n").alias("n")).select(
+        "g", "part", "n", F.sum("n").over(group).alias("all"), F.sum("n").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)).alias("upto")
+    )
+    places = [rank(F.col("all")) - (F.col("upto") - F.col("n")) for rank in ranks.values()]
+    asked = sums.select("g", "part", "all", *[F.when(r.between(1, F.col("n")), r).alias(f"r{i}") for i, r in enumerate(places)])
+    asked = asked.where(F.coalesce(*[F.col(f"r{i}") for i in range(len(places))]).isNotNull())
+    inside = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.join(asked, ["g", "part"]).withColumn("upto", F.sum("n").over(inside))
+    picks = [F.max(F.when(F.col(f"r{i}").between(F.col("upto") - F.col("n") + 1, F.col("upto")), F.col("v"))).alias(name) for i, name in enumerate(ranks)]
+    return found.groupBy("g").agg(*picks, F.max("all").alias("all")).select(*[f"g.{k}" for k in keys], *ranks, *([F.col("all").alias(total)] if total else []))
+
+
+def type1_quantiles(rows: DataFrame, keys: list[str], value: str, places: dict[str, float], total: str | None = None) -> DataFrame:
+    """Inverted-CDF quantiles by group: the element at rank max(1, ceil(q * n)) for each name in ``places``, as ``at_ranks`` finds it."""
+    return at_ranks(rows, keys, value, {name: lambda n, q=q: F.greatest(F.lit(1), F.ceil(F.lit(q) * n)) for name, q in places.items()}, total)
+
+
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys`` and the interpolating median: the mean of the two middle elements."""
+    middle = at_ranks(rows, keys, value, {"a": lambda n: F.floor((n + 1) / 2), "b": lambda n: F.floor(n / 2) + 1})
+    return middle.select(*keys, ((F.col("a") + F.col("b")) / 2).alias("median"))
 
 
 def band_boundaries(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """(field, q1, q2, q3): one pass over the rows."""
     items = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(P.finite(f), F.col(f)).alias("value")) for f in fields]))
-    long = rows.select(items.alias("x")).select("x.*").where("value is not null")
-    return type1_quantiles(long, ["field"], "value", (0.25, 0.5, 0.75)).toDF("field", "q1", "q2", "q3")
+    return type1_quantiles(rows.select(items.alias("x")).select("x.*"), ["field"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
 
 
 def banded(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -53,9 +81,9 @@ def equal_frequency_bins(rows: DataFrame, field: str, bins: int) -> DataFrame:
 
 
 def field_bins(long: DataFrame, bins: int) -> DataFrame:
-    places = ", ".join(str(k / bins) for k in range(1, bins + 1))
-    cuts = long.groupBy("field").agg(F.expr(f"percentile_disc(array({places})) within group (order by value)").alias("c"), F.min("value").alias("lo"))
-    cuts = cuts.select("field", "lo", F.array_distinct("c").alias("c")).select("field", "lo", F.posexplode("c").alias("bin", "upper"))
+    places = {f"p{k}": k / bins for k in range(bins + 1)}
+    cuts = type1_quantiles(long, ["field"], "value", places).select("field", F.col("p0").alias("lo"), F.array_distinct(F.array(*list(places)[1:])).alias("c"))
+    cuts = cuts.select("field", "lo", F.posexplode("c").alias("bin", "upper"))
     before = F.lag("upper").over(Window.partitionBy("field").orderBy("bin"))
     return cuts.select("field", "bin", F.coalesce(before, F.col("lo")).alias("lower"), "upper", before.isNull().alias("lower_inclusive"))
 
@@ -77,10 +105,8 @@ def operating_ranges(reference: DataFrame, cfg: AnalysisConfig, features: tuple[
         F.struct(F.lit(i).alias("level"), *[(F.col(c) if c in level else F.lit(None).cast("string")).alias(f"c_{c}") for c in names]) for i, level in _level_keys()
     ])).alias("x")).select(*keys, *names, "value", "x.*")
     group = [*keys, "level", *[f"c_{c}" for c in names]]
-    stats = leveled.groupBy(*group).agg(
-        F.count("*").alias("support"),
-        *[F.expr(f"percentile_disc({q}) within group (order by value)").alias(a) for a, q in (("p01", 0.01), ("p05", 0.05), ("median", 0.5), ("p95", 0.95), ("p99", 0.99))],
-    ).where(F.col("support") >= cfg.range_support)
+    places = {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
+    stats = written(type1_quantiles(leveled, group, "value", places, "support").where(F.col("support") >= cfg.range_support), "range-levels")
     # finest cells nominate: a cell's first supported level
     cells = long.groupBy(*keys, *names).agg(F.count("*").alias("n"))
     nominated = None
@@ -141,11 +167,12 @@ def column_profile(rows: DataFrame, numeric: tuple[str, ...], categories: tuple[
     items = [F.struct(F.lit(c).alias("column"), F.when(P.finite(c), F.col(c)).alias("v"), F.lit(None).cast("string").alias("s")) for c in numeric]
     items += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("v"), F.when(~P.missing(c), F.col(c)).alias("s")) for c in categories]
     long = rows.select(F.explode(F.array(*items)).alias("x")).select("x.*")
-    picks = [F.expr(f"percentile_disc({q}) within group (order by v)").alias(a) for a, q in (("p05", 0.05), ("median", 0.5), ("p95", 0.95))]
-    return long.groupBy("column").agg(
-        F.count("*").alias("total"), F.count_if(F.col("v").isNull() & F.col("s").isNull()).alias("missing"),
-        (F.count_distinct("v") + F.count_distinct("s")).alias("distinct"), *picks,
+    per_value = long.groupBy("column", "v", "s").agg(F.count("*").alias("n"))
+    empty = F.col("v").isNull() & F.col("s").isNull()
+    counts = per_value.groupBy("column").agg(
+        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(empty, F.col("n"))), F.lit(0)).alias("missing"), F.count_if(~empty).alias("distinct")
     )
+    return counts.join(type1_quantiles(long, ["column"], "v", {"p05": 0.05, "median": 0.5, "p95": 0.95}), "column", "left")
 
 
 def category_levels(rows: DataFrame, categories: tuple[str, ...]) -> DataFrame:
@@ -160,5 +187,5 @@ def drift(split: DataFrame, features: tuple[Feature, ...] = FEATURES) -> DataFra
         known = (F.col("split") != "reference") | P.available_by(f.date, "as_of")
         items.append(F.struct(F.lit(f.name).alias("field"), F.when(known & P.finite(f.name), F.col(f.name)).alias("value")))
     long = split.select("split", F.explode(F.array(*items)).alias("x")).select("split", "x.*")
-    picks = [F.expr(f"percentile_disc({q}) within group (order by value)").alias(a) for a, q in (("p05", 0.05), ("median", 0.5), ("p95", 0.95))]
-    return long.groupBy("field", "split").agg(F.count("*").alias("rows"), F.round(F.count_if(F.col("value").isNull()) / F.count("*"), 9).alias("missing_rate"), *picks)
+    counts = long.groupBy("field", "split").agg(F.count("*").alias("rows"), F.round(F.count_if(F.col("value").isNull()) / F.count("*"), 9).alias("missing_rate"))
+    return counts.join(type1_quantiles(long, ["field", "split"], "value", {"p05": 0.05, "median": 0.5, "p95": 0.95}), ["field", "split"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millwright.catalog import FLAGSHIP, ORACLES, QUERIES
 from millwright.functions import predicates as P
 from millwright.functions.statistics import erfc, wilson
-from millwright.operators import genealogy, holdout, monitor, rules
+from millwright.operators import fleet, genealogy, holdout, monitor, ranges, rules
 from millwright.sources import files
 from millwright.streaming import jobs
 from tests.oracle import DATA, compare
@@ -207,3 +207,27 @@ def test_missing_keys_are_never_ambiguous(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4), (" ", 5), ("b", 6)], "k string, n int")
     got = {r.n: r.twice for r in genealogy.mark_ambiguous(rows, ["k"], "twice", ~P.missing("k")).collect()}
     assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False}
+
+
+def test_quantiles_equal_sorted_lists(spark):
+    import math
+    import random
+    import statistics
+
+    rng = random.Random(9)
+    rows = [(k, None if rng.random() < 0.1 else rng.choice([0.5, 0.5, 7.0, rng.gauss(0, 5)])) for k in ("a", None, "b") for _ in range(301)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    places = {"lo": 0.0, "q05": 0.05, "mid": 0.5, "q99": 0.99, "hi": 1.0}
+    groups = {k: sorted(v for key, v in rows if key == k and v is not None) for k, _ in rows}
+    want = {k: tuple(v[max(1, math.ceil(q * len(v))) - 1] for q in places.values()) + (len(v),) for k, v in groups.items() if v}
+    assert {r[0]: tuple(r)[1:] for r in ranges.type1_quantiles(df, ["k"], "v", places, "n").collect()} == want
+    assert {r.k: r.median for r in ranges.medians(df, ["k"], "v").collect()} == {k: statistics.median(v) for k, v in groups.items() if v}
+    assert ranges.type1_quantiles(df.where("false"), ["k"], "v", places).count() == 0
+    every = sorted(v for v in (v for _, v in rows) if v is not None)
+    assert ranges.type1_quantiles(df, [], "v", {"q": 0.25}).first().q == every[math.ceil(0.25 * len(every)) - 1]
+
+
+def test_alert_metrics_take_the_latest_alerts(spark):
+    alerts = spark.createDataFrame([(str(i), i) for i in range(1, 101)], "event_id string, latency_ms long")
+    assert tuple(fleet.alert_metrics(alerts, 20).first()) == (100, 50.5, 99, 100)
+    assert tuple(fleet.alert_metrics(alerts.where("false"), 20).first()) == (0, None, None, None)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import chat_format, compaction, decontaminate, language_id, line_dedup, matroska, near_dedup, sentencepiece_fst, toxicity, warc
+from millwright.llm import (
+    chat_format, compaction, decontaminate, language_id, line_dedup, matroska, near_dedup, prefix_hash, sentencepiece_fst, toxicity, warc,
+)
 from millwright.llm.common import table, tokenizer_path
 
 
@@ -63,11 +65,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = prefix_hash.with_next(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_cnn_language_id, op2_simhash_decontamination, op3_sentencepiece_fst, op4_size_tiered_sharding, op5_minhash_near_dedup,
         op6_matroska_media, op7_chat_collapse, op8_warc_normaliser, op9_line_chunk_dedup, op9_repeated_passages, op10_toxicity,
+        op11_prefix_hash_fingerprints,
     )
 }
 ORACLES = {

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.llm import (
-    chat_format, compaction, decontaminate, language_id, line_dedup, matroska, near_dedup, prefix_hash, sentencepiece_fst, toxicity, warc,
+    chat_format, compaction, decontaminate, hard_negatives, language_id, line_dedup, matroska, near_dedup, prefix_hash, sentencepiece_fst, token_alignment, toxicity,
+    warc,
 )
 from millwright.llm.common import table, tokenizer_path
 
@@ -72,12 +73,21 @@ def op11_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op12_whitespace_anchor_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = token_alignment.read_vocabularies(spark, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return token_alignment.link_strength(table(spark, sf_dir, "documents"), vocabularies)
+
+
+def op13_gnat_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_cnn_language_id, op2_simhash_decontamination, op3_sentencepiece_fst, op4_size_tiered_sharding, op5_minhash_near_dedup,
         op6_matroska_media, op7_chat_collapse, op8_warc_normaliser, op9_line_chunk_dedup, op9_repeated_passages, op10_toxicity,
-        op11_prefix_hash_fingerprints,
+        op11_prefix_hash_fingerprints, op12_whitespace_anchor_alignment, op13_gnat_hard_negatives,
     )
 }
 ORACLES = {
@@ -86,4 +96,5 @@ ORACLES = {
     "op8_warc_normaliser": warc.ORACLE,
     "op9_line_chunk_dedup": line_dedup.ORACLE,
     "op9_repeated_passages": line_dedup.PASSAGES_ORACLE,
+    "op13_gnat_hard_negatives": hard_negatives.ORACLE,
 }

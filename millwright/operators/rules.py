@@ -243,8 +243,8 @@ def bootstrap_intervals(blocks: DataFrame, replicates: int, valid: int, material
     )
 
 
-def memberships_by_status(events: DataFrame, terms: DataFrame) -> DataFrame:
-    """(event_key, rule_id, grade, status) of every rule that an event is in the scope of.
+def memberships_by_status(events: DataFrame, terms: DataFrame, keep_others: bool = False) -> DataFrame:
+    """(event_key, rule_id, grade, status) of every rule that an event is in the scope of; with ``keep_others`` an event of no rule's stage once, without rule.
 
     ``events``: event_key, stage, equipment_type, equipment_id and values (map of field to text; a missing field has no entry or a null).
     ``terms``: one row for each field of a rule's predicate: rule_id, grade, stage, equipment_type, scope, equipment_id, field, lower,
@@ -256,14 +256,14 @@ def memberships_by_status(events: DataFrame, terms: DataFrame) -> DataFrame:
         F.collect_list(F.struct("field", "lower", "lower_inclusive", "upper", "upper_inclusive", "accepted")).alias("terms")
     )
     inside = (F.col("scope") != "EQUIPMENT_SPECIFIC") | (F.col("own") == F.col("equipment_id"))
-    rows = events.join(F.broadcast(packed), ["stage", "equipment_type"]).where(inside)
+    rows = events.join(F.broadcast(packed), ["stage", "equipment_type"], "left" if keep_others else "inner").where(inside | F.col("rule_id").isNull() if keep_others else inside)
     text = lambda t: F.element_at("values", t["field"])
     number = lambda t: text(t).try_cast("double")
     lacks = lambda t: text(t).isNull() | (t["accepted"].isNull() & (number(t).isNull() | F.isnan(number(t))))
     holds = lambda t: F.when(t["accepted"].isNotNull(), P.in_values(text(t), t["accepted"])).otherwise(
         P.in_interval(number(t), t["lower"], t["lower_inclusive"], t["upper"], t["upper_inclusive"])
     )
-    status = F.when(F.exists("terms", lacks), "DATA_MISSING").when(F.forall("terms", holds), "MATCHED").otherwise("NOT_MATCHED")
+    status = F.when(F.col("rule_id").isNull(), F.lit(None)).when(F.exists("terms", lacks), "DATA_MISSING").when(F.forall("terms", holds), "MATCHED").otherwise("NOT_MATCHED")
     return rows.select("event_key", "rule_id", "grade", "equipment_id", status.alias("status"))
 
 

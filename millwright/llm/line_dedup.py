@@ -151,9 +151,10 @@ def _key(start: F.Column, mark: F.Column) -> F.Column:
 
 
 def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """(__id, __start, __mark) of every pair of neighbouring lines that occurred before, compared by bytes.
+    """(__id, __start, __mark) of every pair of neighbouring lines to take out: one that occurred before, compared by bytes, and whose first occurrence stays whole.
 
-    A pair that overlaps its own first occurrence (three equal lines) is not a second one.
+    A pair that overlaps its own first occurrence (three equal lines) is not a second one. A first occurrence of which a line belongs to a repeat
+    of some other pair may lose that line, so nothing is taken out for its sake: what goes has a whole copy that nothing touches.
     """
     base = docs.select(F.col("doc_id").alias("__id"), "text").where("doc_id is not null and text is not null")
     parts = _pairs(base)
@@ -165,16 +166,22 @@ def repeated_pairs(docs: DataFrame) -> DataFrame:
     found, path = written(rows.join(broadcast_if_small(marks, marks.count()), "__mark", "left_semi").select("__id", "__start", "__mark", "__bytes"), "pairs")
     firsts, firsts_path = written(_firsts(found), "firsts")
     overlaps = (F.col("__id") == F.col("__first.__id")) & F.col("__start").isin(F.col("__first.__start"), F.col("__first.__start") + 1)
-    surplus = join_counted(found, firsts, ["__mark", "__bytes"], "__count", F.octet_length("__bytes")).where(~overlaps)
-    result, _ = written(surplus.select("__id", "__start", "__mark").distinct(), "surplus")
-    remove(docs.sparkSession, path, marks_path, firsts_path)
+    again = lambda of: join_counted(found, of, ["__mark", "__bytes"], "__count", F.octet_length("__bytes")).where(~overlaps).select("__id", "__start", "__mark").distinct()
+    every, every_path = written(again(firsts), "repeats")
+    both = F.explode(F.array("__start", F.col("__start") + 1)).alias("__line")
+    touched = every.select("__id", both).distinct()
+    of_first = firsts.select(F.col("__first.__id").alias("__id"), F.col("__first.__start").alias("__start")).select("__id", "__start", both)
+    spoilt = of_first.join(touched, ["__id", "__line"], "left_semi").select(F.struct("__id", "__start").alias("__first")).distinct()
+    whole, whole_path = written(firsts.join(spoilt, "__first", "left_anti"), "whole-firsts")
+    result, _ = written(again(whole), "surplus")
+    remove(docs.sparkSession, path, marks_path, firsts_path, every_path, whole_path)
     return result
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``text`` changed and ``removed_lines`` added: each run of two or more lines that occurred before is out.
 
-    Earlier is by doc_id, then place. The first occurrence of every distinct line stays, so no line is lost to the corpus.
+    Earlier is by doc_id, then place. Every pair of neighbouring lines that goes has a first occurrence that stays whole (:func:`repeated_pairs`).
     Rows with a null doc_id, repeated ids, null and one-line texts are treated as by :func:`drop_repeated_chunks`.
     """
     docs = docs.drop("removed_lines")
@@ -203,7 +210,9 @@ WITH lines AS (
 paired AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM lines),
 pairs AS (SELECT * FROM paired WHERE next IS NOT NULL AND (trim(line, chr(32) || chr(9) || chr(13)) <> '' OR trim(next, chr(32) || chr(9) || chr(13)) <> '')),
 ranked AS (SELECT *, first_value(doc_id) OVER w AS d0, first_value(i) OVER w AS i0 FROM pairs WINDOW w AS (PARTITION BY line, next ORDER BY doc_id, i)),
-again AS (SELECT doc_id, i FROM ranked WHERE NOT (doc_id = d0 AND i IN (i0, i0 + 1))),
+repeats AS (SELECT * FROM ranked WHERE NOT (doc_id = d0 AND i IN (i0, i0 + 1))),
+touched AS (SELECT doc_id, i FROM repeats UNION SELECT doc_id, i + 1 FROM repeats),
+again AS (SELECT r.doc_id, r.i FROM repeats r ANTI JOIN touched t ON t.doc_id = r.d0 AND (t.i = r.i0 OR t.i = r.i0 + 1)),
 gone AS (SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again),
 totals AS (SELECT doc_id, count(*) AS removed_lines FROM gone GROUP BY doc_id),
 kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)

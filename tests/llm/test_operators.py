@@ -148,7 +148,7 @@ def test_repeated_passages_of_two_to_five_lines_go_whole(spark):
     for k in range(40):
         assert got[k].removed_lines == 0 and got[k].text == dict(rows)[k]
         assert got[100 + k].text == "\n".join(lines(f"c{k}", 1 + k % 3) + lines(f"d{k}", k % 4)) and got[100 + k].removed_lines == 2 + k % 4
-    assert got[200].text == "same\nsame" and got[202].text == "z" and got[203].text == "" and got[203].removed_lines == 2
+    assert got[200].text == "same\nsame" and got[202].text == "z" and got[203].text == "y\nz" and got[203].removed_lines == 0  # "y\nz" of 202 is not whole any more
     assert got[204].text == "p\n\n\nq" and got[205].text == "r\n\n\ns"
     assert {x for r in got.values() for x in r.text.split("\n")} >= {x for _, t in rows for x in t.split("\n")}
     odd_rows = {r.doc_id: r for r in line_dedup.drop_repeated_passages(odd(spark)).collect()}
@@ -157,6 +157,32 @@ def test_repeated_passages_of_two_to_five_lines_go_whole(spark):
     assert line_dedup.drop_repeated_passages(odd(spark).limit(0)).count() == 0
 
 
+def test_overlapping_passages_keep_a_whole_copy(spark):
+    """Random short lines in many overlapping runs: every two-line passage of the input that went from somewhere still stands whole elsewhere."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(1, "aa\nbb"), (2, "aa\nbb\ncc"), (3, "bb\ncc")]
+    rows += [(10 + k, "\n".join(f"line {rng.randrange(25)}" for _ in range(rng.randrange(1, 9)))) for k in range(150)]
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_passages(documents(spark, *rows)).collect()}
+    assert (got[2].text, got[3].text) == ("cc", "bb\ncc")
+    pairs = lambda text: list(zip(text.split("\n"), text.split("\n")[1:]))
+    first, repeats = {}, []
+    for i, text in rows:
+        for at, pair in enumerate(pairs(text)):
+            d, f = first.setdefault(pair, (i, at))
+            if (d, f) != (i, at) and not (d == i and at == f + 1):
+                repeats.append((i, at, (d, f)))
+    touched = {(i, at + k) for i, at, _ in repeats for k in (0, 1)}
+    gone = {(i, at + k) for i, at, (d, f) in repeats if not {(d, f), (d, f + 1)} & touched for k in (0, 1)}
+    for i, text in rows:
+        assert got[i].text == "\n".join(x for at, x in enumerate(text.split("\n")) if (i, at) not in gone)
+    standing = {p for r in got.values() for p in pairs(r.text)}
+    for i, at, (d, f) in repeats:
+        if (i, at) in gone and (i, at + 1) in gone and not {(d, f), (d, f + 1)} & touched:
+            assert pairs(dict(rows)[i])[at] in standing
+
+
 def test_toxicity_held_out_and_odd_rows(spark):
     sf = f"{DATA}/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -525,4 +551,17 @@ def test_pipeline_stages_take_effect(spark):
     assert {r.doc_id for r in once.select("doc_id").collect()} == {i for i, (_, c) in plain.items() if i == c}
     assert tuple(once.columns) == tuple(pipeline.drop_repeated_passages(spark, docs, SF).columns) == pipeline.COLUMNS
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
-    assert pipeline.run(spark, SF).count() <= clean.count()
+    final = pipeline.run(spark, SF).collect()
+    assert len(final) <= clean.count()
+    blank = {r.doc_id for r in docs.collect() if not (r.text or "").strip()}
+    assert all(r.n_tokens > 0 or r.doc_id in blank for r in final)
+
+
+def test_pipeline_drops_what_is_whole_elsewhere_and_keeps_blank_texts(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, "a one\nb two\nc three"), (2, "a one\nb two\nc three"), (3, "a one\nb two\nown words"), (4, ""), (5, " \n "), (6, None), (7, "\n\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.drop_repeated_passages(spark, docs, SF).collect()}
+    assert got == {1: (rows[0][1], 19), 3: ("own words", 9), 4: ("", 0), 5: (" \n ", 3), 6: (None, 0), 7: ("\n\n", 2)}
+    assert pipeline.drop_repeated_passages(spark, docs.limit(0), SF).count() == 0

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.config import ADJUSTMENTS, CATEGORIES, DEFECT, FEATURES, INTERACTIONS, AnalysisConfig
+from millwright.config import ADJUSTMENTS, CATEGORIES, DEFECT, FEATURES, INTERACTIONS, STAGES, AnalysisConfig
 from millwright.functions import predicates as P
 from millwright.functions.statistics import erfc, hashed_draw, wilson
 from millwright.operators.ranges import field_bins
+from millwright.work import written
 
 NUMERIC = tuple(f.name for f in FEATURES)
 
@@ -172,10 +177,22 @@ def graded_rules(ruled: DataFrame, cfg: AnalysisConfig, intervals: DataFrame | N
     own = (F.col("family") == "CATEGORICAL") & (F.col("field") == "furnace_no")
     return rows.withColumns({
         "grade": grade(cfg, "rr_low" if intervals is not None else None), "scope": F.when(own, "EQUIPMENT_SPECIFIC").otherwise("PROCESS_GLOBAL"),
-        "equipment_id": F.when(own, F.col("bin")).otherwise("ALL"), "early_warning": F.lit(True),
+        "equipment_id": F.when(own, F.col("bin")).otherwise("ALL"), "early_warning": first_stage() != STAGES[-1][0],
     })
 
 
+#: Stages of the categories; monitored fields have theirs in ``FEATURES``, results and other fields of pickling are known last.
+CATEGORY_STAGES = {"steel_grade": "CAST_RECORDED", "steel_usage": "CAST_RECORDED", "furnace_no": "FURNACE_CHARGED", "f_jangip_gubun": "FURNACE_CHARGED"}
+
+
+def first_stage() -> Column:
+    """The stage at which all fields of a rule are known: the latest of theirs; a field of no listed stage is known with the result."""
+    ranks = dict(STAGES)
+    at = F.create_map(*[F.lit(x) for f, s in ({f.name: f.stage for f in FEATURES} | CATEGORY_STAGES).items() for x in (f, ranks[s])])
+    latest = F.array_max(F.transform(F.split("field", r"\|"), lambda f: F.coalesce(F.element_at(at, f), F.lit(STAGES[-1][1]))))
+    return F.element_at(F.create_map(*[F.lit(x) for s, r in STAGES for x in (r, s)]), latest)
+
+
 def merged_display(rules: DataFrame, numeric: DataFrame) -> DataFrame:
     """(rule_id, run, members): maximal runs of two or more neighbouring numeric bins with one grade."""
     r = rules.where("family = 'NUMERIC'").select("rule_id", "field", "grade", F.col("bin").cast("int").alias("bin")).join(numeric.select("field", "bin", "lower", "upper"), ["field", "bin"])
@@ -205,30 +222,88 @@ def stratum_rows(members: DataFrame) -> DataFrame:
     return rows.select("family", "field", "bin", "charge_id", "bad", "x.level", "x.stratum")
 
 
+#: Replicates that one group of the resampling draws; rows of a key up to which they are counted in place; draws hashed at a time.
+CHUNK, IN_PLACE, HASHED = 25, 1_000_000, 1 << 16
+
+
+def draw_counts(seed: bytes, replicate: int, n: int) -> np.ndarray:
+    """How often a replicate draws each of ``n`` places: draw i takes the first 8 bytes of SHA-256(seed, replicate, i) modulo n."""
+    counts, head = np.zeros(n, np.int64), seed + replicate.to_bytes(8, "big")
+    for start in range(0, n, HASHED):
+        digests = b"".join([sha256(head + i.to_bytes(8, "big")).digest() for i in range(start, min(n, start + HASHED))])
+        counts += np.bincount((np.frombuffer(digests, ">u8")[::4] % np.uint64(n)).astype(np.int64), minlength=n)
+    return counts
+
+
+def replicate_sums(blocks: DataFrame, key: str, by: str, values: tuple[str, ...], seed: Column, replicates: int, in_place: int = IN_PLACE) -> DataFrame:
+    """(key, replicate, by, *values): ``values`` summed by ``by`` over charges drawn with replacement, as many as a key has.
+
+    ``blocks`` has key, charge_id, by and whole numbers. A charge's place is its rank by id, and draws depend on seed, replicate and ordinal only, not
+    on how the work is dealt. A group is a key and ``CHUNK`` replicates: it holds the key's blocks, counts its draws in place and multiplies
+    them with the blocks, so draws are never rows. Keys with more than ``in_place`` rows go through :func:`drawn` instead, whose draws are
+    counted rows that Spark shuffles.
+    """
+    sizes = written(blocks.groupBy(key).agg(F.count("*").alias("__rows")).withColumn("__seed", seed), "bootstrap-keys")
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-replicates // CHUNK)) - 1)))
+    small = sizes.where(F.col("__rows") <= in_place).select(key, "__seed", chunks.alias("__chunk"))
+    rows = blocks.select(key, "charge_id", by, *[F.col(v).cast("long").alias(v) for v in values]).join(small, key)
+    schema = f"{key} string, replicate long, {by} string, " + ", ".join(f"{v} long" for v in values)
+    names = [key, "replicate", by, *values]
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        charges, place = np.unique(np.array(table.column("charge_id").to_pylist(), object), return_inverse=True)
+        strata, stratum = np.unique(np.array(table.column(by).to_pylist(), object), return_inverse=True)
+        cells = np.stack([table.column(v).to_numpy() for v in values], 1)
+        first, out = CHUNK * group[1].as_py(), []
+        for replicate in range(first, min(replicates, first + CHUNK)):
+            drawn_ = cells * draw_counts(bytes.fromhex(table.column("__seed")[0].as_py()), replicate, len(charges))[place][:, None]
+            sums = np.zeros((len(strata), len(values)), np.int64)
+            np.add.at(sums, stratum, drawn_)
+            out.append(sums)
+        made = np.concatenate(out)
+        columns = [[group[0].as_py()] * len(made), np.repeat(np.arange(first, first + len(out)), len(strata)), np.tile(strata, len(out)), *made.T]
+        return pa.table([pa.array(c) for c in columns], names=names)
+
+    found = rows.groupBy(key, "__chunk").applyInArrow(run, schema)
+    if sizes.where(F.col("__rows") > in_place).limit(1).count():
+        large = blocks.join(sizes.where(F.col("__rows") > in_place).select(key), key, "left_semi")
+        times = drawn(large, key, seed, replicates).join(large, [key, "charge_id"])
+        found = found.unionByName(times.groupBy(key, "replicate", by).agg(*[F.sum(F.col("times") * F.col(v)).cast("long").alias(v) for v in values]).select(*names))
+    return found
+
+
 def drawn(blocks: DataFrame, key: str, seed: Column, replicates: int) -> DataFrame:
-    """(key, replicate, charge_id, times): how often a replicate draws each of a key's charges, with replacement.
+    """(key, replicate, charge_id, times): the draws of :func:`replicate_sums` as rows, for keys with more charges than a task should hold.
 
-    Draw ``i`` of a replicate takes the charge at the place (in the order of ids) that the digest of (seed, replicate, i)
-    gives, so results do not depend on how the work is dealt. Draws are made where a (key, replicate) row lies and counted before they
-    are shuffled. Charges are numbered in two levels, no task orders them all.
+    Draws are made in parts of ``HASHED``, each a row of its own, and counted before they are shuffled. Charges are numbered in two levels
+    by a range partitioning of their ids, no task orders them all.
     """
-    charges = blocks.select(key, "charge_id").distinct().withColumn("__head", F.substring("charge_id", 1, 3))
+    charges = written(blocks.select(key, "charge_id").distinct().repartitionByRange(key, "charge_id").withColumn("__head", F.spark_partition_id()), "bootstrap-charges")
     heads = charges.groupBy(key, "__head").agg(F.count("*").alias("__n"))
     before = heads.select(key, "__head", F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy(key, "__head").orderBy("charge_id")) - 1
     placed = charges.withColumn("__place", place).join(before, [key, "__head"]).select(key, "charge_id", (F.col("__place") + F.col("__before")).alias("place"))
     sizes = heads.groupBy(key).agg(F.sum("__n").alias("n")).withColumn("seed", seed)
-    runs = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(key, "replicate")
-    places = runs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(key, "replicate", hashed_draw(F.col("seed"), F.col("replicate"), F.col("draw"), F.col("n")).alias("place"))
+    runs = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    parts = runs.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / HASHED)))).repartition(key, "replicate", "part")
+    draws = F.sequence(F.col("part") * HASHED, F.least(F.col("n"), (F.col("part") + 1) * HASHED) - 1)
+    places = parts.withColumn("draw", F.explode(draws)).select(key, "replicate", hashed_draw(F.col("seed"), F.col("replicate"), F.col("draw"), F.col("n")).alias("place"))
     counted = places.groupBy(key, "replicate", "place").agg(F.count("*").alias("times"))
     return counted.join(placed, [key, "place"]).select(key, "replicate", "charge_id", "times")
 
 
-def bootstrap_intervals(blocks: DataFrame, replicates: int, valid: int, material: str) -> DataFrame:
+def bootstrap_applicable(cfg: AnalysisConfig) -> Column:
+    """Candidates that get an interval: enough support and defects, and a positive finite ratio with both rates."""
+    rr = F.col("rr")
+    told = F.col("adjusted").isNotNull() & F.col("comparator").isNotNull() & rr.isNotNull() & ~F.isnan(rr) & (rr < float("inf")) & (rr > 0)
+    return F.coalesce((F.col("support") >= cfg.discovery_support) & (F.col("defects") >= cfg.caution_defects) & told, F.lit(False))
+
+
+def bootstrap_intervals(blocks: DataFrame, replicates: int, valid: int, material: str, in_place: int = IN_PLACE) -> DataFrame:
     """(rule_id, rr_low, rr_high, valid, reason): percentile interval of the Mantel-Haenszel ratio over charges drawn with replacement."""
-    seed = F.sha2(F.concat(F.lit(material), F.unhex(F.lit("00")).cast("string"), F.col("rule_id"), F.unhex(F.lit("00")).cast("string"), F.lit("rule-ci-v1")), 256)
-    times = drawn(blocks, "rule_id", seed, replicates)
-    cells = times.join(blocks, ["rule_id", "charge_id"]).groupBy("rule_id", "replicate", "stratum").agg(*[F.sum(F.col("times") * F.col(x)).cast("double").alias(x) for x in "abcd"])
+    nul = F.unhex(F.lit("00")).cast("string")
+    seed = F.sha2(F.concat(F.lit(material), nul, F.col("rule_id"), nul, F.lit("rule-ci-v1")), 256)
+    cells = replicate_sums(blocks, "rule_id", "stratum", ("a", "b", "c", "d"), seed, replicates, in_place).where("a + b + c + d > 0")
     fix = F.when(F.least("a", "b", "c", "d") == 0, 0.5).otherwise(0.0)
     fixed = cells.select("rule_id", "replicate", *[(F.col(x) + fix).alias(x) for x in "abcd"])
     n = F.col("a") + F.col("b") + F.col("c") + F.col("d")

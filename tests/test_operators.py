@@ -14,7 +14,7 @@ from millwright.streaming import jobs
 from tests.oracle import DATA, compare
 
 SF = f"{DATA}/sf0.001"
-QUICK = ["g15_g17_g18_graded_rules", "i5_stream_violations", "k7_b20_all_alerts", "c7_most_specific_range", "i9_aggregate_lineage", "j3_encoding", "a8_ordered_sink", "d2_quarantine", "e5_split_counts", "e6_forward_folds", "f4_equal_frequency_bins", FLAGSHIP, "i1_i3_replay_events", "k12_dashboard", "j6_average_precision", "g11_hashed_draws"]
+QUICK = ["g15_g17_g18_graded_rules", "g12_bootstrap_intervals", "g18_final_grades", "h4_holdout_intervals", "l8_l9_replay_stream", "i5_stream_violations", "k7_b20_all_alerts", "c7_most_specific_range", "i9_aggregate_lineage", "j3_encoding", "a8_ordered_sink", "d2_quarantine", "e5_split_counts", "e6_forward_folds", "f4_equal_frequency_bins", FLAGSHIP, "i1_i3_replay_events", "k12_dashboard", "j6_average_precision", "g11_hashed_draws"]
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -179,11 +179,39 @@ def test_bootstraps_equal_plain_draws(spark):
     got = rules.bootstrap_intervals(df, 60, 50, "m").first()
     assert (got.rr_low, got.rr_high, got.valid, got.reason) == (pytest.approx(want[0]), pytest.approx(want[1]), 60, "NONE")
     assert rules.bootstrap_intervals(df, 60, 61, "m").first().reason == "TOO_FEW_VALID_BOOTSTRAPS"
+    shuffled = rules.bootstrap_intervals(df, 60, 50, "m", in_place=0).first()  # draws as rows, for keys that no task should hold
+    assert tuple(shuffled) == tuple(got)
+    lone = spark.createDataFrame([("none", "c1", "x", 0, 3, 0, 4), ("é", "ü", "x", 1, 1, 1, 1)], df.schema)
+    found = {r.rule_id: (r.valid, r.reason) for r in rules.bootstrap_intervals(lone, 30, 20, "m").collect()}
+    assert found == {"none": (30, "NONE"), "é": (30, "NONE")} and rules.bootstrap_intervals(df.limit(0), 30, 20, "m").count() == 0
     counts = [("DANGER", f"c{k:03d}", k % 3, k % 4, k % 2, 5) for k in range(30)]
     by_charge = spark.createDataFrame(counts, "profile string, charge_id string, tp long, fp long, fn long, tn long")
     recalls = sorted(sum(counts[i][2] for i in draw) / sum(counts[i][2] + counts[i][4] for i in draw) for draw in plain_draws("m\0holdout-bootstrap-v1", 30, 60))
     row = {r.metric: r for r in holdout.bootstrap(by_charge, 60, 50, "m").collect()}["recall"]
     assert (row.lower, row.upper) == (pytest.approx(recalls[1]), pytest.approx(recalls[58])) and row.reason == "NONE"
+    assert {tuple(r) for r in holdout.bootstrap(by_charge, 60, 50, "m", in_place=0).collect()} == {tuple(r) for r in holdout.bootstrap(by_charge, 60, 50, "m").collect()}
+
+
+def test_early_warning_needs_a_stage_before_the_result(spark):
+    rows = spark.createDataFrame([("f_heat_temp",), ("tundish_temp|f_heat_temp",), ("furnace_no",), ("ap_line_speed",), ("steel_grade|ap_shift",)], "field string")
+    assert [r[0] for r in rows.select(rules.first_stage()).collect()] == ["HEAT_COMPLETE", "HEAT_COMPLETE", "FURNACE_CHARGED", "AP_RECORDED_WITH_RESULT", "AP_RECORDED_WITH_RESULT"]
+
+
+def test_intervals_go_to_applicable_rules_and_decide_danger(spark):
+    from millwright.config import AnalysisConfig
+
+    cfg = AnalysisConfig()
+    base = {"family": "NUMERIC", "field": "f_heat_temp", "kind": "STRATIFIED", "support": 300, "defects": 30, "adjusted": 0.1, "comparator": 0.02, "rd": 0.08, "rr": 3.0, "q": 0.01, "reason": "NONE", "c_rr": 2.0, "c_rd": 0.05, "c_reason": "NONE"}
+    changed = [{}, {"support": 199}, {"defects": 4}, {"rr": None}, {"rr": 0.0}, {"comparator": None}, {"rr": float("inf")}]
+    names = [*base, "bin"]
+    df = spark.createDataFrame([tuple({**base, **c, "bin": str(i)}[k] for k in names) for i, c in enumerate(changed)], "family string, field string, kind string, support long, defects long, adjusted double, comparator double, rd double, rr double, q double, reason string, c_rr double, c_rd double, c_reason string, bin string")
+    assert [r.bin for r in df.where(rules.bootstrap_applicable(cfg)).collect()] == ["0"]
+    one = df.where("bin = '0'")
+    for low, reason, want in ((1.2, "NONE", ("DANGER", "NONE")), (0.9, "NONE", ("CAUTION", "NONE")), (None, "TOO_FEW_VALID_BOOTSTRAPS", ("CAUTION", "TOO_FEW_VALID_BOOTSTRAPS"))):
+        ci = spark.createDataFrame([("NUMERIC|f_heat_temp|0", low, 4.0, reason)], "rule_id string, rr_low double, rr_high double, reason string")
+        row = rules.graded_rules(one, cfg, ci).first()
+        assert (row.grade, row.reason) == want and row.early_warning
+    assert rules.graded_rules(one, cfg).first().grade == "DANGER"
 
 
 def test_grades_and_reasons_of_rule_metrics(spark):

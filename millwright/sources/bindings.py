@@ -69,7 +69,7 @@ def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0.0)
     cycle = lambda n: (F.col("event_id") % n).cast("double")
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("equipment_id"),
+        F.regexp_replace(F.md5(F.col("event_id").cast("string")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-").alias("event_id"), F.col("event_id").cast("long").alias("arrival"), F.col("user_id").cast("string").alias("equipment_id"),
         F.element_at(kinds, (F.col("user_id") % 5 + 1).cast("int")).alias("equipment_type"), status.alias("status"), F.col("value").alias("temperature"),
         (cycle(90) / 10).alias("vibration"), zero.alias("rpm"), zero.alias("power"), cycle(83).alias("current_value"), F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("occurred_at"),
         F.concat(F.lit("run-"), (F.col("event_id") % 3).cast("string")).alias("run_id"),
@@ -115,7 +115,7 @@ cut2 AS MATERIALIZED (SELECT hr_date AS cutoff FROM (SELECT hr_date, row_number(
 purged2 AS MATERIALIZED (SELECT charge_id FROM mature, cut2 GROUP BY charge_id, cutoff HAVING min(hr_date) <= cutoff AND max(hr_date) > cutoff),
 inner_split AS MATERIALIZED (SELECT m.* EXCLUDE (split), CASE WHEN hr_date <= cutoff THEN 'discovery' ELSE 'confirmation' END AS split FROM mature m ANTI JOIN purged2 ON m.charge_id = purged2.charge_id CROSS JOIN cut2),
 sensor AS MATERIALIZED (
-  SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS equipment_id, ['CASTER','FURNACE','MILL','PICKLER','CRANE'][(user_id % 5 + 1)::INTEGER] AS equipment_type,
+  SELECT regexp_replace(md5(event_id::VARCHAR), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})', '\\1-\\2-\\3-\\4-') AS event_id, event_id::BIGINT AS arrival, user_id::VARCHAR AS equipment_id, ['CASTER','FURNACE','MILL','PICKLER','CRANE'][(user_id % 5 + 1)::INTEGER] AS equipment_type,
     CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'purchase' THEN 'WARNING' WHEN 'view' THEN 'IDLE' ELSE 'RUNNING' END AS status, value AS temperature, (event_id % 90)::DOUBLE / 10 AS vibration, (event_id % 83)::DOUBLE AS current_value, CASE WHEN event_id % 97 <> 0 THEN ts ELSE TIMESTAMP '2024-02-29' END AS occurred_at, 'run-' || (event_id % 3) AS run_id FROM events),
 sensed AS MATERIALIZED (SELECT *, CASE WHEN status = 'FAILURE' OR temperature >= 90 OR vibration >= 8 OR current_value >= 80 THEN 'CRITICAL' WHEN status = 'WARNING' OR temperature >= 75 OR vibration >= 5 OR current_value >= 60 THEN 'WARNING' ELSE 'NORMAL' END AS severity FROM sensor)
 """

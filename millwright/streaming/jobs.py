@@ -1,14 +1,9 @@
-"""Structured Streaming jobs: sensor ingest with dead letters and latest state, alerts, repetition over a replay stream."""
+"""Structured Streaming jobs of the sensor fleet: ingest with dead letters and latest state, events joined with the state, alerts."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millwright.operators import fleet
 
@@ -41,16 +36,43 @@ def parsed(raw: DataFrame) -> DataFrame:
     return raw.select(*raw.columns, F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
 
 
-#: Folders that a stored event's id is dealt to: a batch compares its ids with those of its own folders only.
-ID_FOLDERS = 64
+#: As many runs of stored events as this are merged into one.
+FAN = 8
+ARRIVAL = ("batch", "row")
+STATE = "equipment_id string, event_id string, status string, severity string, temperature double, occurred_at timestamp, batch long, row long"
+
+
+def _runs(spark: SparkSession, folder: str) -> list[tuple[int, int]]:
+    """Runs (first batch, last batch) of stored events without those that a merged run contains."""
+    found = [tuple(map(int, n.split("-"))) for n in _names(spark, f"{folder}/events")]
+    return sorted(r for r in found if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in found))
+
+
+def stored_events(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The events that :func:`ingest` has stored (by batches less than ``before``)."""
+    schema = f"{EVENT}, severity string, anomaly boolean, batch long, row long"
+    paths = [f"{folder}/events/{a}-{b}" for a, b in _runs(spark, folder) if before is None or a < before]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*paths)
+    return rows if before is None else rows.where(F.col("batch") < before)
+
 
+def newest_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The latest state that :func:`ingest` has written last (by a batch less than ``before``); no rows where there is none."""
+    versions = [int(n.removeprefix("version=")) for n in _names(spark, f"{folder}/latest")]
+    versions = [v for v in versions if before is None or v < before]
+    return spark.read.schema(STATE).parquet(f"{folder}/latest/version={max(versions)}") if versions else spark.createDataFrame([], STATE)
 
-def ingest(raw: DataFrame, folder: str, checkpoint: str, folders: int = ID_FOLDERS, kept_versions: int = 2, attempts: int = 3):
-    """Events go to ``events`` (each id once), lines that are no event to ``dead_letters``, and the latest state to ``latest``.
 
-    Events lie in folders by a hash of their id, so a batch reads the ids of the folders it has events for, not all history, and a
-    repeated batch rewrites its own files. A batch that fails is tried ``attempts`` times. Dead letters keep what came with the line (a broker's
-    key and partition). Old versions of the latest state are deleted but for ``kept_versions``.
+def ingest(raw: DataFrame, folder: str, checkpoint: str, kept_versions: int = 2, attempts: int = 3):
+    """Events go to ``events`` (each id once, that seen first), lines that are no event to ``dead_letters``, and the latest state to ``latest``.
+
+    A batch writes one run of events, and :data:`FAN` runs of one size are merged into one, so there are fewer than that of each size however many
+    batches there were, and every event is rewritten a logarithmic number of times. A batch's ids are looked for in the stored ones by a
+    scan of that column, with the batch as the broadcast side where its counted rows allow it: history is not shuffled. A repeated batch rewrites its own
+    files. One that fails is tried ``attempts`` times. Ids are any text. Dead letters keep what came with the line (a broker's key and partition).
+    A batch without events writes no state; old versions of it are deleted but for ``kept_versions``.
     """
     events = parsed(raw)
 
@@ -64,84 +86,81 @@ def ingest(raw: DataFrame, folder: str, checkpoint: str, folders: int = ID_FOLDE
 
     def once(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        batch.where("e is null or e.event_id is null").drop("e").write.mode("overwrite").parquet(f"{folder}/dead_letters/batch={number}")
-        good = fleet.analysed(batch.where("e.event_id is not null").select("e.*")).dropDuplicates(["event_id"])
-        good = good.withColumn("id_folder", F.pmod(F.xxhash64("event_id"), F.lit(folders)).cast("int"))
-        mine = [r.id_folder for r in good.select("id_folder").distinct().collect()]  # at most ``folders`` numbers
-        if number and mine and _exists(spark, f"{folder}/events"):
-            stored = spark.read.schema("event_id string, id_folder int, batch long").parquet(f"{folder}/events")
-            stored = stored.where(F.col("id_folder").isin(mine) & (F.col("batch") < number))  # partition columns: other folders are not read
-            good = good.join(stored.select("event_id"), "event_id", "left_anti")
-        options = {"partitionOverwriteMode": "dynamic"}
-        good.withColumn("batch", F.lit(number)).write.mode("overwrite").options(**options).partitionBy("id_folder", "batch").parquet(f"{folder}/events")
-        new = spark.read.parquet(f"{folder}/events").where(F.col("batch") == number).select("equipment_id", "event_id", "status", "severity", "temperature", "occurred_at") if mine else None
-        old = spark.read.parquet(f"{folder}/latest/version={number - 1}") if number else None
-        state = fleet.latest_state(new) if old is None and new is not None else fleet.upserted(old, new) if new is not None else old
-        if state is not None:
+        lines = batch.withColumns({"batch": F.lit(number).cast("long"), "row": F.monotonically_increasing_id()}).persist()
+        lines.where("e is null or e.event_id is null").drop("e", "batch", "row").write.mode("overwrite").parquet(f"{folder}/dead_letters/batch={number}")
+        good = fleet.analysed(lines.where("e.event_id is not null").select("e.*", "batch", "row"))
+        first = F.min_by(F.struct(*good.columns), "row")  # an id that a batch repeats counts where it is seen first
+        good = good.groupBy("event_id").agg(first.alias("x")).select("x.*").persist()
+        n = good.count()
+        if n:
+            earlier = stored_events(spark, folder, number).select("event_id")
+            ids = good.select("event_id")
+            again = earlier.join(F.broadcast(ids) if n <= 1_000_000 else ids, "event_id", "left_semi").distinct()
+            fresh, own = good.join(again, "event_id", "left_anti"), f"{folder}/events/{number}-{number}"
+            fresh.coalesce(max(1, n // 1_000_000)).write.mode("overwrite").parquet(own)
+            state = fleet.upserted(newest_state(spark, folder, number), spark.read.schema(fresh.schema).parquet(own), ARRIVAL)
             state.write.mode("overwrite").parquet(f"{folder}/latest/version={number}")
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/latest/version={number - kept_versions}")
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        batch.unpersist()
+        good.unpersist()
+        lines.unpersist()
+        merge(spark, number)
+        kept = sorted((int(v.removeprefix("version=")) for v in _names(spark, f"{folder}/latest")), reverse=True)
+        for old in kept[kept_versions:]:
+            _delete(spark, f"{folder}/latest/version={old}")
+
+    def merge(spark: SparkSession, number: int) -> None:
+        size = FAN
+        while (number + 1) % size == 0:
+            first, names = number + 1 - size, set(_names(spark, f"{folder}/events"))
+            parts = [p for a in range(first, number + 1, size // FAN) if (p := f"{a}-{a + size // FAN - 1}") in names]
+            final = f"{first}-{number}"
+            if parts and final not in names:  # a run appears whole, by a rename; one that is there was merged before this batch was repeated
+                rows = spark.read.parquet(*[f"{folder}/events/{p}" for p in parts])
+                rows.coalesce(max(1, rows.rdd.getNumPartitions() // FAN)).write.mode("overwrite").parquet(f"{folder}/merging/{final}")
+                _rename(spark, f"{folder}/merging/{final}", f"{folder}/events/{final}")
+            for p in parts:
+                _delete(spark, f"{folder}/events/{p}")
+            size *= FAN
 
     return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def with_state(events: DataFrame, state_folder: str, out: str, checkpoint: str):
+    """Each event with ``state_status`` and ``state_severity``, what is known of its equipment; nulls where nothing is.
+
+    The state's newest version is read again for every micro-batch, so one that :func:`ingest` has written meanwhile is seen by the next. Output lies in a
+    folder a batch, which a repeated batch rewrites.
+    """
+    def join(batch: DataFrame, number: int) -> None:
+        known = newest_state(batch.sparkSession, state_folder).select("equipment_id", F.col("status").alias("state_status"), F.col("severity").alias("state_severity"))
+        batch.join(known, "equipment_id", "left").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return events.writeStream.foreachBatch(join).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _fs(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def alert_stream(raw: DataFrame) -> DataFrame:
-    """Anomalies of the stream as alert records, without de-duplication."""
-    return fleet.alerts(fleet.analysed(parsed(raw).where("e.event_id is not null").select("e.*")), F.current_timestamp())
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is absent."""
+    fs, target = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(target) if not f.getPath().getName().startswith(("_", "."))] if fs.exists(target) else []
 
 
-def repetition_stream(observed: DataFrame, last: int = 5, least: int = 3) -> DataFrame:
-    """The repetition badge over a stream of (equipment_id, rule_id, unit, material, hit), keyed by equipment and rule.
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
 
-    State is the recent units' materials; a material that is seen again moves to its newest unit.
-    """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: list = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = pd.concat(frames).sort_values(["unit", "material"])
-        out = []
-        for unit, group in rows.groupby("unit"):
-            names = set(group.material)
-            held = [h for h in held if h[1] not in names] + [(int(unit), m, bool(h)) for m, h in zip(group.material, group.hit, strict=True)]
-            count, first = 0, None
-            for u in sorted({h[0] for h in held}, reverse=True):
-                first = u
-                count += sum(h[0] == u for h in held)
-                if count >= last:
-                    break
-            held = [h for h in held if h[0] >= first]
-            out.append((*key, int(unit), bool(group.hit.any()) and sum(h[2] for h in held) >= least))
-        state.update(tuple(map(list, zip(*held, strict=True))))
-        yield pd.DataFrame(out, columns=["equipment_id", "rule_id", "unit", "repeated"])
-
-    return observed.groupBy("equipment_id", "rule_id").applyInPandasWithState(
-        step, "equipment_id string, rule_id string, unit long, repeated boolean", "units array<long>, materials array<string>, hits array<boolean>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-
-def monitor_stream(events: DataFrame) -> DataFrame:
-    """Stateful replay monitor: each event (material_key, unit, values as map of text) with its material's last known values and events so far.
-
-    State is kept by material; events of one unit are merged before any of them is emitted, so all rows of a unit show the same values.
-    """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fields, texts, seen = state.get if state.exists else ([], [], 0)
-        known, out = dict(zip(fields, texts, strict=True)), []
-        for unit, group in pd.concat(frames).sort_values(["unit", "event_id"]).groupby("unit"):
-            for values in group["values"]:
-                known.update({k: v for k, v in dict(values or {}).items() if v is not None})
-            seen += len(group)
-            out += [(key[0], int(unit), event, seen, json.dumps(dict(sorted(known.items())), ensure_ascii=False)) for event in group.event_id]
-        state.update((list(known), list(known.values()), seen))
-        yield pd.DataFrame(out, columns=["material_key", "unit", "event_id", "events_so_far", "values_so_far"])
-
-    return events.groupBy("material_key").applyInPandasWithState(
-        step, "material_key string, unit long, event_id string, events_so_far long, values_so_far string", "fields array<string>, texts array<string>, seen long", "append", GroupStateTimeout.NoTimeout
-    )
+
+def _rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, target = _fs(spark, path)
+    final = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(final.getParent())
+    if not fs.rename(target, final):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
+def alert_stream(raw: DataFrame) -> DataFrame:
+    """Anomalies of the stream as alert records, without de-duplication."""
+    return fleet.alerts(fleet.analysed(parsed(raw).where("e.event_id is not null").select("e.*")), F.current_timestamp())

@@ -58,32 +58,99 @@ def test_statistics(spark):
     assert q == {"a": 0.04, "b": 0.053333, "c": 0.053333, "d": 1.0}
 
 
-def test_repetition_badge_batch_and_stream(spark, tmp_path):
+def test_repetition_badge(spark):
     seen = [("e", "r", u, f"m{u}", u % 2 == 0 or u > 6) for u in range(10)]
-    schema = "equipment_id string, rule_id string, unit long, material string, hit boolean"
-    batch = {r.unit: r.repeated for r in monitor.repeated(spark.createDataFrame(seen, schema)).collect()}
+    batch = {r.unit: r.repeated for r in monitor.repeated(spark.createDataFrame(seen, "equipment_id string, rule_id string, unit long, material string, hit boolean")).collect()}
     assert batch[4] and batch[8] and not batch[2] and not batch[3]
-    spark.createDataFrame(seen, schema).write.parquet(str(tmp_path / "in"))
-    stream = jobs.repetition_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.format("memory").queryName("badges").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
-    assert {r.unit: r.repeated for r in spark.table("badges").collect()} == batch
+
+
+def sensor_line(i, t, temp, equipment="e1"):
+    return json.dumps({"event_id": i, "equipment_id": equipment, "status": "RUNNING", "temperature": temp, "vibration": 0, "current_value": 0, "occurred_at": t})
 
 
 def test_ingest_stream(spark, tmp_path):
-    line = lambda i, t, temp: json.dumps({"event_id": i, "equipment_id": "e1", "status": "RUNNING", "temperature": temp, "vibration": 0, "current_value": 0, "occurred_at": t})
-    source = tmp_path / "in"
+    line, source = sensor_line, tmp_path / "in"
     source.mkdir()
-    (source / "a.txt").write_text("\n".join([line("1", "2024-01-01T00:00:00Z", 95.0), line("1", "2024-01-01T00:00:00Z", 95.0), "no json"]))
     out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
-    jobs.ingest(jobs.sensor_source(spark, str(source)), out, cp).awaitTermination()
-    (source / "b.txt").write_text("\n".join([line("1", "2024-01-01T00:00:00Z", 95.0), line("2", "2024-01-02T00:00:00Z", 10.0)]))
-    jobs.ingest(jobs.sensor_source(spark, str(source)), out, cp).awaitTermination()
-    assert spark.read.parquet(f"{out}/events").count() == 2 and spark.read.parquet(f"{out}/dead_letters").count() == 1
-    assert [r.severity for r in spark.read.parquet(f"{out}/latest/version=1").collect()] == ["NORMAL"]
-    (source / "c.txt").write_text("no event at all")
-    jobs.ingest(jobs.sensor_source(spark, str(source)), out, cp).awaitTermination()
-    assert spark.read.parquet(f"{out}/events").count() == 2 and spark.read.parquet(f"{out}/latest/version=2").count() == 1
-    assert spark.read.parquet(f"{out}/dead_letters").count() == 2 and not (tmp_path / "out/latest/version=0").exists()
+
+    def arrives(name, *lines):
+        (source / name).write_text("\n".join(lines))
+        jobs.ingest(jobs.sensor_source(spark, str(source)), out, cp).awaitTermination()
+
+    def ids():
+        return sorted(r.event_id for r in jobs.stored_events(spark, out).collect())
+
+    arrives("0.txt", "no event at all")  # a first batch of bad lines only
+    assert ids() == [] and jobs.newest_state(spark, out).count() == 0 and spark.read.parquet(f"{out}/dead_letters").count() == 1
+    day = "2024-01-01T00:00:00Z"
+    arrives("a.txt", line("evt-b", day, 95.0), line("evt-b", day, 5.0), line("evt-a", day, 80.0), "no json", '{"equipment_id": "no id"}')
+    assert ids() == ["evt-a", "evt-b"] and spark.read.parquet(f"{out}/dead_letters").count() == 3
+    state = jobs.newest_state(spark, out).collect()
+    assert [(r.event_id, r.severity) for r in state] == [("evt-b", "CRITICAL")]  # of equal times the one seen first, whatever its id
+    arrives("b.txt", line("evt-b", "2024-05-01T00:00:00Z", 95.0), line("evt-0", day, 10.0), line("8f14e45f-ceea-467f-a0e6-1d2e3f4a5b6c", "2023-01-01T00:00:00Z", 10.0))
+    assert len(ids()) == 4 and [r.event_id for r in jobs.newest_state(spark, out).collect()] == ["evt-b"]  # a late repeat is refused, later arrivals of the same time too
+    arrives("c.txt", "{")
+    assert len(ids()) == 4 and [r.event_id for r in jobs.newest_state(spark, out).collect()] == ["evt-b"]
+
+
+def test_stored_runs_are_merged_and_ids_refused_for_ever(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "FAN", 3)
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for n in range(10):
+        lines = [sensor_line(f"id-{n}-{k}", f"2024-01-{n + 1:02d}T00:00:00Z", 10.0 * n, f"e{k}") for k in range(3)] + [sensor_line(f"id-{n // 2}-0", "2025-01-01T00:00:00Z", 99.0)]
+        (source / f"{n}.txt").write_text("\n".join(lines if n != 4 else ["bad"]))
+        jobs.ingest(jobs.sensor_source(spark, str(source)), out, str(tmp_path / "cp")).awaitTermination()
+        assert len(list((tmp_path / "out/events").iterdir())) <= 4 and len(list((tmp_path / "out/latest").iterdir())) <= 2
+    assert sorted(p.name for p in (tmp_path / "out/events").iterdir()) == ["0-8", "9-9"]
+    rows = jobs.stored_events(spark, out).collect()
+    assert sorted(r.event_id for r in rows) == sorted({f"id-{n}-{k}" for n in range(10) if n != 4 for k in range(3)} | {"id-4-0"})
+    newest = {r.equipment_id: r.event_id for r in jobs.newest_state(spark, out).collect()}
+    assert newest == {"e0": "id-9-0", "e1": "id-4-0", "e2": "id-9-2"}
+    # a merged run hides parts that a stopped merge has left, and a repeated batch does not merge them again
+    (tmp_path / "out/events/9-9").rename(tmp_path / "out/events/8-8")
+    assert jobs.stored_events(spark, out).count() == len(rows) - 3 and jobs.stored_events(spark, out, 2).count() == 6
+
+
+def test_events_meet_the_state_of_their_time(spark, tmp_path):
+    source, state = tmp_path / "in", tmp_path / "sensors"
+    source.mkdir()
+    state.mkdir()
+    orders = spark.readStream.schema("equipment_id string, n int").json(str(source))
+    seen = []
+    for n, temp in enumerate((None, 10.0, 95.0)):
+        if temp is not None:
+            (state / f"{n}.txt").write_text(sensor_line(f"s{n}", f"2024-01-0{n}T00:00:00Z", temp))
+            jobs.ingest(jobs.sensor_source(spark, str(state)), str(tmp_path / "store"), str(tmp_path / "cp1")).awaitTermination()
+        (source / f"{n}.json").write_text(json.dumps({"equipment_id": "e1", "n": n}) + "\n" + json.dumps({"equipment_id": "other", "n": n}))
+        jobs.with_state(orders, str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
+    seen = {(r.equipment_id, r.n): r.state_severity for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert seen == {("e1", 0): None, ("e1", 1): "NORMAL", ("e1", 2): "CRITICAL", ("other", 0): None, ("other", 1): None, ("other", 2): None}
+
+
+def test_alert_stream_does_not_deduplicate(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text("\n".join([sensor_line("x", "2024-01-01T00:00:00Z", 95.0)] * 2 + [sensor_line("y", "2024-01-01T00:00:00Z", 1.0), "bad"]))
+    jobs.alert_stream(jobs.sensor_source(spark, str(source))).writeStream.format("memory").queryName("alerted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
+    rows = spark.table("alerted").collect()
+    assert [(r.event_id, r.severity, r.message) for r in rows] == [("x", "CRITICAL", "CRITICAL e1: RUNNING")] * 2 and all(r.latency_ms > 0 for r in rows)
+
+
+def test_run_tracking_states(spark):
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    stamp = lambda rows, schema, *names: spark.createDataFrame(rows, schema).withColumns({n: F.to_timestamp(n) for n in names})
+    runs = stamp([(r, 10, at(0)) for r in ("done", "failed", "open", "early", "published", "begun", "more")], "run_id string, expected long, started_at string", "started_at")
+    published = stamp([("done", at(2), 10, 500), ("done", at(1), 3, 100), ("failed", at(2), 10, 0), ("early", at(9), 10, 400), ("published", at(4), 10, 100), ("open", at(1), 10, 100), ("more", at(1), 10, 1)], "run_id string, at string, published long, elapsed_ms long", "at")
+    progress = stamp([("done", at(3), "SAVED", 6, 6), ("done", at(5), "SAVED", 5, 4), ("failed", at(4), "SAVED", 9, 8), ("failed", at(6), "FAILED", 0, 2), ("open", at(3), "SAVED", 4, 4), ("early", at(5), "SAVED", 10, 10), ("more", at(3), "SAVED", 12, 12)], "run_id string, at string, kind string, consumed long, n long", "at")
+    polls = stamp([("done", at(4)), ("done", at(9)), ("open", at(2)), ("more", at(9))], "run_id string, at string", "at")
+    got = {r.run_id: r for r in fleet.run_tracking(runs, published, progress, polls, F.to_timestamp(F.lit(at(20)))).collect()}
+    assert {k: r.status for k, r in got.items()} == {"done": "COMPLETED", "failed": "COMPLETED_WITH_FAILURE", "open": "PROCESSING", "early": "PUBLISHED", "published": "PUBLISHED", "begun": "STARTED", "more": "COMPLETED"}
+    assert (got["done"].published, got["done"].consumed, got["done"].max_lag, got["done"].processing_ms, got["done"].total_ms, got["done"].published_per_second) == (10, 11, 4, 3000, 5000, 20.0)
+    assert (got["failed"].failed, got["failed"].lag, got["failed"].completed, got["failed"].published_per_second) == (2, 0, True, 10000.0)
+    assert (got["open"].lag, got["open"].max_lag, got["open"].processing_ms, got["open"].total_ms) == (6, 10, 19000, 20000)
+    assert (got["early"].processing_ms, got["begun"].processing_ms, got["begun"].lag, got["more"].lag, got["more"].max_lag) == (5000, 0, 10, 0, 0)
+    assert got["done"].saved_per_second == pytest.approx(10 / 3.0)
 
 
 def test_strict_csv_types_and_manifest(spark, tmp_path):
@@ -134,14 +201,7 @@ def test_alert_export_has_its_columns_in_order(spark, tmp_path):
     assert tuple(got.columns) == files.ALERT_COLUMNS and [r.material_key for r in got.collect()] == ["m1", "m2", "m3"]
 
 
-def test_monitor_stream_merges_whole_units(spark, tmp_path):
-    rows = [("m1", 1, "e1", {"a": "1"}), ("m1", 2, "e2", {"b": "2"}), ("m1", 2, "e3", {"a": "3"}), ("m2", 1, "e4", {"a": None})]
-    schema = "material_key string, unit long, event_id string, values map<string,string>"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    stream = jobs.monitor_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.format("memory").queryName("monitored").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
-    got = {r.event_id: (r.events_so_far, json.loads(r.values_so_far)) for r in spark.table("monitored").collect()}
-    assert got == {"e1": (1, {"a": "1"}), "e2": (3, {"a": "3", "b": "2"}), "e3": (3, {"a": "3", "b": "2"}), "e4": (1, {})}
+def test_broker_records_are_keyed(spark):
     keyed = jobs.keyed_records(spark.createDataFrame([("e9", 1.0)], "equipment_id string, temperature double")).first()
     assert keyed.key == "e9" and json.loads(keyed.value) == {"equipment_id": "e9", "temperature": 1.0}
 
@@ -256,6 +316,7 @@ def test_quantiles_equal_sorted_lists(spark):
 
 
 def test_alert_metrics_take_the_latest_alerts(spark):
-    alerts = spark.createDataFrame([(str(i), i) for i in range(1, 101)], "event_id string, latency_ms long")
+    alerts = spark.createDataFrame([(f"evt-{999 - i}", i, i) for i in range(1, 101)], "event_id string, arrival long, latency_ms long")
     assert tuple(fleet.alert_metrics(alerts, 20).first()) == (100, 50.5, 99, 100)
+    assert tuple(fleet.alert_metrics(alerts, since=F.col("arrival") > 90).first()) == (10, 95.5, 100, 100)
     assert tuple(fleet.alert_metrics(alerts.where("false"), 20).first()) == (0, None, None, None)

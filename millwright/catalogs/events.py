@@ -80,6 +80,7 @@ UNION ALL SELECT material_key, event_id, 'STAGE_OUT_OF_ORDER' FROM (SELECT *, la
 UNION ALL SELECT material_key, event_id, 'WRONG_BATCH_ID' FROM faulty WHERE c % 13 = 0 AND stage_rank = 13
 UNION ALL SELECT material_key, event_id, unnest(['WRONG_EVENT_ID', 'WRONG_EQUIPMENT']) FROM faulty WHERE c % 17 = 0 AND stage_rank = 15
 UNION ALL SELECT material_key, event_id, 'WRONG_EVENT_ID' FROM faulty WHERE c % 23 = 0 AND stage_rank = 0
+UNION ALL SELECT material_key, event_id, 'MIXED_BUNDLE' FROM faulty WHERE c % 31 = 0 AND stage_rank = 12 UNION ALL SELECT material_key, event_id, 'MIXED_CRITERIA' FROM faulty WHERE c % 37 = 0 AND stage_rank = 13
 UNION ALL SELECT material_key, NULL, 'MISSING_STAGE' FROM faulty WHERE stage_rank < 20 GROUP BY material_key HAVING count(DISTINCT stage_rank) < 7""")
 def i5(spark, d):
     rows = built(spark, d).withColumn("c", F.col("charge_id").cast("long"))
@@ -88,7 +89,17 @@ def i5(spark, d):
         "replay_date": F.when(at(13, 13), F.date_add("replay_date", 40)).otherwise(F.col("replay_date")), "equipment_type": F.when(at(17, 15), "AP").otherwise(F.col("equipment_type")),
         "event_id": F.when(at(23, 0), F.concat(F.lit("sha256:"), "material_key")).otherwise(F.col("event_id")),
     }).unionByName(rows.where(at(11, 12)))
-    return E.violations(faulty)
+    return E.violations(faulty.withColumns({"bundle_id": F.when(at(31, 12), "other").otherwise("bundle"), "criteria_id": F.when(at(37, 13), "other").otherwise("criteria")}))
+
+
+@query("i5_a9_strict_order", EVENTS + """, numbered AS (SELECT material_key, event_id, row_number() OVER (ORDER BY replay_date, kind_rank, hour_rank, batch_id, stage_rank, furnace_rank, material_key, event_id) AS place FROM evented),
+moved AS (SELECT *, CASE WHEN place % 997 = 0 THEN 2 * place + 21 ELSE 2 * place END AS lies FROM numbered)
+SELECT material_key, event_id, 'SORT_INVALID' AS problem FROM (SELECT *, lag(place) OVER (ORDER BY lies) AS previous FROM moved) WHERE previous >= place""")
+def i5o(spark, d):
+    """The stream's files, in which every 997th event lies ten places late."""
+    rows = E.streamed(f"{root(spark)}/stream-{uuid.uuid4().hex[:12]}", built(spark, d))
+    late = F.when(F.col("place") % 997 == 0, 21).otherwise(0)
+    return E.order_violations(rows.withColumns({"__file": F.lit("stream"), "__row": 2 * F.col("place") + late}), "__file", "__row", run=4096)
 
 
 ALTERED = ", altered AS (SELECT * REPLACE (CASE WHEN charge_id::BIGINT % 29 = 0 THEN '1' ELSE furnace_no END AS furnace_no) FROM replay WHERE charge_id::BIGINT % 23 <> 0), " + events_sql("altered", "2") + "\n"

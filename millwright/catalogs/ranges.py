@@ -125,6 +125,46 @@ def c7(spark, d):
     return R.select_range(monitored(spark, d), ranges_df(spark, d))
 
 
+#: Ranges and values in which every reason occurs: fine contexts of two fields get a band, one field has no other, another no coarse context; one is a reference field, one furnace
+#: has no ranges of a field, one field none at all. Some charges lack values, bands or have text for a number.
+BANDED = """, varied AS MATERIALIZED (SELECT rule_id, field, CASE WHEN field = 'f_cog_ratio' THEN 'PRODUCT_STATE_REFERENCE' ELSE 'DIRECT_OPERATION' END AS role, stage, equipment_type, equipment_id, c_steel_grade, c_steel_usage,
+  CASE WHEN field IN ('tundish_temp', 'f_heat_temp') AND context_level < 2 THEN 'Q2' END AS c_band, context_level, p01, p05, p95, p99, lower_tail, upper_tail
+  FROM ranged WHERE NOT (field = 'tundish_temp' AND context_level = 2) AND NOT (field = 'f_bfg_ratio' AND context_level = 2) AND NOT (field = 'f_cog_ratio' AND equipment_id = '4')),
+hold AS (SELECT * FROM labelled WHERE split = 'holdout'), roles AS (SELECT * FROM (VALUES {roles}) AS r(field, stage, equipment_type)),
+told AS MATERIALIZED (SELECT h.charge_id || '-' || h.slab_no AS event_key, r.field, r.stage, r.equipment_type, CASE r.equipment_type WHEN 'SM_CC' THEN h.steel_grade ELSE h.furnace_no END AS equipment_id, h.steel_grade, h.steel_usage,
+  CASE WHEN charge_id::BIGINT % 3 = 0 THEN 'Q2' WHEN charge_id::BIGINT % 3 = 1 THEN 'Q1' END AS band,
+  CASE WHEN charge_id::BIGINT % 7 = 0 THEN NULL WHEN charge_id::BIGINT % 11 = 0 AND r.field IN ('f_heat_temp', 'f_cog_ratio') THEN 'n/a' ELSE CASE r.field {values} END::VARCHAR END AS value FROM hold h CROSS JOIN roles r),
+fits AS (SELECT t.event_key, t.field, count(v.rule_id) AS owned, bool_and(v.c_band IS NOT NULL AND t.band IS NULL) AS unsealed,
+  arg_min(v, v.context_level || '/' || v.rule_id) FILTER (WHERE (v.c_steel_grade IS NULL OR v.c_steel_grade = t.steel_grade) AND (v.c_steel_usage IS NULL OR v.c_steel_usage = t.steel_usage) AND (v.c_band IS NULL OR coalesce(v.c_band = t.band, false))) AS r,
+  min(v.context_level) FILTER (WHERE v.c_band IS NOT NULL AND t.band IS NULL AND (v.c_steel_grade IS NULL OR v.c_steel_grade = t.steel_grade) AND (v.c_steel_usage IS NULL OR v.c_steel_usage = t.steel_usage)) AS finer
+  FROM told t JOIN varied v ON v.field = t.field AND v.equipment_id = t.equipment_id GROUP BY ALL),
+reasoned AS (SELECT t.*, f.r, CASE WHEN NOT EXISTS (SELECT 1 FROM varied v WHERE v.field = t.field) THEN 'NO_BASELINE' WHEN f.owned IS NULL THEN 'UNREGISTERED_EQUIPMENT' WHEN t.value IS NULL THEN 'DATA_MISSING'
+  WHEN f.r IS NULL THEN CASE WHEN unsealed THEN 'BAND_BOUNDARY_NOT_SEALED' ELSE 'UNREGISTERED_CONTEXT' END WHEN f.r.role <> 'PRODUCT_STATE_REFERENCE' AND t.value = 'n/a' THEN 'DATA_MISSING'
+  WHEN coalesce(finer < f.r.context_level, false) THEN 'BAND_BOUNDARY_NOT_SEALED_FALLBACK' ELSE 'EXACT_CONTEXT' END AS reason, try_cast(t.value AS DOUBLE) AS x FROM told t LEFT JOIN fits f ON f.event_key = t.event_key AND f.field = t.field)
+SELECT event_key, stage, equipment_type, equipment_id, field, CASE WHEN value IS NOT NULL THEN r.rule_id END AS rule_id, reason, CASE WHEN reason IN ('NO_BASELINE', 'BAND_BOUNDARY_NOT_SEALED') THEN 'INSUFFICIENT_EVIDENCE' WHEN reason LIKE 'UNREGISTERED%' THEN 'UNREGISTERED_CONDITION' WHEN reason = 'DATA_MISSING' THEN 'DATA_MISSING'
+ WHEN r.role = 'PRODUCT_STATE_REFERENCE' THEN 'REFERENCE_ONLY' WHEN x < r.p05 THEN CASE WHEN NOT r.lower_tail AND r.p01 IS NOT NULL THEN 'TYPICAL' WHEN r.p01 IS NOT NULL AND x < r.p01 THEN 'SEVERE' ELSE 'CAUTION' END
+  WHEN x > r.p95 THEN CASE WHEN NOT r.upper_tail AND r.p99 IS NOT NULL THEN 'TYPICAL' WHEN r.p99 IS NOT NULL AND x > r.p99 THEN 'SEVERE' ELSE 'CAUTION' END ELSE 'TYPICAL' END AS range_status FROM reasoned""".format(
+    roles=", ".join([*[f"('{f.name}', '{f.stage}', '{f.equipment_type}')" for f in FEATURES], "('f_heat_interval', 'HEAT_COMPLETE', 'FURNACE')"]),
+    values=" ".join(f"WHEN '{f.name}' THEN {f.name}" for f in FEATURES) + " ELSE 1.0",
+)
+
+
+@query("c7_range_reasons", RANGES + BANDED)
+def c7r(spark, d):
+    """All reasons of the look-up, over the holdout's events and a varied range table."""
+    band = F.when(F.col("field").isin("tundish_temp", "f_heat_temp") & (F.col("context_level") < 2), F.map_concat("context", F.create_map(F.lit("f_heat_temp_band"), F.lit("Q2")))).otherwise(F.col("context"))
+    ranges = ranges_df(spark, d).where("not (field = 'tundish_temp' and context_level = 2) and not (field = 'f_bfg_ratio' and context_level = 2) and not (field = 'f_cog_ratio' and equipment_id = '4')")
+    ranges = ranges.withColumns({"context": band, "role": F.when(F.col("field") == "f_cog_ratio", "PRODUCT_STATE_REFERENCE").otherwise("DIRECT_OPERATION")})
+    monitored_ = spark.createDataFrame([*[(f.name, f.stage, f.equipment_type) for f in FEATURES], ("f_heat_interval", "HEAT_COMPLETE", "FURNACE")], "field string, stage string, equipment_type string")
+    c = F.col("charge_id").cast("long")
+    text = {f.name: F.when(F.lit(f.name in ("f_heat_temp", "f_cog_ratio")) & (c % 11 == 0), "n/a").otherwise(F.col(f.name).cast("string")) for f in FEATURES} | {"f_heat_interval": F.lit("1.0")}
+    values = F.create_map(*[x for k, v in text.items() for x in (F.lit(k), F.when(c % 7 != 0, v))], *[x for k in ("steel_grade", "steel_usage") for x in (F.lit(k), F.col(k))],
+                          F.lit("f_heat_temp_band"), F.when(c % 3 == 0, "Q2").when(c % 3 == 1, "Q1"))
+    stages = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(k).alias("equipment_type"), F.col(e).alias("equipment_id")) for s, k, e in sorted({(f.stage, f.equipment_type, f.equipment) for f in FEATURES})]))
+    events = bound.outer(spark, d).where("split = 'holdout'").select(F.concat_ws("-", "charge_id", "slab_no").alias("event_key"), values.alias("values"), stages.alias("x")).select("event_key", "values", "x.*")
+    return R.evaluate_ranges(events, ranges, monitored_).drop("value")
+
+
 @query("b16_range_tail_status", RANGES + f"SELECT field, range_status, count(*) AS n FROM ({SELECT_RANGE.replace(', hold AS (', 'WITH hold AS (', 1)}) GROUP BY field, range_status")
 def b16(spark, d):
     return R.select_range(monitored(spark, d), ranges_df(spark, d)).groupBy("field", "range_status").agg(F.count("*").alias("n"))

@@ -97,6 +97,25 @@ def violations(events: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a file that are compared in one window.
+RUN = 1 << 16
+
+
+def order_violations(events: DataFrame, file: str, row: str, order: tuple[str, ...] = ORDER, run: int = RUN) -> DataFrame:
+    """(material_key, event_id, problem): events whose sort key is not above that of the event before, in the order in which rows lie in the files.
+
+    ``file`` sorts as the files do, ``row`` counts up within one. Neighbours are compared within runs of ``run`` rows, and the first of each run with
+    the last of the run before, which may be in another file: a row a run is all that is ordered as a whole.
+    """
+    rows = events.select("material_key", "event_id", F.struct(*order).alias("__key"), F.col(file).alias("__f"), F.col(row).alias("__r"), F.floor(F.col(row) / run).alias("__run"))
+    inside = Window.partitionBy("__f", "__run").orderBy("__r")
+    within = rows.withColumn("__before", F.lag("__key").over(inside)).where(F.col("__before") >= F.col("__key"))
+    ends = rows.groupBy("__f", "__run").agg(F.min_by(F.struct("material_key", "event_id", "__key"), "__r").alias("a"), F.max_by("__key", "__r").alias("z"))
+    borders = ends.withColumn("__before", F.lag("z").over(Window.orderBy("__f", "__run"))).where(F.col("__before") >= F.col("a.__key"))
+    found = within.select("material_key", "event_id").unionByName(borders.select("a.material_key", "a.event_id"))
+    return found.withColumn("problem", F.lit("SORT_INVALID"))
+
+
 def streamed(folder: str, events: DataFrame) -> DataFrame:
     """Write :func:`in_order` to ``folder`` and read it back with ``place``, each event's ordinal in the stream: files by name, rows as they lie."""
     in_order(events).write.parquet(folder)

@@ -162,6 +162,63 @@ def select_range(events: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_ranges(events: DataFrame, ranges: DataFrame, monitored: DataFrame) -> DataFrame:
+    """Status and selection reason of every monitored field of every event, with the range that was chosen.
+
+    ``events``: event_key, stage, equipment_type, equipment_id, values (map of field to text). ``ranges``: rule_id, field, role, stage, equipment_type,
+    equipment_id, context (map of field to text), context_level, p01, p05, p95, p99, lower_tail, upper_tail. ``monitored``: field, stage, equipment_type; fields
+    that only have ranges are looked at too.
+
+    A range fits if all of its context holds; the lowest level is taken, then the least rule_id. Contexts have few shapes (sets of fields), and each shape is
+    looked up by equality on its fields, so no event meets ranges of other contexts. A shape with a band (a field named ``*_band``) of which the
+    event has no value yet is not sealed: where it would fit otherwise, a coarser choice is a fallback. Reasons: EXACT_CONTEXT,
+    BAND_BOUNDARY_NOT_SEALED_FALLBACK, BAND_BOUNDARY_NOT_SEALED, NO_BASELINE, UNREGISTERED_EQUIPMENT, UNREGISTERED_CONTEXT and DATA_MISSING.
+    """
+    place = ["stage", "equipment_type"]
+    fields = monitored.select("field", *place).unionByName(ranges.select("field", *place)).distinct()
+    based = ranges.select("field", *place).distinct().withColumn("__based", F.lit(True))
+    bands = F.filter(F.map_keys("context"), lambda k: k.endswith("_band"))
+    owned = ranges.groupBy("field", *place, "equipment_id").agg(F.collect_set(F.array_sort(bands)).alias("__bands"))
+    shapes = [r[0] for r in ranges.select(F.array_sort(F.map_keys("context")).alias("s")).distinct().collect()]  # a row a set of context fields
+    rows = events.join(F.broadcast(fields), place).join(F.broadcast(based), ["field", *place], "left").join(broadcast_if_small(owned), ["field", *place, "equipment_id"], "left")
+    value = lambda k: F.element_at("values", F.lit(k) if isinstance(k, str) else k)
+    rows = rows.withColumn("value", value(F.col("field")))
+    keys, found, pending = ["field", *place, "equipment_id"], [], []
+    for i, shape in enumerate(sorted(shapes)):
+        own = ranges.where(F.array_sort(F.map_keys("context")) == F.array(*map(F.lit, shape)).cast("array<string>"))
+        picked = F.struct("context_level", "rule_id", "role", "p01", "p05", "p95", "p99", "lower_tail", "upper_tail")
+        at = {f"__c{j}": k for j, k in enumerate(shape)}
+        here = own.select(*keys, *[F.element_at("context", k).alias(c) for c, k in at.items()], picked.alias(f"__r{i}"))
+        here = here.groupBy(*keys, *at).agg(F.min(f"__r{i}").alias(f"__r{i}"))  # the struct begins with level and rule_id
+        rows = rows.withColumns({c: value(k) for c, k in at.items()}).join(broadcast_if_small(here), [*keys, *at], "left").drop(*at)
+        found.append(F.col(f"__r{i}"))
+        banded_, plain = [k for k in shape if k.endswith("_band")], {f"__c{j}": k for j, k in enumerate(shape) if not k.endswith("_band")}
+        if banded_:
+            open_ = own.select(*keys, *[F.element_at("context", k).alias(c) for c, k in plain.items()], "context_level")
+            open_ = open_.groupBy(*keys, *plain).agg(F.min("context_level").alias(f"__l{i}"))
+            rows = rows.withColumns({c: value(k) for c, k in plain.items()}).join(broadcast_if_small(open_), [*keys, *plain], "left").drop(*plain)
+            lacking = F.greatest(*[value(k).isNull() for k in banded_], F.lit(False))
+            pending.append(F.when(lacking, F.col(f"__l{i}")))
+    none = F.lit(None)
+    best = (F.least(*found) if len(found) > 1 else found[0]) if found else none.cast("struct<context_level:int,rule_id:string,role:string,p01:double,p05:double,p95:double,p99:double,lower_tail:boolean,upper_tail:boolean>")
+    finer = F.coalesce((F.least(*pending, F.lit(1 << 30)) if pending else F.lit(1 << 30)) < F.col("r.context_level"), F.lit(False))
+    rows = rows.withColumn("r", best)
+    unsealed = F.coalesce(F.forall("__bands", lambda s: F.exists(s, lambda k: F.element_at("values", k).isNull())), F.lit(False))
+    number = F.col("value").try_cast("double")
+    reason = (
+        F.when(F.col("__based").isNull(), "NO_BASELINE").when(F.col("__bands").isNull(), "UNREGISTERED_EQUIPMENT").when(F.col("value").isNull(), "DATA_MISSING")
+        .when(F.col("r").isNull(), F.when(unsealed, "BAND_BOUNDARY_NOT_SEALED").otherwise("UNREGISTERED_CONTEXT"))
+        .when((F.col("r.role") != "PRODUCT_STATE_REFERENCE") & (number.isNull() | F.isnan(number)), "DATA_MISSING").when(finer, "BAND_BOUNDARY_NOT_SEALED_FALLBACK").otherwise("EXACT_CONTEXT")
+    )
+    exact = P.range_status(number, "r.p01", "r.p05", "r.p95", "r.p99", F.col("r.lower_tail"), F.col("r.upper_tail"))
+    status = (
+        F.when(F.col("reason").isin("NO_BASELINE", "BAND_BOUNDARY_NOT_SEALED"), "INSUFFICIENT_EVIDENCE").when(F.col("reason").startswith("UNREGISTERED"), "UNREGISTERED_CONDITION")
+        .when(F.col("reason") == "DATA_MISSING", "DATA_MISSING").when(F.col("r.role") == "PRODUCT_STATE_REFERENCE", "REFERENCE_ONLY").otherwise(exact)
+    )
+    chosen = F.when(F.col("__bands").isNotNull() & F.col("value").isNotNull(), F.col("r.rule_id"))
+    return rows.withColumn("reason", reason).select("event_key", "stage", "equipment_type", "equipment_id", "field", "value", chosen.alias("rule_id"), status.alias("range_status"), "reason")
+
+
 def column_profile(rows: DataFrame, numeric: tuple[str, ...], categories: tuple[str, ...]) -> DataFrame:
     """(column, total, missing, distinct, p05, median, p95) of each column, from one pass over an unpivoted table."""
     items = [F.struct(F.lit(c).alias("column"), F.when(P.finite(c), F.col(c)).alias("v"), F.lit(None).cast("string").alias("s")) for c in numeric]

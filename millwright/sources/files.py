@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.config import BATCH_KINDS, STAGES
-from millwright.operators.events import in_order, violations
+from millwright.operators.events import in_order, order_violations, violations
 
 
 def read_strict_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8") -> DataFrame:
@@ -168,11 +168,11 @@ EVENT_COLUMNS = (
 
 
 def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, problems) of replay-event CSV files: typed events with the columns of the total order, and all violations of the stream.
+    """(events, problems) of replay-event CSV files: typed events with the columns of the total order, and all violations of the stream, rows out of order among them.
 
     A header or row of another width fails the scan; values of a wrong type are problems of kind INVALID_VALUE, as are unknown batch steps and kinds.
     """
-    raw = read_strict_csv(spark, path, list(EVENT_COLUMNS))
+    raw = read_strict_csv(spark, path, list(EVENT_COLUMNS)).select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__row"))
     stages, kinds = (F.create_map(*[F.lit(x) for kv in pairs for x in kv]) for pairs in (STAGES, BATCH_KINDS))
     empty = {c: F.nullif(F.col(c), F.lit("")) for c in EVENT_COLUMNS}
     rows = raw.withColumns(empty | {"replay_date": empty["replay_date"].try_cast("date"), "replay_hour": empty["replay_hour"].try_cast("int")})
@@ -182,7 +182,7 @@ def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     })
     bad = rows.where("event_id is null or material_key is null or replay_date is null or stage_rank is null or kind_rank is null or (batch_kind = 'FURNACE_HOUR' and coalesce(replay_hour not between 0 and 23, true))")
     problems = violations(rows).unionByName(bad.select("material_key", "event_id", F.lit("INVALID_VALUE").alias("problem")))
-    return rows, problems
+    return rows.drop("__file", "__row"), problems.unionByName(order_violations(rows, "__file", "__row"))
 
 
 def write_events(events: DataFrame, path: str, bundle_id: str, criteria_id: str) -> None:

@@ -190,6 +190,23 @@ def test_event_files_round_trip_and_problems(spark, tmp_path):
     files.write_events(built.withColumn("equipment_type", F.when(F.col("batch_step") == "RM4_RECORDED", "AP").otherwise(F.col("equipment_type"))), str(tmp_path / "bad"), "b1", "c1")
     kinds = {r.problem: r["count"] for r in files.read_events(spark, str(tmp_path / "bad"))[1].groupBy("problem").count().collect()}
     assert kinds == {"WRONG_EQUIPMENT": 30, "WRONG_EVENT_ID": 30}
+    # rows moved in a file, a row delivered twice, and files in the wrong order
+    lines = [x for f in sorted((tmp_path / "events").glob("*.csv")) for x in f.read_text().splitlines()[1:]]
+    header = sorted((tmp_path / "events").glob("*.csv"))[0].read_text().splitlines()[0]
+
+    def problems_of(name, *parts):
+        (tmp_path / name).mkdir()
+        for k, part in enumerate(parts):
+            (tmp_path / name / f"part-{k}.csv").write_text("\n".join([header, *part]) + "\n")
+        return [r.problem for r in files.read_events(spark, str(tmp_path / name))[1].collect()]
+
+    assert problems_of("whole", lines[:100], lines[100:]) == []
+    assert problems_of("moved", lines[:50] + [lines[60]] + lines[50:60] + lines[61:]) == ["SORT_INVALID"]
+    assert problems_of("swapped", lines[100:], lines[:100]) == ["SORT_INVALID"]
+    assert sorted(problems_of("twice", lines[:10], [lines[9], *lines[10:]])) == ["DUPLICATE_EVENT_ID", "SORT_INVALID"]
+    ordered = spark.createDataFrame([("m", f"e{i}", 0, i, v) for i, v in enumerate([1, 2, 2, 5, 4, 6, 7, 7, 9, 3])], "material_key string, event_id string, f int, r long, k int")
+    for run in (1, 2, 3, 100):
+        assert {r.event_id for r in events.order_violations(ordered, "f", "r", ("k",), run).collect()} == {"e2", "e4", "e7", "e9"}
     mixed = back.withColumn("bundle_id", F.when(F.col("charge_id") == "c1", "b2").otherwise(F.col("bundle_id")))
     assert {r.problem for r in events.violations(mixed).collect()} == {"MIXED_BUNDLE"}
 

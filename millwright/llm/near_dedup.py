@@ -121,6 +121,8 @@ def signatures(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
 MAP_LONGS = 64
 #: Members of a crowded file that are compared with each other at a time.
 SIDE = 2048
+#: Pairs of a group that are held before they are passed on.
+HELD = 1 << 17
 
 
 def bit_map(shingles: np.ndarray) -> np.ndarray:
@@ -158,10 +160,10 @@ def may_link(percent: int) -> F.Column:
     return fits & (100 * both >= percent * (F.col("na") + F.col("nb") - both))
 
 
-def _linkable(part: np.ndarray, n: np.ndarray, side: np.ndarray, own: bool, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of different parts that :func:`may_link`; with ``own`` within all rows, else between the two sides."""
+def _linkable(part: np.ndarray, n: np.ndarray, side: np.ndarray, own: bool, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different parts that :func:`may_link`, some HELD pairs at a time; with ``own`` within all rows, else between the two sides."""
     set_bits = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-    lefts, rights = [], []
+    lefts, rights, held = [], [], 0
     rows = np.arange(len(n)) if own else np.flatnonzero(side == 0)
     for i in rows.tolist():
         others = np.arange(i + 1, len(n)) if own else np.flatnonzero(side == 1)
@@ -174,8 +176,12 @@ def _linkable(part: np.ndarray, n: np.ndarray, side: np.ndarray, own: bool, bits
         others = others[100 * both >= percent * (n[i] + n[others] - both)]
         lefts.append(np.full(len(others), i))
         rights.append(others)
-    empty = np.empty(0, np.int64)
-    return np.concatenate([empty, *lefts]).astype(np.int64), np.concatenate([empty, *rights]).astype(np.int64)
+        held += len(others)
+        if held >= HELD:
+            yield np.concatenate(lefts), np.concatenate(rights)
+            lefts, rights, held = [], [], 0
+    if held:
+        yield np.concatenate(lefts), np.concatenate(rights)
 
 
 def _pairs_across_parts(side: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,18 +199,14 @@ def _pairs_across_parts(side: DataFrame, sets: DataFrame, percent: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
-        def found(table: pa.Table) -> pa.RecordBatch:
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
             key, s0, s1, second, doc, part, n = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "s0", "s1", "second", "doc", "part", "n"))
             bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MAP_LONGS)
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(s0) != 0) | (np.diff(s1) != 0)) + 1
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-                i, j = _linkable(part[lo:hi], n[lo:hi], second[lo:hi], s0[lo] == s1[lo], bits[lo:hi], percent)
-                x, y = doc[lo:hi][i], doc[lo:hi][j]
-                a.append(np.minimum(x, y))
-                b.append(np.maximum(x, y))
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+                for i, j in _linkable(part[lo:hi], n[lo:hi], second[lo:hi], s0[lo] == s1[lo], bits[lo:hi], percent):
+                    x, y = doc[lo:hi][i], doc[lo:hi][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
 
         for batch in batches:  # sorted by group: the last group of what is held may go on in the next batch
             if not batch.num_rows:
@@ -216,11 +218,11 @@ def _pairs_across_parts(side: DataFrame, sets: DataFrame, percent: int) -> DataF
             key, s0, s1 = (table.column(c).to_numpy() for c in ("key", "s0", "s1"))
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(s0) != 0) | (np.diff(s1) != 0)) + 1
             if len(cuts):
-                yield found(table.slice(0, int(cuts[-1])))
+                yield from found(table.slice(0, int(cuts[-1])))
                 table = table.slice(int(cuts[-1]))
             kept = table.to_batches()
         if kept:
-            yield found(pa.Table.from_batches(kept))
+            yield from found(pa.Table.from_batches(kept))
 
     return dealt.repartition("key", "s0", "s1").sortWithinPartitions("key", "s0", "s1").mapInArrow(run, "a long, b long").distinct()
 

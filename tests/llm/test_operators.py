@@ -107,6 +107,7 @@ def test_unfinished_components_raise(spark):
 def test_crowded_files_equal_all_pairs(spark, monkeypatch):
     """Many sets that share a file without being near, on sides of a few members each."""
     monkeypatch.setattr(near_dedup, "SIDE", 8)
+    monkeypatch.setattr(near_dedup, "HELD", 5)
     common = [f"c{i}" for i in range(40)]
     rows = [(k, " ".join(common + [f"own{k // 3}x{i}" for i in range(20)] + [f"edit{k}"])) for k in range(60)]
     got = near_dedup.near_duplicate_classes(documents(spark, *rows), near_dedup.NearDupConfig(shingle_words=2)).collect()
@@ -122,8 +123,8 @@ def test_bit_map_bound_refuses_no_link():
         b = np.unique(np.concatenate([a[: int(0.9 * len(a))], rng.integers(0, 2**63, max(1, n // 12), dtype=np.uint64)]))
         if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
             bits = np.stack([near_dedup.bit_map(x).view(np.uint64) for x in (a, b)])
-            i, _ = near_dedup._linkable(np.array([0, 1]), np.array([len(a), len(b)]), np.zeros(2, int), True, bits, 80)
-            assert len(i) == 1
+            found = list(near_dedup._linkable(np.array([0, 1]), np.array([len(a), len(b)]), np.zeros(2, int), True, bits, 80))
+            assert [len(i) for i, _ in found] == [1]
 
 
 def test_line_dedup_of_odd_rows(spark):

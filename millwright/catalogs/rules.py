@@ -222,6 +222,17 @@ def g19(spark, d):
     return bound.members(spark, d, "discovery").join(F.broadcast(hot), R.KEYS).select("rule_id", "charge_id", "slab_no")
 
 
+_EVIDENCE = "SELECT t.family || '|' || t.field || '|' || t.bin AS rule_id, '{split}' AS split, t.stratum, w AS weight, (t.a + t.b)::BIGINT AS candidates, (t.c + t.d)::BIGINT AS comparators FROM {source}_tables t SEMI JOIN chosen USING (family, field, bin, level) JOIN weighted USING (family, field, bin, stratum) WHERE t.a + t.b > 0 AND t.c + t.d > 0"
+
+
+@query("g19_rule_strata", PREP + " UNION ALL ".join(_EVIDENCE.format(split=s, source=t) for s, t in (("DISCOVERY", "disc"), ("CONFIRMATION", "conf"))))
+def g19s(spark, d):
+    chosen = bound.level(spark, d)
+    weighted = R.weights(bound.tables(spark, d, "discovery"), chosen)
+    one, two = (R.stratum_evidence(bound.tables(spark, d, name), weighted, chosen, name.upper()) for name in ("discovery", "confirmation"))
+    return one.unionByName(two)
+
+
 ROLES = "(VALUES " + ", ".join(f"('{f.name}', '{f.stage}', '{f.equipment_type}')" for f in FEATURES) + ") AS roles(field, stage, equipment_type)"
 
 

@@ -363,6 +363,14 @@ def contributors(members: DataFrame, tables: DataFrame, weighted: DataFrame, cho
     return rows.join(told, [*KEYS, "level", "stratum"], "left_semi").select(F.concat_ws("|", *KEYS).alias("rule_id"), "charge_id", "slab_no")
 
 
+def stratum_evidence(tables: DataFrame, weighted: DataFrame, chosen: DataFrame, split: str) -> DataFrame:
+    """(rule_id, split, stratum, weight, candidates, comparators): the informative strata behind a candidate's metrics of a split, with the weight of discovery."""
+    told = tables.join(chosen.drop("kind"), [*KEYS, "level"]).join(weighted, [*KEYS, "stratum"]).where("a + b > 0 and c + d > 0")
+    return told.select(
+        F.concat_ws("|", *KEYS).alias("rule_id"), F.lit(split).alias("split"), "stratum", F.col("w").alias("weight"), (F.col("a") + F.col("b")).alias("candidates"), (F.col("c") + F.col("d")).alias("comparators")
+    )
+
+
 def aggregate_lineage(ranges: DataFrame, discovery: DataFrame, confirmation: DataFrame) -> DataFrame:
     """(artifact, rule_id, split, selection, filters, transformations, charge_id, slab_no): the materials behind every range and every rule, by split."""
     names = lambda *x: F.array(*map(F.lit, x))

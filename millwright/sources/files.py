@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.config import BATCH_KINDS, STAGES
 from millwright.operators.events import in_order, order_violations, violations
+from millwright.work import create_file
 
 
 def read_strict_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8") -> DataFrame:
@@ -87,7 +87,7 @@ def publish(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     rows = [tuple(r) for r in manifest.collect()]  # a row a table
     stated = _manifest_rows(spark, folder)
     if stated is None:
-        if _create(spark, f"{folder}/manifest.json", json.dumps(rows).encode()):
+        if create_file(spark, f"{folder}/manifest.json", json.dumps(rows).encode()):
             return published(spark, folder)
         stated = _manifest_rows(spark, folder)
     _delete(spark, f"{folder}/data/{place}")
@@ -96,21 +96,6 @@ def publish(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     return published(spark, folder)
 
 
-def _create(spark: SparkSession, path: str, content: bytes) -> bool:
-    """Create a file; False where it exists."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        stream = fs.create(target, False)
-        stream.write(content)
-        stream.close()
-    except Py4JJavaError as wrong:
-        if "FileAlreadyExists" in wrong.java_exception.getClass().getName():
-            return False
-        raise
-    return True
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,41 @@ def stage(spark: SparkSession, inputs: str, name: str, build: Callable[[], DataF
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A broadcast hint where a count shows at most ``rows`` rows; beyond, the plain frame, which Spark shuffles."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def create_file(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Create a file that appears with all of its ``content`` or not at all; False where one of that name exists.
+
+    The content is written under a private name first, then takes its own: by a hard link on a local file system, elsewhere by a rename, which
+    file systems with an atomic one refuse where the name is taken. Of writers that race, however slow, one succeeds.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    private = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_private-{uuid.uuid4().hex}")
+    if fs.getUri().getScheme() == "file":
+        local = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+        files = spark._jvm.java.nio.file.Files
+        files.write(local(private), content, spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.OpenOption, 0))
+    else:
+        stream = fs.create(private, False)
+        stream.write(content)
+        stream.close()
+    try:
+        return _expose(spark, fs, private, target)
+    finally:
+        fs.delete(private, False)
+
+
+def _expose(spark: SparkSession, fs, private, target) -> bool:
+    """Give a written file its name; False where the name is taken."""
+    if fs.getUri().getScheme() != "file":
+        return not fs.exists(target) and fs.rename(private, target)
+    local = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+    try:
+        spark._jvm.java.nio.file.Files.createLink(local(target), local(private))
+    except Py4JJavaError as wrong:
+        if "FileAlreadyExists" in wrong.java_exception.getClass().getName():
+            return False
+        raise
+    return True

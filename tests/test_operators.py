@@ -174,6 +174,28 @@ def test_strict_csv_types_and_manifest(spark, tmp_path):
     assert files.audit(spark, folder).count() == 1
 
 
+def test_a_created_file_is_whole_and_the_first_of_racing_writers_stays(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from millwright import work
+
+    path = str(tmp_path / "made/file")
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda k: work.create_file(spark, path, f"content {k}".encode() * 1000), range(8)))
+    assert sum(won) == 1 and (tmp_path / "made/file").read_text() == f"content {won.index(True)}" * 1000
+    # a writer that is slow between its content and its name loses to one that comes between, and nothing of it is seen
+    expose, slow = work._expose, str(tmp_path / "made/slow")
+
+    def late(*args):
+        monkeypatch.setattr(work, "_expose", expose)
+        assert not (tmp_path / "made/slow").exists() and work.create_file(spark, slow, b"quick")
+        return expose(*args)
+
+    monkeypatch.setattr(work, "_expose", late)
+    assert not work.create_file(spark, slow, b"slow") and (tmp_path / "made/slow").read_bytes() == b"quick"
+    assert sorted(p.name for p in (tmp_path / "made").iterdir()) == ["file", "slow"]
+
+
 def test_event_files_round_trip_and_problems(spark, tmp_path):
     import datetime
 

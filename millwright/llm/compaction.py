@@ -7,8 +7,8 @@ shuffle: a tier's shards are of like size, so joining them evenly gives files of
 Old shards stay for readers of older versions.
 
 A manifest's rows are written to a folder of their own. The commit is the creation of the small file ``v=<version>`` that names the
-folder, which fails where the file exists: of two writers that began at one version, one gets an error and nothing is lost.
-A file that its writer left empty (it died in between) is no version; the next writer goes past it.
+folder, with its content at once, which fails where the file exists: of two writers that began at one version, one gets an error, however slow it
+is, and nothing is lost. On a store without an atomic rename that rests on the store's own check.
 The paths of live shards, some hundred bytes each, are read by the driver, as Spark's readers take a list of files.
 """
 
@@ -17,12 +17,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.llm.common import new_path
+from millwright.work import create_file
 
 MANIFEST = "shard string, bytes long, tier int"
 
@@ -41,25 +41,6 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def _create(spark: SparkSession, fs, target, content: bytes) -> bool:
-    """Create a file with ``content``; False where it exists. The file system decides between writers that race."""
-    try:
-        if fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and then creates; the operating system does both at once
-            files, option = spark._jvm.java.nio.file.Files, spark._jvm.java.nio.file.StandardOpenOption
-            options = spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.OpenOption, 2)
-            options[0], options[1] = option.CREATE_NEW, option.WRITE
-            files.write(spark._jvm.java.io.File(target.toUri().getPath()).toPath(), content, options)
-        else:
-            stream = fs.create(target, False)
-            stream.write(content)
-            stream.close()
-    except Py4JJavaError as wrong:
-        if "FileAlreadyExists" in wrong.java_exception.getClass().getName():
-            return False
-        raise
-    return True
-
-
 class ShardedTable:
     """Versions, appends and compactions of the table in ``folder``."""
 
@@ -68,26 +49,23 @@ class ShardedTable:
 
     # -- manifests
 
-    def _committed(self) -> dict[int, str]:
-        """Versions and the folders that their files name; an empty file names none."""
-        fs, path = _fs(self.spark, f"{self.folder}/manifests")
-        if not fs.exists(path):
-            return {}
-        files = [s.getPath() for s in fs.listStatus(path) if s.isFile() and s.getPath().getName().startswith("v=")]
-        return {int(f.getName()[2:]): f for f in files}
-
     def version(self) -> int:
         """The newest committed version; 0 for an empty table."""
-        found = self._committed()
-        return next((v for v in sorted(found, reverse=True) if self._named(found[v])), 0)
+        fs, path = _fs(self.spark, f"{self.folder}/manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isFile()] if fs.exists(path) else []
+        return max((int(n[2:]) for n in names if n.startswith("v=")), default=0)
 
     def _named(self, file) -> str:
+        """The folder that a version's file names. Files appear whole, so one without a name is not of this table's writers."""
         fs = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
         stream = fs.open(file)
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
+        if not name:
+            raise RuntimeError(f"{file.toString()} is empty: whose version it is cannot be known")
+        return name
 
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
@@ -100,13 +78,8 @@ class ShardedTable:
         """Make ``live`` the version that follows ``after``."""
         name = new_path(self.spark, "m").rsplit("/", 1)[1]
         live.coalesce(1).write.parquet(f"{self.folder}/staged/{name}")
-        found = self._committed()
         version = after + 1
-        while version in found and not self._named(found[version]):
-            version += 1
-        fs, target = _fs(self.spark, f"{self.folder}/manifests/v={version}")
-        fs.mkdirs(target.getParent())
-        if not _create(self.spark, fs, target, name.encode()):
+        if not create_file(self.spark, f"{self.folder}/manifests/v={version}", name.encode()):
             raise RuntimeError(f"version {version} was committed by another writer")
         return version
 

@@ -531,14 +531,34 @@ def test_of_two_racing_writers_one_fails(spark):
     with ThreadPoolExecutor(2) as pool:
         got = list(pool.map(commit, live))
     assert sorted(map(str, got))[0] == str(first + 1) and "another writer" in sorted(map(str, got))[1]
-    # a file that its writer left empty is no version
+    # an empty file is no version of this table's writers: what it stands for is unknown, so nothing is built on it or beside it
     fs, path = compaction._fs(spark, f"{table.folder}/manifests/v={first + 2}")
     fs.create(path, False).close()
-    assert table.version() == first + 1 and table.append(docs.limit(1)) == first + 3
+    with pytest.raises(RuntimeError, match="empty"):
+        table.append(docs.limit(1))
     whole, version = compaction.shard_and_compact(docs)
     assert sorted(map(str, whole.read(version).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_a_slow_writer_loses_and_its_rows_are_not_half_seen(spark, monkeypatch):
+    from millwright import work
+
+    docs, expose = odd(spark), work._expose
+    table = compaction.ShardedTable(spark, compaction.new_path(spark, "table"))
+    first = table.append(docs)
+
+    def late(*args):
+        monkeypatch.setattr(work, "_expose", expose)
+        assert table.version() == first and table.append(docs.limit(1)) == first + 1  # another writer commits while this one has written its content only
+        return expose(*args)
+
+    monkeypatch.setattr(work, "_expose", late)
+    with pytest.raises(RuntimeError, match="another writer"):
+        table.append(docs)
+    assert table.version() == first + 1 and table.read().count() == docs.count() + 1
+    assert table.append(docs) == first + 2 and table.read().count() == 2 * docs.count() + 1  # tried again, nothing is lost
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as pipeline
 

@@ -23,6 +23,8 @@ from millwright.llm.common import new_path, written
 _CHUNK = 1 << 20
 #: Raw bytes after which a writer starts another archive.
 ARCHIVE_BYTES = 256 << 20
+#: Payload bytes that the reader holds before it passes records on.
+HELD_BYTES = 8 << 20
 _END = b"\r\n\r\n"
 
 
@@ -170,7 +172,7 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records at an index's byte ranges: page_id, payload_bytes, payload_digest, record_type, refers_to (and payload).
 
     A response's payload is measured as read back, and one that does not give its digest or stated length fails the task; a revisit
-    has no payload, so its figures are those its record states.
+    has no payload, so its figures are those its record states. One record is held at a time, or with payloads about HELD_BYTES of them.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -178,7 +180,7 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, source = None, None
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for archive, offset, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if archive != opened:
                     if source is not None:
@@ -196,7 +198,11 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                         raise ValueError(f"{archive} at {offset}: the payload does not give its digest and length")
                     size = len(payload)
                 number = lambda name: int(head[name]) if name in head else None
-                rows.append((number("x-page-id"), size, digest, kind, number("x-refers-to-page-id"), payload))
+                rows.append((number("x-page-id"), size, digest, kind, number("x-refers-to-page-id"), payload if with_payload else None))
+                held += len(payload) if with_payload else 0
+                if held >= HELD_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names=names)
+                    rows, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names=names)
         if source is not None:
             source.close()

@@ -497,6 +497,15 @@ def test_chat_collapse(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_warc_reader_gives_large_payloads_back(spark):
+    rows = [(i, f"http://x/{i}", chr(97 + i) * 3_000_000) for i in range(7)] + [(9, "http://x/9", None), (10, "http://x/0", "a" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    archives = warc.write_archives(warc.with_revisits(pages), compaction.new_path(spark, "warc"))
+    got = {r.page_id: r for r in warc.read_records(warc.normalise_archives(archives), with_payload=True).collect()}
+    assert len(got) == 9 and {i: bytes(got[i].payload).decode() for i in range(1, 7)} == {i: rows[i][2] for i in range(1, 7)}
+    assert bytes(got[9].payload) == b"" and got[0].record_type == "revisit" and got[0].refers_to == 10 and got[0].payload_bytes == 3_000_000
+
+
 def test_compaction_keeps_rows_and_versions(spark):
     tiers = compaction.Tiers(target_bytes=1 << 16, smallest_bytes=1 << 10, least_shards=3)
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(12)

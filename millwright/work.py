@@ -16,10 +16,20 @@ _STAGES: dict[tuple, tuple] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """Folder for intermediates: ``spark.checkpoint.dir``, or a local one where that is unset and Spark runs in one process (tests)."""
+    """Folder for intermediates: ``spark.checkpoint.dir``, or a local one where that is unset and Spark runs in one process (tests).
+
+    It belongs to the application and is deleted when that ends: what is written there is read by later stages and by returned DataFrames only.
+    """
     shared, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if shared:
-        return f"{shared.rstrip('/')}/millwright/{app}"
+        folder = f"{shared.rstrip('/')}/millwright/{app}"
+        if app not in _LOCAL:
+            _LOCAL[app] = folder
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+        return folder
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: intermediates are written there")
     if app not in _LOCAL:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,31 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millwright.work import root
+
 #: Remainder of crc32(doc_id as text) modulo 4 that no model may learn from.
 HELD_OUT = 2
 
-_LOCAL_WORK: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_root(spark: SparkSession) -> str:
-    """Folder for written intermediates: ``spark.checkpoint.dir``, or a local one where that is unset and Spark runs in one process (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if shared:
-        return f"{shared.rstrip('/')}/millwright/{app}"
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: intermediates are written there")
-    if app not in _LOCAL_WORK:
-        _LOCAL_WORK[app] = f"file://{tempfile.mkdtemp(prefix='millwright-')}"
-    return _LOCAL_WORK[app]
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, label: str, partition_by: str | None = None) -> tuple[DataFrame, str]:

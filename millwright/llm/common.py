@@ -15,6 +15,7 @@ from millwright.work import root
 #: Remainder of crc32(doc_id as text) modulo 4 that no model may learn from.
 HELD_OUT = 2
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -38,7 +38,10 @@ def _binned(long: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def memberships(rows: DataFrame, numeric: DataFrame, coarse: DataFrame) -> DataFrame:
-    """(row key, family, field, bin, judge, adjustment columns): the candidate of each family and field that a row is in."""
+    """(row key, family, field, bin, judge, adjustment columns): the candidate of each family and field that a row is in.
+
+    An interaction needs two bins of each of its fields at least; a predicate that no row is in is no candidate.
+    """
     keep = ["charge_id", "slab_no", "judge", *sorted({c for level in ADJUSTMENTS for c in level})]
     one = _binned(_numeric_long(rows, NUMERIC, keep), numeric).withColumn("family", F.lit("NUMERIC"))
     items = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("bin")) for c in CATEGORIES]))
@@ -47,6 +50,9 @@ def memberships(rows: DataFrame, numeric: DataFrame, coarse: DataFrame) -> DataF
     wide = _binned(_numeric_long(rows, fields, keep), coarse).groupBy(*keep).pivot("field", list(fields)).agg(F.first("bin"))
     pairs = F.explode(F.array(*[F.struct(F.lit(f"{a}|{b}").alias("field"), F.concat(F.col(a), F.lit("|"), F.col(b)).alias("bin")) for a, b in INTERACTIONS]))
     three = wide.select(*keep, pairs.alias("x")).select(*keep, "x.field", "x.bin", F.lit("INTERACTION").alias("family")).where("bin is not null")
+    several = coarse.groupBy("field").agg(F.count("*").alias("__n")).where("__n >= 2")  # a row a field
+    for k in (1, 2):
+        three = three.join(F.broadcast(several.select(F.col("field").alias("__side"))), F.split_part("field", F.lit("|"), F.lit(k)) == F.col("__side"), "left_semi")
     columns = [*keep, "family", "field", "bin"]
     return one.select(*columns).unionByName(two.select(*columns)).unionByName(three.select(*columns))
 

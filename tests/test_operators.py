@@ -291,6 +291,15 @@ def test_bootstraps_equal_plain_draws(spark):
     assert {tuple(r) for r in holdout.bootstrap(by_charge, 60, 50, "m", in_place=0).collect()} == {tuple(r) for r in holdout.bootstrap(by_charge, 60, 50, "m").collect()}
 
 
+def test_interactions_need_two_bins_a_side(spark):
+    names = ["charge_id", "slab_no", "judge", "steel_grade", "steel_usage", "furnace_no", "f_jangip_gubun", "tundish_temp", "f_heat_temp", "f_bfg_ratio", "f_cog_ratio"]
+    rows = spark.createDataFrame([(str(i), "1", "x", "g", "u", "1", "c", 5.0, float(i), float(i % 4), 1.0) for i in range(12)], ", ".join(f"{n} {'double' if n.endswith(('temp', 'ratio')) else 'string'}" for n in names))
+    from millwright.config import AnalysisConfig
+
+    found = {(r.family, r.field) for r in rules.memberships(rows, *rules.bins(rows, AnalysisConfig())).select("family", "field").distinct().collect()}
+    assert ("INTERACTION", "f_heat_temp|f_bfg_ratio") in found and ("INTERACTION", "tundish_temp|f_heat_temp") not in found and ("NUMERIC", "tundish_temp") in found
+
+
 def test_early_warning_needs_a_stage_before_the_result(spark):
     rows = spark.createDataFrame([("f_heat_temp",), ("tundish_temp|f_heat_temp",), ("furnace_no",), ("ap_line_speed",), ("steel_grade|ap_shift",)], "field string")
     assert [r[0] for r in rows.select(rules.first_stage()).collect()] == ["HEAT_COMPLETE", "HEAT_COMPLETE", "FURNACE_CHARGED", "AP_RECORDED_WITH_RESULT", "AP_RECORDED_WITH_RESULT"]

@@ -51,17 +51,29 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 16, limit: int
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+#: Parts that a common key is dealt to where it is too large to be broadcast.
+SALTS = 64
+
+
 def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, size=None, most: int = 1000, limit: int = 64 << 20) -> DataFrame:
     """Inner join of ``rows`` with ``counted`` (unique by ``keys``; ``count`` is how many rows a key has), no key in one task.
 
     Keys with more than a thousandth of all rows are at most ``most``, so they are broadcast where their bytes (``size``, a column
-    of ``counted``) are within ``limit``; the others are shuffled. Both inputs are read twice and should be written tables.
+    of ``counted``) are within ``limit``; the others are shuffled. Beyond the limit the common keys are shuffled as well, each dealt to
+    :data:`SALTS` parts by a hash of its rows, with its one counted row in every part; only their hashes are broadcast. Both inputs are
+    read twice and should be written tables.
     """
     total, = counted.agg(F.sum(count)).first()
     common = F.col(count) > max(most, (total or 0) // most)
     n, held = counted.where(common).agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()
-    if not n or held + 100 * n > limit:
+    if not n:
         return rows.join(counted, keys)
+    if held + 100 * n > limit:
+        hashed = F.broadcast(counted.where(common).select(F.xxhash64(*keys).alias("__hash")).distinct().withColumn("__hot", F.lit(True)))
+        marked = lambda df: df.withColumn("__hash", F.xxhash64(*keys)).join(hashed, "__hash", "left")
+        salted = marked(rows).withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")).drop("__hash", "__hot")
+        spread = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+        return salted.join(marked(counted).withColumn("__salt", spread).drop("__hash", "__hot"), [*keys, "__salt"]).drop("__salt")
     hot = F.broadcast(counted.where(common))
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(counted.where(common).select(*keys)), keys, "left_anti").join(counted.where(~common), keys))
 

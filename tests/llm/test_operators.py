@@ -95,6 +95,17 @@ def test_no_text_goes_with_a_repeated_id(spark):
     assert near_dedup.drop_near_duplicates(docs.limit(0), cfg).count() == 0
 
 
+def test_common_keys_are_joined_whole_however_large(spark):
+    from millwright.llm.common import join_counted
+
+    rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [("hot", 1)] * 2 + [(f"k{i % 50}", i) for i in range(500)] + [(None, 1)], "key string, n int")
+    counted = rows.groupBy("key").count().withColumnRenamed("count", "rows").where("key <> 'k7'")
+    want = sorted(map(tuple, rows.join(counted, "key").select("key", "n", "rows").collect()))
+    for most, limit in ((1000, 64 << 20), (10, 64 << 20), (10, 0)):
+        got = join_counted(rows, counted, ["key"], "rows", most=most, limit=limit)
+        assert sorted(map(tuple, got.select("key", "n", "rows").collect())) == want
+
+
 def test_unfinished_components_raise(spark):
     from millwright.llm.components import connected_components
 

@@ -12,7 +12,7 @@ from millwright.operators import ranges as G
 from millwright.operators import rules as R
 from millwright.sources import bindings
 from millwright.sources.bindings import BASE
-from millwright.work import stage
+from millwright.work import broadcast_if_small, stage
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -219,7 +219,7 @@ def g18(spark, d):
 @query("g19_rule_contributors", RULES + "SELECT g.rule_id, m.charge_id, m.slab_no FROM graded g JOIN disc_members m USING (family, field, bin) WHERE grade IN ('DANGER', 'CAUTION')")
 def g19(spark, d):
     hot = bound.graded(spark, d).where("grade in ('DANGER', 'CAUTION')").select("rule_id", *R.KEYS)
-    return bound.members(spark, d, "discovery").join(F.broadcast(hot), R.KEYS).select("rule_id", "charge_id", "slab_no")
+    return bound.members(spark, d, "discovery").join(broadcast_if_small(hot), R.KEYS).select("rule_id", "charge_id", "slab_no")
 
 
 _EVIDENCE = "SELECT t.family || '|' || t.field || '|' || t.bin AS rule_id, '{split}' AS split, t.stratum, w AS weight, (t.a + t.b)::BIGINT AS candidates, (t.c + t.d)::BIGINT AS comparators FROM {source}_tables t SEMI JOIN chosen USING (family, field, bin, level) JOIN weighted USING (family, field, bin, stratum) WHERE t.a + t.b > 0 AND t.c + t.d > 0"

@@ -13,7 +13,7 @@ from millwright.config import ADJUSTMENTS, CATEGORIES, DEFECT, FEATURES, INTERAC
 from millwright.functions import predicates as P
 from millwright.functions.statistics import erfc, hashed_draw, wilson
 from millwright.operators.ranges import field_bins
-from millwright.work import written
+from millwright.work import broadcast_if_small, written
 
 NUMERIC = tuple(f.name for f in FEATURES)
 
@@ -211,7 +211,7 @@ def merged_display(rules: DataFrame, numeric: DataFrame) -> DataFrame:
 
 def charge_blocks(members: DataFrame, weighted: DataFrame, chosen: DataFrame) -> DataFrame:
     """(rule_id, charge_id, stratum, a, b, c, d): each charge's part of a rule's informative strata, summed before any resampling."""
-    rows = stratum_rows(members).join(F.broadcast(chosen.select("family", "field", F.col("bin").alias("rule_bin"), "level")), ["family", "field", "level"])
+    rows = stratum_rows(members).join(broadcast_if_small(chosen.select("family", "field", F.col("bin").alias("rule_bin"), "level")), ["family", "field", "level"])
     told = weighted.select("family", "field", F.col("bin").alias("rule_bin"), "stratum")
     mine, bad = F.col("bin") == F.col("rule_bin"), F.col("bad") == 1
     return rows.join(told, ["family", "field", "rule_bin", "stratum"]).groupBy(F.concat_ws("|", "family", "field", "rule_bin").alias("rule_id"), "charge_id", "stratum").agg(
@@ -337,7 +337,7 @@ def memberships_by_status(events: DataFrame, terms: DataFrame, keep_others: bool
         F.collect_list(F.struct("field", "lower", "lower_inclusive", "upper", "upper_inclusive", "accepted")).alias("terms")
     )
     inside = (F.col("scope") != "EQUIPMENT_SPECIFIC") | (F.col("own") == F.col("equipment_id"))
-    rows = events.join(F.broadcast(packed), ["stage", "equipment_type"], "left" if keep_others else "inner").where(inside | F.col("rule_id").isNull() if keep_others else inside)
+    rows = events.join(broadcast_if_small(packed), ["stage", "equipment_type"], "left" if keep_others else "inner").where(inside | F.col("rule_id").isNull() if keep_others else inside)
     text = lambda t: F.element_at("values", t["field"])
     number = lambda t: text(t).try_cast("double")
     lacks = lambda t: text(t).isNull() | (t["accepted"].isNull() & (number(t).isNull() | F.isnan(number(t))))

@@ -368,3 +368,30 @@ def test_alert_metrics_take_the_latest_alerts(spark):
     assert tuple(fleet.alert_metrics(alerts, 20).first()) == (100, 50.5, 99, 100)
     assert tuple(fleet.alert_metrics(alerts, since=F.col("arrival") > 90).first()) == (10, 95.5, 100, 100)
     assert tuple(fleet.alert_metrics(alerts.where("false"), 20).first()) == (0, None, None, None)
+
+
+def test_genealogy_deals_each_source_once(spark):
+    """Rows of a source go through one shuffle by their key, linked rows through one more; records are numbers until they are shown."""
+    from millwright.catalogs import bound
+    from millwright.sources import bindings
+
+    for rows, most in ((genealogy.chain(*bound.sources(spark, SF, numbered=True)), 8), (genealogy.boundary(bindings.fur_hr(spark, SF, numbered=True)), 1)):
+        assert rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= most
+    assert dict(bound.replay(spark, SF).dtypes)["ap_record"] == "bigint"
+
+
+def test_quarantine_tells_the_most_severe_reason(spark):
+    sm = spark.createDataFrame([("s1", "c1", "1", "2025-01-01"), ("s2", "c2", "1", "2025-01-01"), ("s3", "c3", "1", "2025-01-01"), ("s3", "c3", "1", "2025-01-02"), ("s4", "c4", "1", "2025-01-01")], "sm_record string, charge_id string, slab_no string, cast_date string")
+    fur = spark.createDataFrame(
+        [("f1", "c1", "1", "h", "2025-01-02"), ("f2", "c2", "1", "h", "2025-01-02"), ("f3", "c3", "1", "h3", "2025-01-02"), ("f4", "c4", "1", " ", "2025-01-02"), ("f5", "c5", "1", "h5", None), ("f6", " ", "1", "h6", "2025-01-02")],
+        "fur_record string, charge_id string, slab_no string, hr_coil_id string, hr_date string",
+    ).withColumn("hr_date", F.to_date("hr_date"))
+    ap = spark.createDataFrame([("a1", "h", "p1", "2025-01-03"), ("a3", "h3", "p3", "2025-01-03"), ("a4", "h4", "p3", "2025-01-03"), ("a5", "h5", "p5", "2025-01-03"), ("a6", None, "p6", "2025-01-03"), ("a7", "h7", None, "2025-01-03")], "ap_record string, hr_coil_id string, ap_prod_id string, ap_date string")
+    dated = sm.withColumn("cast_date", F.to_date("cast_date")), fur.withColumn("f_ext_date", F.col("hr_date")), ap.withColumns({"ap_date": F.to_date("ap_date"), "judge": F.lit(None).cast("string")})
+    got = {r.record: r.reason for r in genealogy.quarantine(*dated).collect()}
+    assert got == {
+        "s1": "UNLINKED_SM_CC", "s2": "UNLINKED_SM_CC", "s3": "DUPLICATE_SM_CC_KEY", "s4": "UNLINKED_SM_CC", "f1": "DUPLICATE_FUR_HR_COIL_KEY", "f2": "DUPLICATE_FUR_HR_COIL_KEY",
+        "f3": "UNLINKED_FUR_HR", "f4": "MISSING_FUR_HR_COIL_ID", "f5": "INVALID_FUR_HR_DATE", "f6": "MISSING_FUR_HR_KEY", "a1": "UNLINKED_AP", "a3": "DUPLICATE_AP_PROD_ID",
+        "a4": "DUPLICATE_AP_PROD_ID", "a6": "MISSING_AP_HR_COIL_ID", "a7": "MISSING_AP_PROD_ID",
+    }
+    assert genealogy.chain(*[rows for rows in dated]).count() == 0

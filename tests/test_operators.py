@@ -395,3 +395,32 @@ def test_quarantine_tells_the_most_severe_reason(spark):
         "a4": "DUPLICATE_AP_PROD_ID", "a6": "MISSING_AP_HR_COIL_ID", "a7": "MISSING_AP_PROD_ID",
     }
     assert genealogy.chain(*[rows for rows in dated]).count() == 0
+
+
+def _shuffles(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+
+
+def test_events_are_not_shuffled_whole(spark):
+    """Events follow from the replay rows: they are built where they are read, units reach them by a broadcast, and the ordered files hold what places them."""
+    from millwright.catalogs import events as catalog
+    from millwright.operators import events as E
+
+    rows = catalog.built(spark, SF)
+    assert _shuffles(rows) == 0 and _shuffles(QUERIES["i4_i6_total_order_units"](spark, SF)) == 0
+    assert set(catalog.streamed(spark, SF).columns) == {*E.ORDER, "place"}
+    one, two = rows.where("stage_rank < 12"), rows.where("stage_rank = 11 or stage_rank > 14")
+    found = E.parity(one.unionByName(one), two, ["event_id"])
+    assert _shuffles(found) == 1
+    assert found.where("side = 'first'").count() == 2 * one.count() - rows.where("stage_rank = 11").count()
+    assert found.where("side = 'second'").count() == rows.where("stage_rank > 14").count()
+
+
+def test_blocks_of_charges_are_dealt_by_charge(spark):
+    """A row of a charge is not shuffled once for every rule of its field."""
+    from millwright.catalogs import bound
+
+    weighted = rules.weights(bound.tables(spark, SF, "discovery"), bound.level(spark, SF))
+    blocks = rules.charge_blocks(bound.members(spark, SF, "discovery"), weighted, bound.level(spark, SF))
+    dealt = [line for line in blocks._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line and "charge_id" in line]
+    assert dealt and all("hashpartitioning(family" in line for line in dealt)

@@ -424,3 +424,26 @@ def test_blocks_of_charges_are_dealt_by_charge(spark):
     blocks = rules.charge_blocks(bound.members(spark, SF, "discovery"), weighted, bound.level(spark, SF))
     dealt = [line for line in blocks._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line and "charge_id" in line]
     assert dealt and all("hashpartitioning(family" in line for line in dealt)
+
+
+def test_lines_dealt_by_charge_are_not_dealt_again(spark):
+    """Castings and furnace rows meet where the lines lie; only what goes by coil is shuffled: picklings, their products, furnace coils, linked rows."""
+    from millwright.catalogs import bound
+    from millwright.operators import split
+
+    sources = bound.sources(spark, SF, numbered=True)
+    near = genealogy.chain(*sources, by_charge=True)
+    assert _shuffles(near) <= 5 and _shuffles(bound.boundary(spark, SF)) == 0
+    assert _shuffles(split.crossing_charges(bound.boundary(spark, SF), spark.range(1).selectExpr("date'1999-01-01' as c"), "c")) == 0
+    assert sorted(map(tuple, near.collect()), key=repr) == sorted(map(tuple, genealogy.chain(*sources).select(near.columns).collect()), key=repr)
+
+
+def test_unit_groups_are_told_by_hours(spark):
+    """What is shuffled for the groups are rows of a kind and an hour; groups are the (batch, step) pairs that the events have, in their order."""
+    from millwright.catalogs import events as catalog
+    from millwright.operators import events as E
+
+    rows = catalog.built(spark, SF).where("stage_rank not in (11, 15) or cast(charge_id as long) % 3 = 0")
+    got = sorted((r.unit, *[r[c] for c in E.UNIT]) for r in E.unit_groups(rows).collect())
+    want = sorted(tuple(r) for r in rows.select(*E.UNIT).distinct().collect())
+    assert got == [(i + 1, *w) for i, w in enumerate(want)]

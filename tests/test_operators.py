@@ -447,3 +447,19 @@ def test_unit_groups_are_told_by_hours(spark):
     got = sorted((r.unit, *[r[c] for c in E.UNIT]) for r in E.unit_groups(rows).collect())
     want = sorted(tuple(r) for r in rows.select(*E.UNIT).distinct().collect())
     assert got == [(i + 1, *w) for i, w in enumerate(want)]
+
+
+def test_violations_shuffle_suspects_only(spark, monkeypatch):
+    """Events are not shuffled whole for their checks; with too many suspects to broadcast the result is the same."""
+    from millwright.catalogs import events as catalog
+    from millwright.operators import events as E
+
+    rows = catalog.built(spark, SF).where("not (stage_rank = 13 and charge_id like '%3')").withColumn("replay_date", F.expr("if(stage_rank = 12 and charge_id like '%7', date_add(replay_date, 30), replay_date)"))
+    rows = rows.unionByName(rows.where("stage_rank = 14 and charge_id like '%5'"))
+    found = E.violations(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "xxhash64" in plan
+    got = sorted((r.material_key, r.event_id or "", r.problem) for r in found.collect())
+    assert {p for _, _, p in got} == {"DUPLICATE_EVENT_ID", "STAGE_OUT_OF_ORDER", "MISSING_STAGE", "WRONG_BATCH_ID"}
+    monkeypatch.setattr(E._of, "__defaults__", (0,))
+    assert sorted((r.material_key, r.event_id or "", r.problem) for r in E.violations(rows).collect()) == got

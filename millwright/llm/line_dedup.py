@@ -7,7 +7,8 @@ Chunks of two or more lines that occur more than once in the corpus are candidat
 but the first occurrence (least doc_id, then place) are taken out of their texts.
 
 Chunk boundaries need a few lines of content, so a passage of two to five lines seldom holds a whole chunk. The second half
-works on every two neighbouring lines instead: a run of two or more lines that occurred before goes whole, whatever surrounds it.
+takes repeated chunks as anchors and goes on from them by every two neighbouring lines: a run of two or more lines that occurred before goes
+whole, whatever surrounds it.
 """
 
 from __future__ import annotations
@@ -150,16 +151,33 @@ def _key(start: F.Column, mark: F.Column) -> F.Column:
     return F.shiftleft(start.cast("long"), 32).bitwiseOR(mark.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def _repeated_marks(parts: DataFrame) -> DataFrame:
+    """(__mark) of the pairs that occur more than once, from repeated chunks outward.
+
+    Copies of a content-defined chunk meet by its hash (with its length and first pair: 128 bits): the pairs inside a chunk that occurs again are repeated
+    with it and named once, however many copies there are. The pairs that reach over a chunk's border carry on beyond it: they are counted, with one of
+    each other chunk's.
+    """
+    items = F.transform("__chunks", lambda c: F.struct(
+        c["mark"].alias("chunk"), c["n"].alias("n"), F.slice("__marks", c["start"] + 1, c["n"] - 1).alias("inner"), F.slice("__marks", c["start"] + c["n"], F.lit(1)).alias("border")
+    ))
+    chunks = parts.select(F.explode(items).alias("c")).select("c.*")
+    kinds = chunks.where("n >= 2").groupBy("chunk", "n", F.get("inner", F.lit(0)).alias("head")).agg(F.first("inner").alias("inner"), F.count("*").alias("copies"))
+    inner = kinds.select(F.explode("inner").alias("__mark"), (F.col("copies") > 1).alias("again"))
+    every = inner.unionByName(chunks.select(F.explode("border").alias("__mark"), F.lit(False).alias("again"))).where("__mark is not null")
+    return every.groupBy("__mark").agg(F.count("*").alias("n"), F.bool_or("again").alias("again")).where("n > 1 or again").select("__mark")
+
+
 def repeated_pairs(docs: DataFrame) -> DataFrame:
     """(__id, __start, __mark) of every pair of neighbouring lines to take out: one that occurred before, compared by bytes, and whose first occurrence stays whole.
 
+    Content-defined chunks that occur more than once are the anchors: their pairs are repeated, and pairs of neighbouring lines carry on beyond them.
     A pair that overlaps its own first occurrence (three equal lines) is not a second one. A first occurrence of which a line belongs to a repeat
     of some other pair may lose that line, so nothing is taken out for its sake: what goes has a whole copy that nothing touches.
     """
     base = docs.select(F.col("doc_id").alias("__id"), "text").where("doc_id is not null and text is not null")
-    parts = _pairs(base)
-    marks = parts.select(F.explode("__marks").alias("__mark")).where("__mark is not null").groupBy("__mark").agg(F.count("*").alias("__count"))
-    marks, marks_path = written(marks.where("__count > 1").select("__mark"), "marks")
+    parts = _pairs(chunked(base))
+    marks, marks_path = written(_repeated_marks(parts), "marks")
     rows = parts.select("__id", F.explode(F.transform("__marks", lambda m, i: F.struct(
         i.alias("start"), m.alias("mark"), F.concat_ws("\n", F.get("__lines", i), F.get("__lines", i + 1)).alias("bytes")
     ))).alias("__c")).select("__id", *[F.col(f"__c.{c}").alias(f"__{c}") for c in ("start", "mark", "bytes")])

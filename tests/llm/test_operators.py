@@ -606,3 +606,17 @@ def test_pipeline_drops_what_is_whole_elsewhere_and_keeps_blank_texts(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.drop_repeated_passages(spark, docs, SF).collect()}
     assert got == {1: (rows[0][1], 19), 3: ("own words", 9), 4: ("", 0), 5: (" \n ", 3), 6: (None, 0), 7: ("\n\n", 2)}
     assert pipeline.drop_repeated_passages(spark, docs.limit(0), SF).count() == 0
+
+
+def test_repeated_pairs_come_from_chunks(spark):
+    """Pairs inside repeated content-defined chunks and over their borders: the very pairs that occur more than once, however far a passage reaches."""
+    from collections import Counter
+
+    lines = lambda name, n: [f"{name} line {i} of it" for i in range(n)]
+    texts = ["\n".join(lines(f"a{k % 5}", 3 + k % 4) + lines(f"b{k % 3}", 5) + lines(f"c{k}", k % 3)) for k in range(40)] + ["x\nx\nx\nx", "", "one", "\n\n\n"]
+    parts = line_dedup._pairs(line_dedup.chunked(documents(spark, *enumerate(texts)).select(F.col("doc_id").alias("__id"), "text")))
+    every = Counter(m for r in parts.collect() for m in r["__marks"] if m is not None)
+    got = [r[0] for r in line_dedup._repeated_marks(parts).collect()]
+    assert len(got) == len(set(got)) and set(got) == {m for m, n in every.items() if n > 1}
+    inside = {m for r in parts.collect() for c in r["__chunks"] for m in r["__marks"][c["start"] : c["start"] + c["n"] - 1]}
+    assert inside & set(got) and set(got) - inside

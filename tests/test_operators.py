@@ -291,6 +291,17 @@ def test_bootstraps_equal_plain_draws(spark):
     assert {tuple(r) for r in holdout.bootstrap(by_charge, 60, 50, "m", in_place=0).collect()} == {tuple(r) for r in holdout.bootstrap(by_charge, 60, 50, "m").collect()}
 
 
+def test_bootstrap_blocks_are_shuffled_in_parcels(spark):
+    rows = [(f"NUMERIC|some_long_field|{r}", str(100000 + 7 * k), f"steel_grade=Brand#{k % 5}", k % 2, 0, 1, k % 3) for r in range(3) for k in range(2000)]
+    blocks = spark.createDataFrame(rows, "rule_id string, charge_id string, stratum string, a long, b long, c long, d long").repartition(2)
+    packed = rules.parcels(blocks, "rule_id", "stratum", ("a", "b", "c", "d")).collect()
+    assert len(packed) <= 6 and sum(len(r.parcel) for r in packed) < 20 * len(rows)  # a row of the table itself has 100 bytes
+    sums = rules.replicate_sums(blocks, "rule_id", "stratum", ("a", "b", "c", "d"), F.sha2("rule_id", 256), 2)
+    assert sums.groupBy("rule_id", "replicate").agg(F.count("*").alias("n")).where("n = 5").count() == 6
+    exchanges = [x for x in sums._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
+    assert len(exchanges) == 1 and "charge_id" not in exchanges[0] and "__chunk" in exchanges[0]
+
+
 def test_interactions_need_two_bins_a_side(spark):
     names = ["charge_id", "slab_no", "judge", "steel_grade", "steel_usage", "furnace_no", "f_jangip_gubun", "tundish_temp", "f_heat_temp", "f_bfg_ratio", "f_cog_ratio"]
     rows = spark.createDataFrame([(str(i), "1", "x", "g", "u", "1", "c", 5.0, float(i), float(i % 4), 1.0) for i in range(12)], ", ".join(f"{n} {'double' if n.endswith(('temp', 'ratio')) else 'string'}" for n in names))

@@ -427,6 +427,23 @@ def test_events_are_not_shuffled_whole(spark):
     assert found.where("side = 'second'").count() == rows.where("stage_rank > 14").count()
 
 
+def test_ordered_streams_are_shuffled_without_digests(spark, monkeypatch):
+    from millwright.catalogs import events as catalog
+    from millwright.operators import events as E
+
+    built = catalog.built(spark, SF)
+    told = E.told(built)
+    assert not {"event_id", "batch_id", "material_key"} & set(told.columns) and "event_id" not in E.in_order(told)._jdf.queryExecution().optimizedPlan().toString()
+    assert E.digested(told).select(*E.ORDER).exceptAll(built.select(*E.ORDER)).count() == 0 == built.select(*E.ORDER).exceptAll(E.digested(told).select(*E.ORDER)).count()
+    with monkeypatch.context() as m:
+        m.setattr(E, "written", lambda rows, label: rows)
+        wrong = E.order_violations(told.withColumns({"f": F.lit("stream"), "r": F.monotonically_increasing_id()}), "f", "r")
+        assert _shuffles(wrong) == 2  # once for either of the two that read what is written
+    keys = [tuple(r) for r in E.digested(E.in_order(told)).select(*E.ORDER).collect()]
+    assert keys == sorted(keys) and len(keys) > 1000
+    assert compare(QUERIES["i5_a9_strict_order"](spark, SF), ORACLES["i5_a9_strict_order"], SF) == ""
+
+
 def test_blocks_of_charges_are_dealt_by_charge(spark):
     """A row of a charge is not shuffled once for every rule of its field."""
     from millwright.catalogs import bound

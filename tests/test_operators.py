@@ -491,3 +491,22 @@ def test_violations_shuffle_suspects_only(spark, monkeypatch):
     assert {p for _, _, p in got} == {"DUPLICATE_EVENT_ID", "STAGE_OUT_OF_ORDER", "MISSING_STAGE", "WRONG_BATCH_ID"}
     monkeypatch.setattr(E._of, "__defaults__", (0,))
     assert sorted((r.material_key, r.event_id or "", r.problem) for r in E.violations(rows).collect()) == got
+
+
+def test_alerts_and_evidence_are_told_where_events_are_built(spark):
+    """Statuses, rule hits and scores follow from an event's own replay row: none is joined, dealt by its material or written; alerts are dealt by unit."""
+    import re
+
+    from millwright import work
+
+    def dealt(name):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        return [[c.split("#")[0].strip() for c in x.split(",")] for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)]
+
+    of_rows = lambda name: [x for x in dealt(name) if {"unit", "charge_id", "slab_no", "material_key", "event_key", "batch_step"} & set(x)]
+    assert of_rows("k7_range_alerts") == [] and [x[0] for x in of_rows("k7_b20_all_alerts")] == ["unit"]
+    assert [x[:3] for x in of_rows("k5_evidence")] == [["charge_id", "slab_no", "unit"]]
+    assert not any("material_key" in x for name in ("k4_repetition_badge", "b17_alert_history_filter") for x in dealt(name))
+    assert not {"placed", "statuses", "evaluations"} & {key[2] for key in work._STAGES}
+    for name in ("k7_range_alerts", "k5_evidence", "k4_repetition_badge", "b17_alert_history_filter"):
+        assert compare(QUERIES[name](spark, SF), ORACLES[name], SF) == ""

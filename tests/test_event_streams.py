@@ -22,3 +22,14 @@ def test_parity_of_told_events_shuffles_no_digest(spark):
     columns = ["event_id", "batch_step"]
     short = sorted(map(tuple, E.parity(E.told(one), E.told(two), columns).collect()))
     assert short == sorted(map(tuple, E.parity(one, two, columns).collect())) and {s for s, *_ in short} == {"first", "second"}
+
+
+def test_a_stream_is_checked_in_few_passes(spark):
+    """What an event alone shows is told in one pass, and a material's batches are digested before its events."""
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(QUERIES["i5_stream_violations"](spark, SF)).count("Generate explode(array(struct(") <= 8
+    above, below = plan(catalog.built(spark, SF).select("event_id", "batch_id", "equipment_batch_id")).split("Generate", 1)
+    assert above.count("sha2(") == 1 and "batch-id/v1" in below
+    rows = catalog.built(spark, SF)
+    again = rows.withColumns({"b": E.batch_id(), "q": E._equipment_batch(), "m": E.material_key()})
+    assert rows.count() > 1000 and again.where("not (b <=> batch_id) or not (q <=> equipment_batch_id) or not (m <=> material_key)").count() == 0

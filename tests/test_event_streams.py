@@ -33,3 +33,35 @@ def test_a_stream_is_checked_in_few_passes(spark):
     rows = catalog.built(spark, SF)
     again = rows.withColumns({"b": E.batch_id(), "q": E._equipment_batch(), "m": E.material_key()})
     assert rows.count() > 1000 and again.where("not (b <=> batch_id) or not (q <=> equipment_batch_id) or not (m <=> material_key)").count() == 0
+
+
+def test_payloads_are_parsed_once(spark):
+    plan = QUERIES["i2_stage_payload"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("from_json(") == 1
+    assert compare(QUERIES["i2_stage_payload"](spark, SF), ORACLES["i2_stage_payload"], SF) == ""
+
+
+def test_shuffle_files_of_a_written_stage_are_deleted(spark, monkeypatch):
+    """Without it they lie beside all later ones until the driver happens to collect its garbage."""
+    import glob
+    import time
+    import uuid
+
+    from millwright import work
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    monkeypatch.setattr(work, "RELEASED", 0)
+    before = files()
+    rows = work.stage(spark, "none", f"dealt-{uuid.uuid4().hex}", lambda: spark.range(50_000).repartition(5, "id").groupBy((F.col("id") % 7000).alias("k")).count())
+    until = time.time() + 15
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and rows.count() == 7000
+
+
+def test_blocks_are_not_written_twice_and_materials_are_joined_without_digests(spark):
+    blocks = QUERIES["g13_bootstrap_blocks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in blocks and blocks.count("concat_ws(|") <= 1
+    cards = QUERIES["k10_overview_cards"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" not in cards and "charge_id" in cards
